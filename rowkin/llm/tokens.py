@@ -1,15 +1,19 @@
-"""Token ids of whole texts with a public tokenizer file, a word cache in front of the tokenizers library.
+"""Token ids of whole texts with a public tokenizer file of the tokenizers library, caches in front of its BPE model.
 
 Byte-level BPE never joins across a space that stands before a non-space, so a text may be encoded piece by piece
-between such spaces and the pieces' ids joined. Pieces repeat, so each worker keeps those it has seen; texts with two
-or more spaces in a row go to the library as one piece.
+between such spaces and the pieces' ids joined. Pieces repeat, so each worker keeps those it has seen, and of new ones
+the pretokens, which the library's model turns into ids. Texts with two or more spaces in a row, and files of another
+kind of tokenizer, go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterable, Iterator
 
+import regex
+
 END_ID = 0
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -20,20 +24,58 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Fixed value: the pattern by which byte-level BPE splits texts.
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
+    out, spare = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(spare)
+            spare += 1
+    return out
+
+
 class Encoder:
-    """Encodes texts into little-endian uint32 bytes. ``cache_pieces`` bounds the memory of the cache, not the result."""
+    """Encodes texts into little-endian uint32 bytes. ``cache_pieces`` bounds the memory of the caches, not the result."""
 
-    def __init__(self, path: str, cache_pieces: int = 250_000, cache_length: int = 48):
+    def __init__(self, path: str, cache_pieces: int = 300_000, cache_length: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind.get("pre_tokenizer") or {}
+        self.plain = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.letters, self.model = byte_letters(), self.tokenizer.model
         self.cache: dict[str, bytes] = {}
+        self.pretokens: dict[str, bytes] = {}
         self.cache_pieces, self.cache_length = cache_pieces, cache_length
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in coded)]
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _pretoken(self, text: str) -> bytes:
+        found = self.pretokens.get(text)
+        if found is None:
+            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.pretokens) < self.cache_pieces and len(text) <= self.cache_length:
+                self.pretokens[text] = found
+        return found
+
+    def _encode(self, piece: str) -> bytes:
+        if "  " in piece or "\x00" in piece or len(piece) > 1024:
+            return self._whole(piece)
+        word = piece.rstrip(".,;:!?")
+        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):  # a word and its marks, what the pattern would find
+            return self._pretoken(word) + self._pretoken(piece[len(word) :]) if len(word) < len(piece) else self._pretoken(word)
+        return b"".join(map(self._pretoken, PRETOKEN.findall(piece)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object a text; a null text is empty."""
@@ -41,22 +83,23 @@ class Encoder:
         for text in texts:
             if not text:
                 split.append(())
-            elif "  " in text or "\x00" in text:
+            elif not self.plain or "  " in text or "\x00" in text:
                 split.append((text,))
             else:
                 split.append(text.replace(" ", "\x00 ").split("\x00"))
             new.update(split[-1])
-        if len(self.cache) + len(new) > self.cache_pieces:
-            self.cache.clear()
-        new = [x for x in new if x not in self.cache]
-        known = dict(zip(new, self._encode(new), strict=True))
-        long = {x: b for x, b in known.items() if len(x) > self.cache_length}
-        self.cache.update((x, b) for x, b in known.items() if len(x) <= self.cache_length)
-        if not long:
-            get = self.cache.__getitem__
-            return [b"".join(map(get, pieces)) for pieces in split]
-        known = self.cache
-        return [b"".join([known[x] if x in known else long[x] for x in pieces]) for pieces in split]
+        cache = self.cache
+        new = [x for x in new if x not in cache]
+        known = {x: self._encode(x) for x in new} if self.plain else {x: self._whole(x) for x in new}
+        if len(cache) < self.cache_pieces:  # frequent pieces come early, so a full cache holds them
+            cache.update((x, b) for x, b in known.items() if len(x) <= self.cache_length)
+        out = []
+        for pieces in split:
+            got = list(map(cache.get, pieces))
+            if None in got:
+                got = [known[x] if b is None else b for x, b in zip(pieces, got, strict=True)]
+            out.append(b"".join(got))
+        return out
 
 
 def encoder(path: str) -> Encoder:
