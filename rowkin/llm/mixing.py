@@ -23,9 +23,10 @@ ROUNDS = 8
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size: words of each row's text."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """doc_id, source, row, size: words of each row's text. ``row_col``, if given, tells rows apart."""
+    row = F.col(row_col) if row_col else F.lit(None)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), row.cast("long").alias("row"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -52,9 +53,9 @@ def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
     A large source is summed in hashed chunks: the order of the stream is (chunk, doc_id, size).
     """
-    rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("doc_id", sizes["source"], "size", "sid", "source_size", "target")
+    rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("doc_id", "row", sizes["source"], "size", "sid", "source_size", "target")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "sid"), F.lit(CHUNKS)))
-    before = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     inner = rows.withColumn("within", F.coalesce(F.sum("size").over(before), F.lit(0)))
     chunks = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("words")).withColumn("begin", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return inner.join(chunks.select("sid", "chunk", "begin"), ["sid", "chunk"]).withColumn("first", (F.col("begin") + F.col("within")).cast("long")).drop("chunk", "begin", "within")
@@ -117,15 +118,15 @@ def slots(quota: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     return each.select("sid", "shard", "rank", permuted(F.pmod("rank", "blocks"), F.col("blocks"), [F.lit(seed), F.col("sid"), turn]).alias("block"))
 
 
-def spans(docs: DataFrame, block: int = BLOCK, cap: int = CAP, shard: int = SHARD, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, block: int = BLOCK, cap: int = CAP, shard: int = SHARD, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows with their streams, and for each the spans of its words [begin, end) with how often the mix takes them."""
-    sizes, _ = stored(sized(docs, id_col, text_col, source_col), "sizes")
+    sizes, _ = stored(sized(docs, id_col, text_col, source_col, row_col), "sizes")
     sources, _ = stored(targets(sizes, weights, cap), "sources")
     rows, _ = stored(streams(sizes, sources), "streams")
     times = slots(quotas(sources, block, cap), shard, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
     pieces = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(first + size - 1) div {block}"))))
     pieces = pieces.withColumn("begin", F.greatest(F.lit(0), F.col("block") * block - F.col("first"))).withColumn("end", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("first")))
-    return rows, pieces.join(times, ["sid", "block"]).select("sid", "doc_id", "first", "begin", "end", "times")
+    return rows, pieces.join(times, ["sid", "block"]).select("sid", "row", "first", "begin", "end", "times")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -139,3 +140,21 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     taken = pieces.groupBy(F.col("sid").alias("_sid"), F.col("first").alias("_first")).agg(F.sum((F.col("end") - F.col("begin")) * F.col("times")).alias("taken"))
     own = rows.join(taken, (F.col("sid") == F.col("_sid")) & (F.col("first") == F.col("_first")) & (F.col("size") > 0), "left")
     return own.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:
+    """The mix as rows of ``docs``: a row comes as often as its most repeated block is taken, the k-th time with the words taken k times or more.
+
+    Words keep the white space that follows them. Rows of which nothing is taken, such as those without words, are not
+    in the mix. ``chars_col``, if there, follows the text; other columns pass.
+    """
+    base, _ = stored(docs.withColumn("_m_row", F.monotonically_increasing_id()), "mix")
+    _, pieces = spans(base, id_col=id_col, text_col=text_col, source_col=source_col, row_col="_m_row", **options)
+    taken = pieces.groupBy(F.col("row").alias("_m_row")).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "times"))).alias("_m_spans"), F.max("times").alias("_m_most"))  # a span for each 64 words of a text
+    rows = base.join(taken, "_m_row").withColumn("_m_words", F.regexp_extract_all(text_col, F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)))
+    rows = rows.withColumn("_m_turn", F.explode(F.sequence(F.lit(1), F.col("_m_most").cast("int"))))
+    own = F.transform(F.filter("_m_spans", lambda s: s["times"] >= F.col("_m_turn")), lambda s: F.array_join(F.slice("_m_words", (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int")), ""))
+    rows = rows.withColumn(text_col, F.rtrim(F.array_join(own, "")))
+    if chars_col in docs.columns:
+        rows = rows.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowkin.llm import html_extract, lang_id, packing, token_output
+from rowkin.llm import ann_blocks, html_extract, lang_id, mixing, ngram_join, packing, passages, token_output, topk_impact, toxicity
 from rowkin.session import ship_package
 
 
@@ -15,6 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_blocks.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_impact.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
@@ -23,6 +43,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"))
 
@@ -32,8 +56,51 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_html_extraction, op7_best_fit_packing, op9_token_output, op10_language_id)}
+    every = (
+        op1_ngram_jaccard_join,
+        op2_nearest_neighbours,
+        op3_substring_dedup,
+        op4_exact_topk,
+        op5_source_mixing,
+        op6_html_extraction,
+        op7_best_fit_packing,
+        op8_toxicity,
+        op9_token_output,
+        op10_language_id,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL expresses on whole tables."""
+    return {"op2_nearest_neighbours": OP2_SQL, "op4_exact_topk": OP4_SQL}
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, c -> c <> 0)) > 0
+), s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.x, c.x) AS score
+  FROM v q JOIN v c ON q.id % 20 = 0 AND c.id <> q.id AND len(q.x) = len(c.x)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+OP4_SQL = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, list_transform(CAST(embedding AS DOUBLE[]), c -> floor(256 * c)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.id % 50 = 0 AND c.id <> q.id AND len(q.x) = len(c.x)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
