@@ -56,7 +56,7 @@ def nearest_in_tile(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.n
         low[same] = -np.inf
         kth = np.partition(low, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(low), -np.inf)
         rows, columns = np.nonzero((near + slack >= kth[:, None]) & ~same)
-        score = np.concatenate([(q[own][rows[i : i + 65536]] * c[columns[i : i + 65536]]).sum(axis=1) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
+        score = np.concatenate([np.add.accumulate(q[own][rows[i : i + 16384]] * c[columns[i : i + 16384]], axis=1)[:, -1] for i in range(0, len(rows), 16384)] or [np.zeros(0)])  # summed in order
         ends = np.searchsorted(rows, np.arange(len(low) + 1))
         for r in range(len(low)):  # a bounded heap a query
             mine = slice(ends[r], ends[r + 1])

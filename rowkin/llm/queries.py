@@ -80,8 +80,8 @@ OP2_SQL = """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
-    AND len(list_filter(embedding, c -> c <> 0)) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
 ), s AS (
   SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.x, c.x) AS score
   FROM v q JOIN v c ON q.id % 20 = 0 AND c.id <> q.id AND len(q.x) = len(c.x)
@@ -93,9 +93,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 OP4_SQL = """
 WITH v AS (
-  SELECT CAST(vec_id AS BIGINT) AS id, list_transform(CAST(embedding AS DOUBLE[]), c -> floor(256 * c)) AS x FROM embeddings
+  SELECT CAST(vec_id AS BIGINT) AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda c: floor(256 * c)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), s AS (
   SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
   FROM v q JOIN v c ON q.id % 50 = 0 AND c.id <> q.id AND len(q.x) = len(c.x)
