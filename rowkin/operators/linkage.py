@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from rowkin.functions.text import hash_share
 from rowkin.operators import blocking, compare, decide, learn
 from rowkin.operators.normalize import normalize
+from rowkin.storage import staged
 
 
 def prepared(providers: DataFrame, sanctions: DataFrame, cap: int = blocking.CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(normalized records, normalized master, candidate vectors), the vectors persisted: fitting and deciding read them again."""
-    master, records = normalize(providers, "provider_id"), normalize(sanctions, "record_id", claims=True)
-    pairs = compare.vectors(blocking.candidates(records, master, cap), records, master).persist()
-    return records, master, pairs
+    """(normalized records, normalized master, candidate vectors), each a staged table: later steps read them many times."""
+    master, records = staged(normalize(providers, "provider_id"), "master"), staged(normalize(sanctions, "record_id", claims=True), "records")
+    found = staged(blocking.candidates(records, master, cap), "candidates")
+    return records, master, staged(compare.vectors(found, records, master), "vectors")
 
 
 def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
