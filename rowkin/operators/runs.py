@@ -113,4 +113,26 @@ def case_end(start: Column, months: Column) -> Column:
 def case_numbers(cases: DataFrame, used: DataFrame) -> DataFrame:
     """Sequential case numbers of a year, after those in use (year, last)."""
     place = F.row_number().over(Window.partitionBy("year").orderBy("opened_at", "record_id"))
-    return cases.withColumn("_n", place).join(used, "year", "left").withColumn("case_number", F.format_string("CASE-%d-%05d", "year", F.col("_n") + F.coalesce("last", F.lit(0)))).drop("_n", "last")
+    return cases.withColumn("_n", place).join(used, "year", "left").withColumn("case_number", F.format_string("CASE-%d-%06d", "year", F.col("_n") + F.coalesce("last", F.lit(0)))).drop("_n", "last")
+
+
+def expired(cases: DataFrame, today: Column) -> DataFrame:
+    """Active cases past their end, as EXPIRED rows."""
+    return cases.filter((F.col("status") == "ACTIVE") & (F.col("end_date") < today)).withColumn("status", F.lit("EXPIRED"))
+
+
+def opened(cases: DataFrame, approvals: DataFrame, used: DataFrame, months: int = 3) -> DataFrame:
+    """New cases for approvals (provider_id, record_id, opened_at) that have no active case; a repeated approval opens one."""
+    pair = ["provider_id", "record_id"]
+    live = cases.filter("status = 'ACTIVE'").select(*pair)
+    fresh = approvals.groupBy(*pair).agg(F.min("opened_at").alias("opened_at")).join(live, pair, "left_anti")
+    start = F.to_date("opened_at")
+    dated = fresh.withColumns({"year": F.year(start), "status": F.lit("ACTIVE"), "start_date": start, "end_date": case_end(start, F.lit(months))})
+    return case_numbers(dated, used)
+
+
+def closed(cases: DataFrame, requests: DataFrame) -> DataFrame:
+    """One outcome a request (case_id, reason): closed, or the error that stands against it."""
+    df = requests.join(cases.select("case_id", "status"), "case_id", "left")
+    error = F.when(F.col("status").isNull(), "not_found").when(F.col("status") != "ACTIVE", "case_not_active").when(F.trim(F.coalesce("reason", F.lit(""))) == "", "reason_required")
+    return df.withColumn("error", error).withColumn("status", F.when(error.isNull(), "CLOSED").otherwise(F.col("status")))
