@@ -6,7 +6,12 @@ chances, so one band is tuned to full recall on repeats; overlapping paragraphs
 about one band for 23 words. Bands seen in two documents are anchors. Around an anchor, runs of RUN words on a fixed grid
 are compared exactly (any common run of PASSAGE words around it holds one of them). The first document with a run keeps
 it, the others lose it. Runs that meet join, and join across small edits while the exact Jaccard similarity with the
-first document's passage stays at 0.8. Documents linked by removals are clustered by components.
+first document's passage stays at 0.8.
+
+Edited passages: two passages of PASSAGE words or more with a five-word Jaccard of 0.8 share a run of NEAR words when
+their edits are single words, so the least shingle of each such run, alone and with the next one, is a key. The first
+document with a key stands for it; others are aligned with it around the key, and lose every window of PASSAGE words or
+more whose exact Jaccard with the aligned window is at least 0.8. Documents linked by removals are clustered by components.
 """
 
 from __future__ import annotations
@@ -30,6 +35,13 @@ THRESHOLD = 0.8
 GAP = 12
 #: Places of a run's start before an anchor: any common run of PASSAGE words that holds the anchor holds one of these.
 GRID = (0, 8, 16, 24, 32, 38)
+#: Words of the run whose least shingle finds edited passages.
+NEAR = 25
+#: Words on each side of a key that are aligned; keys of one alignment that stand closer than STEP are aligned once.
+CONTEXT = 96
+STEP = 40
+#: Words by which edits may shift an alignment.
+DRIFT = 24
 _POWERS = np.cumprod(np.full(RUN, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
@@ -76,23 +88,26 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Co
 
 
 def band_rows(named: DataFrame) -> DataFrame:
-    """(band, doc) of every text, each once. ``named``: doc, text."""
+    """(band, doc, place, wide) of every text: wide ones are bands of paragraphs, the others keys of edited passages. ``named``: doc, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for x, y in slices(texts):
                 _, starts, shingles = _shingles(texts[x:y])
-                at = anchors(starts, shingles)
-                own = docs[x:y][np.searchsorted(starts, at, "right") - 1]
-                bands = shingles[at].view(np.int64)
-                order = np.lexsort((bands, own))
-                bands, own = bands[order], own[order]
-                new = np.ones(len(own), dtype=bool)
-                new[1:] = (own[1:] != own[:-1]) | (bands[1:] != bands[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(bands[new]), pa.array(own[new], pa.int64())], names=["band", "doc"])
+                at = anchors(starts, shingles, NEAR)
+                text = np.searchsorted(starts, at, "right") - 1
+                long = starts[text + 1] - starts[text] >= PASSAGE
+                at, text = at[long], text[long]
+                keys = shingles[at]
+                pair = np.flatnonzero(text[1:] == text[:-1])
+                both = mix64(keys[pair] * np.uint64(0x9E3779B97F4A7C15) + keys[pair + 1])
+                wide = np.concatenate([np.isin(at, anchors(starts, shingles), assume_unique=True), np.zeros(len(pair), dtype=bool)])
+                at, text = np.concatenate([at, at[pair]]), np.concatenate([text, text[pair]])
+                bands = np.concatenate([keys, both]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(docs[x:y][text], pa.int64()), pa.array((at - starts[text]).astype(np.int32)), pa.array(wide)], names=["band", "doc", "place", "wide"])
 
-    return named.select("doc", "text").mapInArrow(run, "band long, doc long")
+    return named.select("doc", "text").mapInArrow(run, "band long, doc long, place int, wide boolean")
 
 
 def run_rows(named: DataFrame, hits: DataFrame) -> DataFrame:
@@ -149,14 +164,124 @@ def regions(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return [(r[0], r[1]) for r in out]
 
 
+def aligned(here: np.ndarray, at: int, other: np.ndarray, there: int) -> list[tuple[int, int]]:
+    """Word ranges of ``here`` whose windows of PASSAGE words or more have an exact Jaccard of THRESHOLD or more with ``other``'s.
+
+    Both are shingles of contexts; the key stands at ``at`` and ``there``. Windows begin and end with a common shingle.
+    """
+    order = np.argsort(other, kind="stable")
+    sorted_other = other[order]
+    low, high = np.searchsorted(sorted_other, here, "left"), np.searchsorted(sorted_other, here, "right")
+    a = np.flatnonzero(high > low)
+    least, shift = PASSAGE - WORDS + 1, there - at
+    if len(a) < THRESHOLD * least:
+        return []
+    if (high[a] - low[a] == 1).all():
+        b = order[low[a]]
+        near = abs(b - a - shift) <= DRIFT
+        a, b = a[near], b[near]
+    if (high[a] - low[a] > 1).any() or (np.diff(b) <= 0).any():  # repeated shingles: the place next to the key's diagonal that keeps the order
+        pairs, last = [], -1
+        for i in a:
+            places = order[low[i] : high[i]]
+            places = places[(places > last) & (abs(places - i - shift) <= DRIFT)]
+            if len(places):
+                last = int(places[np.argmin(abs(places - i - shift))])
+                pairs.append((int(i), last))
+        a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    if len(a) < THRESHOLD * least:
+        return []
+    new = np.flatnonzero((np.diff(a) != 1) | (np.diff(b) != 1)) + 1  # runs; a window that takes in more of a run is only more alike
+    first, last = np.concatenate([[0], new]), np.concatenate([new, [len(a)]]) - 1
+    long, wide, common = a[last][None, :] - a[first][:, None] + 1, b[last][None, :] - b[first][:, None] + 1, last[None, :] - first[:, None] + 1
+    good = (np.minimum(long, wide) >= least - 1) & (np.maximum(long, wide) >= least) & (common >= THRESHOLD * (long + wide - common))
+    return [(int(a[first[i]]), int(a[last[np.flatnonzero(good[i])[-1]]]) + WORDS) for i in np.flatnonzero(good.any(axis=1))]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that meet or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
+
+
+SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+
+def edited_spans(named: DataFrame, bands: DataFrame, cut: DataFrame) -> DataFrame:
+    """(doc, spans, links) of documents that hold an edited copy of a passage of an earlier one; ``cut``: what exact runs remove."""
+    firsts = bands.groupBy("band").agg(F.min(F.struct("doc", "place")).alias("first"), F.max("doc").alias("high")).filter("first.doc < high").select("band", "first")
+    found = bands.join(firsts, "band").filter("doc > first.doc").select("doc", F.struct(F.col("first.doc").alias("from"), "place", F.col("first.place").alias("there")).alias("seed"))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for doc, seeds, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                kept: dict[tuple[int, int], int] = {}
+                for source, place, there in sorted((x["from"], x["place"], x["there"]) for x in seeds):
+                    if any((s["begin"] <= max(0, place - PASSAGE)) and s["end"] >= place + WORDS + PASSAGE for s in spans or ()):
+                        continue
+                    key = source, place - there
+                    if place - kept.get(key, -STEP) >= STEP:
+                        kept[key] = place
+                        out.append((doc, place, source, there))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["doc", "place", "from", "there"])
+
+    seeds, seeds_path = stored(found.groupBy("doc").agg(F.collect_set("seed").alias("seeds")).join(cut, "doc", "left").select("doc", "seeds", "spans").mapInArrow(thin, "doc long, place int, from long, there int"), "seeds")
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for x, y in slices(texts):
+                _, starts, shingles = _shingles(texts[x:y])
+                rows = []
+                for i in range(x, y):
+                    own = shingles[starts[i - x] : max(starts[i - x], starts[i - x + 1] - WORDS + 1)]
+                    for p in places[i]:
+                        low = max(0, p - CONTEXT)
+                        rows.append((docs[i], p, p - low, own[low : p + CONTEXT].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["from", "there", "key", "context"])
+
+    wanted = seeds.groupBy(F.col("from").alias("doc")).agg(F.collect_set("there").alias("places"))
+    sources = named.join(wanted, "doc").select("doc", "text", "places").mapInArrow(contexts, "from long, there int, key int, context binary")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, texts, founds = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            out = []
+            for x, y in slices(texts):
+                _, starts, shingles = _shingles(texts[x:y])
+                for i in range(x, y):
+                    own = shingles[starts[i - x] : max(starts[i - x], starts[i - x + 1] - WORDS + 1)]
+                    spans, links = [], set()
+                    for s in founds[i].as_py():
+                        low = max(0, s["place"] - CONTEXT)
+                        got = aligned(own[low : s["place"] + CONTEXT], s["place"] - low, np.frombuffer(s["context"], dtype=np.uint64), s["key"])
+                        if got:
+                            spans += [(low + a, low + b) for a, b in got]
+                            links.add(s["from"])
+                    if spans:
+                        out.append((docs[i], [{"begin": a, "end": b} for a, b in merged(spans)], sorted(links)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), SPANS, pa.list_(pa.int64())))], names=["doc", "spans", "links"])
+
+    found = seeds.join(sources, ["from", "there"]).groupBy("doc").agg(F.collect_list(F.struct("place", "from", "key", "context")).alias("found"))
+    out, _ = stored(named.join(found, "doc").select("doc", "text", "found").mapInArrow(verified, "doc long, spans array<struct<begin: int, end: int>>, links array<long>"), "edited")
+    forget(named.sparkSession, seeds_path)
+    return out
+
+
 def removals(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, spans) of the documents that lose words, and (doc, class) of the documents that removals link. ``named``: doc, text."""
     spark = named.sparkSession
     bands, bands_path = stored(band_rows(named), "bands")
-    repeated = bands.groupBy("band").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("band")
-    hits = bands.join(repeated, "band").groupBy("doc").agg(F.collect_set("band").alias("bands"))  # at most the words of a document
+    wide = bands.filter("wide")
+    repeated = wide.groupBy("band").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("band")
+    hits = wide.join(repeated, "band").groupBy("doc").agg(F.collect_set("band").alias("bands"))  # at most the words of a document
     runs, runs_path = stored(run_rows(named, hits), "runs")
-    forget(spark, bands_path)
     firsts = runs.groupBy("run").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("doc").alias("high")).filter("first.doc < high").select("run", "first")
     spans = runs.join(firsts, "run").filter("doc > first.doc").select("doc", "start", F.col("first.doc").alias("from"), F.col("first.start").alias("there")).distinct()
     spans, _ = stored(spans, "spans")
@@ -165,10 +290,20 @@ def removals(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[{"begin": a, "end": b} for a, b in regions([(r["start"], r["from"], r["there"]) for r in own])] for own in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], names=["doc", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPANS)], names=["doc", "spans"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[{"begin": a, "end": b} for a, b in merged([(s["begin"], s["end"]) for own in lists for s in own])] for lists in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPANS)], names=["doc", "spans"])
 
     cut = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "from", "there")).alias("found")).mapInArrow(joined, "doc long, spans array<struct<begin: int, end: int>>")
-    groups, _ = components(spans.select(F.col("doc").alias("a"), F.col("from").alias("b")))
+    cut, _ = stored(cut, "cut")
+    edited = edited_spans(named, bands, cut)
+    forget(spark, bands_path)
+    links = spans.select(F.col("doc").alias("a"), F.col("from").alias("b")).unionByName(edited.select(F.col("doc").alias("a"), F.explode("links").alias("b")))
+    groups, _ = components(links)
+    cut = cut.unionByName(edited.select("doc", "spans")).groupBy("doc").agg(F.collect_list("spans").alias("lists")).mapInArrow(together, "doc long, spans array<struct<begin: int, end: int>>")
     return cut, groups.select(F.col("node").alias("doc"), F.col("root").alias("class"))
 
 
@@ -192,7 +327,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Words are runs of letters, digits and underscores, compared in lower case. A passage of PASSAGE words or more that
     stands in several documents is always found; what is removed is part of an exact run of at least RUN words that
-    an earlier document has. class_id is the least id of the documents that removals link; a document without any has
+    an earlier document has, or of a window of at least PASSAGE words with a Jaccard of at least THRESHOLD. class_id is the least id of the documents that removals link; a document without any has
     its own. Null texts and texts of fewer than RUN words lose nothing. A null id stays null and is named by a hash of
     its text in class ids; rows that share an id are one document. An empty table gives no rows; other columns are not
     read.

@@ -100,6 +100,22 @@ def test_passages_empty_and_copies(spark):
     assert [r.doc_id for r in out.collect()] == [0]
 
 
+@pytest.mark.parametrize(("words", "edits"), [(60, 1), (85, 1), (128, 2), (171, 3), (300, 6)])
+def test_passages_find_edited_copies(spark, words, edits):
+    texts = []
+    for k in range(8):
+        original = prose(words, 700 + k).split()
+        changed = list(original)
+        for e in range(edits):
+            changed[(e + 1) * words // (edits + 1)] = f"edit{e}"
+        texts += [f"{prose(70, 800 + k)} {' '.join(original)} {prose(30, 820 + k)}", f"{prose(40, 840 + k)} {' '.join(changed)} {prose(60, 860 + k)}"]
+    got = {r.doc_id: r for r in passages.repeated_passages(documents(spark, texts)).collect()}
+    for k in range(0, 16, 2):
+        removed = {w for s in got[k + 1].spans for w in range(s.begin, s.end)}
+        assert got[k].n_removed == 0 and got[k + 1].class_id == k
+        assert set(range(40, 40 + words)) <= removed <= set(range(38, 42 + words))  # words before or after may agree by chance
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<float>, label int, id int")
 
