@@ -2,7 +2,8 @@
 
 First pass: a page is cut into blocks at block-level tags, each with its text, link density and stop-word density.
 Markup that names its part (nav, footer, class="ad" ...) decides a block; else its densities and length do, or leave it
-open. Second pass: an open short block takes the label of its nearest decided neighbours.
+open. Second pass: an open short block takes the label of its nearest decided neighbours. That it stands in an article
+or main element is one feature: it speaks for open blocks, and never against a block that the first pass decided.
 """
 
 from __future__ import annotations
@@ -165,24 +166,25 @@ def blocks(page: str) -> list[Block]:
 def extract(page: str | None) -> str:
     """Main text of a page: its content blocks in page order, joined by line feeds."""
     found = blocks(page or "")
-    articles = any(b.inside and b.label != 0 for b in found)
+    article = any(b.inside and b.label == 1 for b in found)  # else an article is but a teaser or quote if there is content elsewhere
+    elsewhere = any(not b.inside and b.label == 1 for b in found)
+    articles = article or any(b.inside and b.label is None for b in found) and not elsewhere
     decided = [(i, b.label) for i, b in enumerate(found) if b.label is not None]
     keep = []
     for i, b in enumerate(found):
         label = b.label
-        if label is None and articles:
-            label = int(b.inside)
-        if articles and not b.inside:
-            label = 0
+        if label is None and b.inside and articles:
+            label = 1
         if label is None:
-            before = next((x for k, x in reversed(decided) if k < i), None)
-            after = next((x for k, x in decided if k > i), None)
+            own = [(k, x) for k, x in decided if not articles or not found[k].inside]
+            before = next((x for k, x in reversed(own) if k < i), None)
+            after = next((x for k, x in own if k > i), None)
             if b.heading:
                 label = after or 0
             elif before == after:
-                label = before if before is not None else int(b.words >= 3)
+                label = before if before is not None else int(b.words >= 3 and not articles)
             else:
-                near = [(abs(k - i), -x) for k, x in decided]
+                near = [(abs(k - i), -x) for k, x in own]
                 label = -min(near)[1] if near else 0
         if label:
             keep.append(b.text)

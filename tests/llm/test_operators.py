@@ -228,6 +228,16 @@ def test_html():
     assert html_extract.extract(None) == "" == html_extract.extract("<script>var x")
 
 
+LONG = "It was the first day of the year and all of the people who live in the town were at the market to buy what they had not been able to find in the shops."
+
+
+def test_html_articles_are_one_feature():
+    page = f"<div><h1>Title of it</h1><p>{LONG}</p><p>{LONG}</p></div><article><h3>Teaser</h3><p>See more</p></article><div><p>{LONG}</p></div>"
+    assert html_extract.extract(page).count(LONG) == 3 and html_extract.extract(page).startswith("Title of it")
+    assert html_extract.extract(f"<article><p>{LONG}</p></article><article><p>{LONG}</p></article><div><p>{LONG}</p></div>").count(LONG) == 3
+    assert html_extract.extract(f"<h1>Title of it</h1><p>{LONG}</p><p>So it ended.</p><p>{LONG}</p><footer>c</footer>") == f"Title of it\n{LONG}\nSo it ended.\n{LONG}"
+
+
 def test_toxicity(spark):
     toxic = [f"{prose(20, k)}. you are a wretched snarfle and worse." for k in range(80)]
     clean = [f"{prose(25, 1000 + k)}. a fine day." for k in range(240)]
