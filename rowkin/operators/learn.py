@@ -101,14 +101,16 @@ def fit(kind: str, patterns: list[tuple[list[int], float]], start: float = 0.05,
 
 
 def fit_tally(tally: DataFrame, **options) -> dict[str, Model]:
-    """A model for each kind that has pairs enough."""
+    """A model for each kind that has pairs. Raises Degenerate if one cannot be fitted: its pairs would drop out unseen."""
     out = {}
     for kind in FIELDS:
         rows = tally.filter(F.col("kind") == kind).groupBy("vector").agg(F.sum("n").alias("n")).orderBy("vector").collect()  # bounded by the levels of the fields
+        if not rows:
+            continue
         try:
             out[kind] = fit(kind, [(r["vector"], r["n"]) for r in rows], **options)
-        except Degenerate:
-            continue
+        except Degenerate as e:
+            raise Degenerate(f"{kind} model could not be fitted: {e}") from e
     return out
 
 

@@ -33,7 +33,7 @@ def fitted(pairs: DataFrame, truth: DataFrame, holdout: float = 0.3, precision:
         best = blocking.top_k(weighed, ["record_id"], [F.desc("weight"), F.asc("provider_id")], 1, "_best")
         knots = learn.isotonic_knots(best.filter("not held"))
         if not knots:
-            continue
+            raise learn.Degenerate(f"{kind} has no records outside the hold-out to calibrate on")
         accept, reject = learn.choose_thresholds(best.filter("held").withColumn("confidence", learn.calibrated(F.col("weight"), knots)), precision)
         out[kind] = decide.Bundle(model, knots, accept, reject)
     return out

@@ -80,6 +80,12 @@ def test_em_recovers_share():
         learn.fit("individual", [([0] * 8, 10)])
 
 
+def test_kind_with_few_pairs_is_refused(spark):
+    rows = [("individual", [i % 2] * 8, 100) for i in range(2)] + [("organization", [0] * 12, 3)]
+    with pytest.raises(learn.Degenerate, match="organization"):
+        learn.fit_tally(spark.createDataFrame(rows, "kind string, vector array<int>, n long"))
+
+
 def test_routes(spark):
     records = spark.createDataFrame([(i,) for i in range(1, 8)], "record_id int")
     schema = "record_id int, provider_id int, rank int, confidence double, match_weight double, cross_type boolean, t_accept double, t_reject double, npi_exact boolean, conflicts array<string>"
