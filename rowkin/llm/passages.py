@@ -68,7 +68,7 @@ def anchors(starts: np.ndarray, shingles: np.ndarray, passage: int = PASSAGE) ->
 
 
 def _shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, starts = word_hashes(texts)
+    words, starts = word_hashes(texts, keep=True)
     shingles = rolled(words)
     shingles[shingles == 0] = 1
     return words, starts, shingles

@@ -27,9 +27,12 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-case words of all texts in a row, and where texts start (one entry more than texts)."""
-    found = [WORD.findall(t.lower()) if t else [] for t in texts]
+def word_hashes(texts: list[str | None], keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-case words of all texts in a row, and where texts start (one entry more than texts).
+
+    ``keep``: words are those of the text as it is. Only U+0130 makes a difference, whose lower case has a mark that ends a word.
+    """
+    found = [([w.lower() for w in WORD.findall(t)] if keep and "\u0130" in t else WORD.findall(t.lower())) if t else [] for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int64)
     look = _HASHES.__getitem__
     return np.fromiter((look(w) for x in found for w in x), dtype=np.uint64, count=int(starts[-1])), starts

@@ -116,6 +116,12 @@ def test_passages_find_edited_copies(spark, words, edits):
         assert set(range(40, 40 + words)) <= removed <= set(range(38, 42 + words))  # words before or after may agree by chance
 
 
+def test_passages_keep_places_with_dotted_capital(spark):
+    texts = [f"{HOSTS[0]} {PASSAGE}", f"\u0130stanbul {HOSTS[1]} \u0130zmir {PASSAGE}"]
+    out = {r.doc_id: r.text.strip() for r in passages.without_repeats(documents(spark, texts)).collect()}
+    assert out == {0: texts[0], 1: f"\u0130stanbul {HOSTS[1]} \u0130zmir"}
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<float>, label int, id int")
 
