@@ -27,6 +27,8 @@ SELF_ENDING = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset([
 BOILER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adslot adsense adbox banner banners sponsor sponsored promo promotion promotions cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot masthead topbar sidebar sidebars side aside widget widgets related recommended recommendations more-links share sharing social follow comment comments commentlist disqus replies respond reactions copyright legal disclaimer skip skip-link toolbar tags tagcloud toc".split()
 )
+#: Parts before a name that make it tell of something else.
+NOT_ITSELF = frozenset("with without has have no not and".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alert alertdialog".split())
 STOP_WORDS = frozenset(
     "the of and to in a is that it for was on are as with be by this from at or an not have but they you which all were when we there can one "
@@ -36,7 +38,7 @@ STOP_WORDS = frozenset(
 )
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg")}
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "title", "textarea", "noscript")}
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/>\"']+)")
 NAME_PART = re.compile(r"[^a-z]+")
 WORD = re.compile(r"\w+")
@@ -51,7 +53,18 @@ class Block:
     words: int = 0
 
 
-def _boiler(tag: str, attributes: str, inside: bool) -> bool:
+def _named(value: str) -> bool:
+    """Whether a class or id names boilerplate: as a whole, or by its last part if that isn't negated or joined to others."""
+    for name in value.split():
+        parts = [x for x in NAME_PART.split(name) if x]
+        if name in BOILER_NAMES or parts and parts[-1] in BOILER_NAMES and not NOT_ITSELF & set(parts[:-1]):
+            return True
+    return False
+
+
+def _boiler(tag: str, attributes: str, inside: bool) -> bool | str:
+    """Whether an element is boilerplate; "name" if only its class or id says so."""
+    named = False
     if tag in BOILER_TAGS:
         return True
     if tag == "header" and not inside:
@@ -68,20 +81,19 @@ def _boiler(tag: str, attributes: str, inside: bool) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            for part in value.split():
-                if part in BOILER_NAMES or any(x in BOILER_NAMES for x in NAME_PART.split(part)):
-                    return True
-    return False
+            named = named or _named(value)
+    return "name" if named else False
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, with the first pass's labels."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in boilerplate, in content
+    stack: list[tuple[str, bool | str, bool]] = []  # tag, in boilerplate, in content
     text: list[str] = []
     linked = 0
     links = 0
     heading = False
+    seen = False  # an article or main element
 
     def close() -> None:
         nonlocal linked, text, heading
@@ -95,7 +107,7 @@ def blocks(page: str) -> list[Block]:
                 stops = sum(w in STOP_WORDS for w in found)
                 density = stops / max(1, len(found))
                 link = min(1.0, linked / max(1, len(joined)))
-                if link > 0.5 and not (inside and len(found) > 25):
+                if link > 0.5 and not inside:
                     label = 0
                 elif len(found) >= 20 and (density >= 0.15 or inside):
                     label = 1
@@ -153,7 +165,9 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if tag in BLOCK_TAGS or tag in CONTENT_TAGS or "=" in m[4]:
             boiler, inside = stack[-1][1:] if stack else (False, False)
-            new = boiler or _boiler(tag, m[4], inside or tag in CONTENT_TAGS)
+            if tag in CONTENT_TAGS:
+                boiler, seen = False if boiler == "name" and not seen else boiler, True  # a name never overrules the page's first article
+            new = boiler if boiler is True else _boiler(tag, m[4], inside or tag in CONTENT_TAGS) or boiler
             if new and not boiler:
                 close()
             stack.append((tag, new, (inside or tag in CONTENT_TAGS) and not new))

@@ -244,6 +244,18 @@ def test_html_articles_are_one_feature():
     assert html_extract.extract(f"<h1>Title of it</h1><p>{LONG}</p><p>So it ended.</p><p>{LONG}</p><footer>c</footer>") == f"Title of it\n{LONG}\nSo it ended.\n{LONG}"
 
 
+@pytest.mark.parametrize("attributes", ['class="content with-sidebar"', 'class="no-sidebar"', 'id="post-and-comments"', 'class="has-toc"', 'class="sidebar"'])
+def test_html_names_do_not_overrule_articles(attributes):
+    page = f'<div {attributes}><article><h1><a href="x">Title</a></h1><p>{LONG}</p><p><a href="y">Reference one</a></p></article></div>'
+    assert html_extract.extract(page) == f"Title\n{LONG}\nReference one"
+    assert html_extract.extract(f"<div {attributes}><p>{LONG}</p></div>") == ("" if attributes == 'class="sidebar"' else LONG)
+
+
+@pytest.mark.parametrize("tag", ["svg", "template", "iframe"])
+def test_html_goes_on_after_unclosed_tags(tag):
+    assert html_extract.extract(f"<article><p>{LONG}</p><{tag}><p>{LONG}</p></article>").count(LONG) == 2
+
+
 def test_toxicity(spark):
     toxic = [f"{prose(20, k)}. you are a wretched snarfle and worse." for k in range(80)]
     clean = [f"{prose(25, 1000 + k)}. a fine day." for k in range(240)]
