@@ -23,14 +23,14 @@ SIZE = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Pieces of every document: its ids and the end id, cut only if they exceed ``size``; the first piece takes what is over."""
     end = int(END_ID).to_bytes(4, "little")
 
     def cut(batches):
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), vocabulary), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), vocabulary, added_tokens), strict=True):
                 ids += end
                 n = len(ids) // 4
                 first = (n - 1) % size + 1
@@ -184,11 +184,11 @@ def place(pieces: DataFrame, size: int = SIZE, nodes: int = 4000) -> DataFrame:
     return ranked(pieces).select(*order, "rank").mapInPandas(put, schema)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Packs every document: one row a piece with its sequence and its place there.
 
     A null or empty text is the end id alone. Equal rows are packed each on its own; a null id stays null. An empty
     table gives no rows. Only ``id_col`` and ``text_col`` are read, other columns do not matter.
     """
-    pieces, _ = stored(token_pieces(docs, vocabulary or default_vocabulary(), size, id_col, text_col), "pieces")
+    pieces, _ = stored(token_pieces(docs, vocabulary or default_vocabulary(), size, id_col, text_col, added_tokens), "pieces")
     return place(pieces, size)

@@ -40,7 +40,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added_tokens=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.round_trip(table(spark, sf_dir, "documents"))
+    return token_output.round_trip(table(spark, sf_dir, "documents"), added_tokens=True)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def pfor_decode(data: bytes) -> np.ndarray:
     return (out + low[:, None]).reshape(-1)[:n]
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_ids: int = CHUNK_IDS) -> None:
+def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_ids: int = CHUNK_IDS, added_tokens: bool = False) -> None:
     """Writes the ids of all documents (null text: the end id alone) under ``path``, ascending by id, null ids first.
 
     Rows that share an id follow each other, ordered by text. Other columns are not read.
@@ -119,7 +119,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, id_col:
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for key, coded in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), vocabulary), strict=True):
+            for key, coded in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), vocabulary, added_tokens), strict=True):
                 keys.append(key)
                 ids.append(coded + end)
                 held += len(ids[-1]) // 4
@@ -156,11 +156,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("part_start", "_first", "n_docs", "doc_ids", "doc_lengths", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Writes the documents' ids into the shared folder and returns what the files hold."""
     import uuid
 
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/rowkin-ids-{uuid.uuid4().hex}"
-    write_ids(docs, path, vocabulary)
+    write_ids(docs, path, vocabulary, added_tokens=added_tokens)
     return read_ids(spark, path)

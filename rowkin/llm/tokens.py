@@ -9,13 +9,14 @@ kind of tokenizer, go to the library whole.
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
 import regex
 
 END_ID = 0
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def default_vocabulary() -> str:
@@ -41,17 +42,22 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts into little-endian uint32 bytes. ``cache_pieces`` bounds the memory of the caches, not the result."""
+    """Encodes texts into little-endian uint32 bytes. ``cache_pieces`` bounds the memory of the caches, not the result.
 
-    def __init__(self, path: str, cache_pieces: int = 300_000, cache_length: int = 48):
+    ``added_tokens``: an added token that a text spells out is that token, as the library has it by default; else it is text.
+    """
+
+    def __init__(self, path: str, added_tokens: bool = False, cache_pieces: int = 300_000, cache_length: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         kind = json.loads(self.tokenizer.to_str())
         before = kind.get("pre_tokenizer") or {}
         self.plain = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         self.letters, self.model = byte_letters(), self.tokenizer.model
+        added = [re.escape(t["content"]) for t in kind.get("added_tokens") or () if added_tokens]
+        self.added = re.compile("|".join(added)) if added else None
         self.cache: dict[str, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
         self.cache_pieces, self.cache_length = cache_pieces, cache_length
@@ -79,6 +85,11 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object a text; a null text is empty."""
+        if self.added and self.plain:
+            whole = {i: self._whole(t) for i, t in enumerate(texts) if t and self.added.search(t)}
+            texts = [None if i in whole else t for i, t in enumerate(texts)]
+        else:
+            whole = {}
         split, new = [], set()
         for text in texts:
             if not text:
@@ -99,14 +110,16 @@ class Encoder:
             if None in got:
                 got = [known[x] if b is None else b for x, b in zip(pieces, got, strict=True)]
             out.append(b"".join(got))
+        for i, ids in whole.items():
+            out[i] = ids
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, added_tokens) not in _ENCODERS:
+        _ENCODERS[path, added_tokens] = Encoder(path, added_tokens)
+    return _ENCODERS[path, added_tokens]
 
 
 def slices(texts: list[str | None], most_chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -121,8 +134,8 @@ def slices(texts: list[str | None], most_chars: int = 1 << 20) -> Iterator[tuple
         yield start, len(texts)
 
 
-def encoded(texts: list[str | None], path: str) -> Iterable[bytes]:
+def encoded(texts: list[str | None], path: str, added_tokens: bool = False) -> Iterable[bytes]:
     """Ids of each text as bytes, in order."""
-    own = encoder(path)
+    own = encoder(path, added_tokens)
     for a, b in slices(texts):
         yield from own.encode(texts[a:b])

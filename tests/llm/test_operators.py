@@ -192,6 +192,22 @@ def test_token_files(spark):
     assert token_output.round_trip(documents(spark).limit(0)).count() == 0
 
 
+def test_queries_take_added_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from rowkin.llm import queries
+    from rowkin.llm.tokens import default_vocabulary
+
+    plain = Tokenizer.from_file(default_vocabulary())
+    documents(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    start, ids = 0, {i: np.array(plain.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for i, t in enumerate(ODD)}
+    for r in sorted(queries.op9_token_output(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id].tobytes()))
+        start += len(ids[r.doc_id])
+    for r in queries.op7_best_fit_packing(spark, str(tmp_path)).collect():
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_pfor_round_trip(seed):
     rng = np.random.default_rng(seed)
