@@ -1,17 +1,16 @@
-"""Substring dedup: passages that stand in several documents are found by MinHash, verified exactly, and removed but once.
-
-Every run of PASSAGE words is a paragraph, so a passage is found wherever it stands in a text. A paragraph's band is one
-MinHash value over its five-word shingles. Equal paragraphs always share it, and a passage of n words has n - PASSAGE + 1
-chances, so one band is tuned to full recall on repeats; overlapping paragraphs mostly share their value, so a text sends
-about one band for 23 words. Bands seen in two documents are anchors. Around an anchor, runs of RUN words on a fixed grid
-are compared exactly (any common run of PASSAGE words around it holds one of them). The first document with a run keeps
-it, the others lose it. Runs that meet join, and join across small edits while the exact Jaccard similarity with the
-first document's passage stays at 0.8.
-
-Edited passages: two passages of PASSAGE words or more with a five-word Jaccard of 0.8 share a run of NEAR words when
-their edits are single words, so the least shingle of each such run, alone and with the next one, is a key. The first
-document with a key stands for it; others are aligned with it around the key, and lose every window of PASSAGE words or
-more whose exact Jaccard with the aligned window is at least 0.8. Documents linked by removals are clustered by components.
+"""Substring dedup: repeated passages, exact or edited, are found by MinHash bands of paragraphs, verified exactly, and removed but once.
+
+Every run of PASSAGE words of a text is a paragraph, so a passage is found wherever it stands. A paragraph has FUNCTIONS
+MinHash values over its five-word shingles, each a band of one row: paragraphs whose Jaccard similarity is 0.8 share at
+least one with probability 1 - 0.2**3 = 0.992, equal ones always. A least shingle is the shared value of all paragraphs
+around it, so a text sends about one band for eight words, with the place where it stands (an anchor).
+
+Documents that collide in a band are joined with its first document, CONTEXT shingles on each side of the anchor. The
+two contexts are aligned, and every window of PASSAGE words or more whose exact Jaccard (shingles counted by place, in
+the order of both texts) is at least THRESHOLD is a repeat. Anchors that their band's first document doesn't verify
+stand on words that many texts share. They get a second chance under longer keys: exact runs of RUN words around the
+anchor (any repeat of PASSAGE words around it holds one of them, in every document that has it), and the runs of HALF
+shingles before and after it, for edited passages. Removals link documents; components of links are classes.
 """
 
 from __future__ import annotations
@@ -20,29 +19,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.llm.common import forget, mix64, stored
 from rowkin.llm.components import components
-from rowkin.llm.shingles import WORD, WORDS, rolled, word_hashes
+from rowkin.llm.shingles import WORD, WORDS, forget_words, rolled, word_hashes
 from rowkin.llm.tokens import slices
 
 PASSAGE = 50
-RUN = 43
 THRESHOLD = 0.8
-#: Words that edits between two runs may take on either side.
-GAP = 12
-#: Places of a run's start before an anchor: any common run of PASSAGE words that holds the anchor holds one of these.
+#: MinHash values of a paragraph, each a band.
+FUNCTIONS = 3
+#: Words of an exact run, and the places of its start before an anchor: any common run of PASSAGE words that holds the anchor holds one of these.
+RUN = 43
 GRID = (0, 8, 16, 24, 32, 38)
-#: Words of the run whose least shingle finds edited passages.
-NEAR = 25
-#: Words on each side of a key that are aligned; keys of one alignment that stand closer than STEP are aligned once.
+#: Shingles of the runs before and after an anchor that key edited passages.
+HALF = 10
+#: Shingles on each side of an anchor that are aligned. Of the anchors of two documents on one diagonal, one in each STRIDE words is aligned, so contexts overlap.
 CONTEXT = 96
-STEP = 40
+STRIDE = 64
 #: Words by which edits may shift an alignment.
 DRIFT = 24
-_POWERS = np.cumprod(np.full(RUN, 0x9E3779B97F4A7C15, dtype=np.uint64))
+#: Alignments that a worker does at once.
+ALIGNED = 4096
+#: Order of a null id: after all others.
+LAST = (1 << 63) - 1
+_SALTS = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -54,148 +58,204 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def anchors(starts: np.ndarray, shingles: np.ndarray, passage: int = PASSAGE) -> np.ndarray:
-    """Places of shingles that are the least of some paragraph of their text. ``starts``: of texts, in words."""
+def anchors(starts: np.ndarray, shingles: np.ndarray, passage: int = PASSAGE, functions: int = FUNCTIONS) -> np.ndarray:
+    """Places of shingles that are the least of some paragraph of their text under some function. ``starts``: of texts, in words."""
     width = passage - WORDS + 1
     if len(shingles) < width:
         return np.zeros(0, dtype=np.int64)
-    least = _sliding(shingles, width, np.minimum)
-    place = np.arange(len(least))
+    place = np.arange(len(shingles) - width + 1)
     text = np.searchsorted(starts, place, "right") - 1
-    least = np.where(place + passage <= starts[text + 1], least, 0)  # not across two texts
+    whole = place + passage <= starts[text + 1]  # not across two texts
     fence = np.zeros(width - 1, dtype=np.uint64)
-    return np.flatnonzero(_sliding(np.concatenate([fence, least, fence]), width, np.maximum) == shingles)
-
+    chosen = np.zeros(len(shingles), dtype=bool)
+    for salt in _SALTS[:functions]:
+        values = mix64(shingles ^ salt) if salt else shingles
+        values = np.maximum(values, np.uint64(1))
+        least = np.where(whole, _sliding(values, width, np.minimum), 0)
+        chosen |= _sliding(np.concatenate([fence, least, fence]), width, np.maximum) == values
+    return np.flatnonzero(chosen)
 
-def _shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, starts = word_hashes(texts, keep=True)
-    shingles = rolled(words)
-    shingles[shingles == 0] = 1
-    return words, starts, shingles
 
-
-def run_hashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of the RUN words from each place on."""
-    out = np.empty(len(at), dtype=np.uint64)
-    for x in range(0, len(at), 65536):
-        out[x : x + 65536] = (words[at[x : x + 65536, None] + np.arange(RUN)] * _POWERS).sum(axis=1, dtype=np.uint64)
-    return mix64(out)
-
-
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """What names a document and orders documents: its id, or for a null id a hash of its text."""
-    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+def numbered(docs: DataFrame, id_col: str, text_col: str, label: str) -> tuple[DataFrame, str]:
+    """A written table with a row for each of ``docs``: its number ``row``, ``ord`` (its id, null last), ``digest`` of its text, and ``doc``, its columns."""
+    marks = (F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("digest"))
+    return stored(docs.select(*marks, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), label)
 
 
 def band_rows(named: DataFrame) -> DataFrame:
-    """(band, doc, place, wide) of every text: wide ones are bands of paragraphs, the others keys of edited passages. ``named``: doc, text."""
+    """(band, ord, row, place): every anchor of every text. ``named``: row, ord, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            rows, orders, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for x, y in slices(texts):
-                _, starts, shingles = _shingles(texts[x:y])
-                at = anchors(starts, shingles, NEAR)
+                words, starts = word_hashes(texts[x:y], keep=True)
+                shingles = rolled(words)
+                at = anchors(starts, shingles)
                 text = np.searchsorted(starts, at, "right") - 1
-                long = starts[text + 1] - starts[text] >= PASSAGE
-                at, text = at[long], text[long]
-                keys = shingles[at]
-                pair = np.flatnonzero(text[1:] == text[:-1])
-                both = mix64(keys[pair] * np.uint64(0x9E3779B97F4A7C15) + keys[pair + 1])
-                wide = np.concatenate([np.isin(at, anchors(starts, shingles), assume_unique=True), np.zeros(len(pair), dtype=bool)])
-                at, text = np.concatenate([at, at[pair]]), np.concatenate([text, text[pair]])
-                bands = np.concatenate([keys, both]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(docs[x:y][text], pa.int64()), pa.array((at - starts[text]).astype(np.int32)), pa.array(wide)], names=["band", "doc", "place", "wide"])
+                columns = (shingles[at].view(np.int64), orders[x:y][text], rows[x:y][text], (at - starts[text]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["band", "ord", "row", "place"])
+        forget_words()
 
-    return named.select("doc", "text").mapInArrow(run, "band long, doc long, place int, wide boolean")
+    return named.select("row", "ord", "text").mapInArrow(run, "band long, ord long, row long, place int")
 
 
-def run_rows(named: DataFrame, hits: DataFrame) -> DataFrame:
-    """(run, doc, start): the runs around the anchors that ``hits`` (doc, bands) lists."""
+def context_rows(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, place, at, context): 32-bit shingles around each place that ``wanted`` (row, place) asks for, the place being at position ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts, bands = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2)
+            rows, texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for x, y in slices(texts):
-                words, starts, shingles = _shingles(texts[x:y])
-                at = anchors(starts, shingles)
-                text = np.searchsorted(starts, at, "right") - 1
-                own = np.zeros(len(at), dtype=bool)
-                for i in range(y - x):
-                    a, b = np.searchsorted(text, [i, i + 1])
-                    if b > a:
-                        own[a:b] = np.isin(shingles[at[a:b]].view(np.int64), bands[x + i].values.to_numpy())
-                at, text = at[own], text[own]
-                begin = (at[:, None] - np.array(GRID)).ravel()
-                text = np.repeat(text, len(GRID))
-                fits = (begin >= starts[text]) & (begin + RUN <= starts[text + 1])
-                hit = np.unique(text)
-                ends = np.concatenate([starts[hit], starts[hit + 1] - RUN])  # a text's first and last run, so that passages there go whole
-                begin = np.unique(np.concatenate([begin[fits], ends]))
-                text = np.searchsorted(starts, begin, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(run_hashes(words, begin).view(np.int64)), pa.array(docs[x:y][text], pa.int64()), pa.array((begin - starts[text]).astype(np.int32))], names=["run", "doc", "start"])
-
-    return named.join(hits, "doc").select("doc", "text", "bands").mapInArrow(run, "run long, doc long, start int")
-
-
-def regions(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Word ranges to remove, from runs (start, first document, start there) that other documents have first.
-
-    Runs that meet or overlap join. Two neighbours that stand at most GAP words apart in both documents join if the
-    Jaccard similarity of the joined passages is at least THRESHOLD, counting no shingle of the gap as common.
+                words, starts = word_hashes(texts[x:y], keep=True)
+                shingles = np.maximum((rolled(words) >> np.uint64(32)).astype("<u4"), 2)  # 0 and 1 stand for no word
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                for i in range(x, y):
+                    a, b = int(starts[i - x]), int(starts[i - x + 1]) - WORDS + 1
+                    own = shingles[a:b]
+                    for p in places[i].values.to_pylist():
+                        low = max(0, p - CONTEXT)
+                        for column, value in zip(out, (rows[i], p, p - low, own[low : p + CONTEXT + 1].tobytes()), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["row", "place", "at", "context"])
+        forget_words()
+
+    lists = wanted.groupBy("row").agg(F.collect_set("place").alias("places"))  # at most the words of a document
+    return named.join(lists, "row").select("row", "text", "places").mapInArrow(run, "row long, place int, at int, context binary")
+
+
+def _grid(contexts: list[bytes], at: np.ndarray, blank: int) -> np.ndarray:
+    """Contexts as rows of 2 * CONTEXT + 1 shingles, the anchor in the middle."""
+    flat = np.frombuffer(b"".join(contexts), "<u4")
+    sizes = np.array([len(c) // 4 for c in contexts], dtype=np.int64)
+    out = np.full((len(contexts), 2 * CONTEXT + 1), blank, dtype=np.uint32)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + CONTEXT - at[row]] = flat
+    return out
+
+
+def matched(here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """For each shingle of ``here`` the place of an equal one in ``there``, -1 if none: ascending from left to right, at most DRIFT off.
+
+    Rows are pairs of contexts that agree in the middle. From there outwards the nearest diagonal is taken; off the
+    middle diagonal, two shingles in a row must agree.
     """
-    exact: list[list[int]] = []  # start, end, first document of the last run, end there, words in common, start there
-    for start, doc, there in sorted(found):
-        if exact and start <= exact[-1][1]:
-            exact[-1][1] = max(exact[-1][1], start + RUN)
-            exact[-1][2:4] = [doc, there + RUN]
-        else:
-            exact.append([start, start + RUN, doc, there + RUN, doc, there])
-    out: list[list[int]] = []  # start, end, last document, end there, start there, shingles in common
-    for start, end, last, last_end, doc, there in exact:
-        if out and out[-1][2] == doc and 0 <= there - out[-1][3] <= GAP and start - out[-1][1] <= GAP:
-            common = out[-1][5] + end - start - WORDS + 1
-            here, other = end - out[-1][0] - WORDS + 1, last_end - out[-1][4] - WORDS + 1
-            if last == doc and common >= THRESHOLD * (here + other - common):
-                out[-1][1:4] = [end, last, last_end]
-                out[-1][5] = common
-                continue
-        out.append([start, end, last, last_end, there, end - start - WORDS + 1])
-    return [(r[0], r[1]) for r in out]
-
-
-def aligned(here: np.ndarray, at: int, other: np.ndarray, there: int) -> list[tuple[int, int]]:
-    """Word ranges of ``here`` whose windows of PASSAGE words or more have an exact Jaccard of THRESHOLD or more with ``other``'s.
-
-    Both are shingles of contexts; the key stands at ``at`` and ``there``. Windows begin and end with a common shingle.
+    n, width = here.shape
+    places = np.arange(width, dtype=np.int32)
+    to = np.where(here == there, places, np.int32(-1))
+    poor = np.flatnonzero((to < 0).any(axis=1))
+    if len(poor):
+        a, b, own = here[poor], there[poor], to[poor]
+        for s in sorted(range(-DRIFT, DRIFT + 1), key=abs)[1:]:
+            left, right = max(0, -s), width - max(0, s)
+            same = a[:, left:right] == b[:, left + s : right + s]
+            two = same[:, 1:] & same[:, :-1]
+            run = np.zeros_like(same)
+            run[:, 1:] |= two
+            run[:, :-1] |= two
+            part = own[:, left:right]
+            np.copyto(part, places[left + s : right + s], where=run & (part < 0))
+        right = own[:, CONTEXT:]
+        before = np.maximum.accumulate(right, axis=1)
+        right[:, 1:][right[:, 1:] <= before[:, :-1]] = -1
+        left = np.where(own[:, CONTEXT::-1] < 0, width, own[:, CONTEXT::-1])
+        after = np.minimum.accumulate(left, axis=1)
+        drop = left[:, 1:] >= after[:, :-1]
+        own[:, CONTEXT - 1 :: -1][drop] = -1
+        to[poor] = own
+    return to
+
+
+def windows(to: np.ndarray, passage: int = PASSAGE, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
+    """(row, begin, end) in shingles of windows with an exact Jaccard of ``threshold`` or more; ``to``: what ``matched`` returns.
+
+    Only windows that begin and end with a run of common shingles need a look: one that takes in more of a run is only
+    more alike.
     """
-    order = np.argsort(other, kind="stable")
-    sorted_other = other[order]
-    low, high = np.searchsorted(sorted_other, here, "left"), np.searchsorted(sorted_other, here, "right")
-    a = np.flatnonzero(high > low)
-    least, shift = PASSAGE - WORDS + 1, there - at
-    if len(a) < THRESHOLD * least:
+    least = passage - WORDS + 1
+    to = to[:, :].copy()
+    to[(to >= 0).sum(axis=1) < threshold * least] = -1
+    row, a = np.nonzero(to >= 0)
+    if not len(row):
         return []
-    if (high[a] - low[a] == 1).all():
-        b = order[low[a]]
-        near = abs(b - a - shift) <= DRIFT
-        a, b = a[near], b[near]
-    if (high[a] - low[a] > 1).any() or (np.diff(b) <= 0).any():  # repeated shingles: the place next to the key's diagonal that keeps the order
-        pairs, last = [], -1
-        for i in a:
-            places = order[low[i] : high[i]]
-            places = places[(places > last) & (abs(places - i - shift) <= DRIFT)]
-            if len(places):
-                last = int(places[np.argmin(abs(places - i - shift))])
-                pairs.append((int(i), last))
-        a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
-    if len(a) < THRESHOLD * least:
-        return []
-    new = np.flatnonzero((np.diff(a) != 1) | (np.diff(b) != 1)) + 1  # runs; a window that takes in more of a run is only more alike
-    first, last = np.concatenate([[0], new]), np.concatenate([new, [len(a)]]) - 1
-    long, wide, common = a[last][None, :] - a[first][:, None] + 1, b[last][None, :] - b[first][:, None] + 1, last[None, :] - first[:, None] + 1
-    good = (np.minimum(long, wide) >= least - 1) & (np.maximum(long, wide) >= least) & (common >= THRESHOLD * (long + wide - common))
-    return [(int(a[first[i]]), int(a[last[np.flatnonzero(good[i])[-1]]]) + WORDS) for i in np.flatnonzero(good.any(axis=1))]
+    b = to[row, a]
+    new = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(a) != 1) | (np.diff(b) != 1)])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    out: list[tuple[int, int, int]] = []
+    ends = np.append(np.flatnonzero(np.diff(row[first])) + 1, len(first))
+    begin, runs = 0, list(zip(a[first].tolist(), a[last].tolist(), b[first].tolist(), b[last].tolist(), first.tolist(), last.tolist(), strict=True))
+    for end in ends.tolist():
+        own, r = runs[begin:end], int(row[first[begin]])
+        for i, (a0, _, b0, _, f, _) in enumerate(own):
+            for _, a1, _, b1, _, g in reversed(own[i:]):
+                long, wide, common = a1 - a0 + 1, b1 - b0 + 1, g - f + 1
+                if max(long, wide) < least or min(long, wide) < least - 1:
+                    break
+                if common >= threshold * (long + wide - common):
+                    out.append((r, a0, a1 + 1))
+                    break
+        begin = end
+    return out
+
+
+def verified_spans(seeds: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(row, place, from, begin, end) of ``seeds`` (row, place, from, there): windows found around them, in words; one row with null begin and end if none."""
+    here = contexts.select("row", "place", "at", "context")
+    there = contexts.select(F.col("row").alias("from"), F.col("place").alias("there"), F.col("at").alias("at2"), F.col("context").alias("context2"))
+    names = ["row", "place", "from", "begin", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for x in range(0, whole.num_rows, ALIGNED):
+                batch = whole.slice(x, ALIGNED)
+                row, place, source, at, at2 = (batch.column(k).to_numpy() for k in range(5))
+                found = windows(matched(_grid(batch.column(5).to_pylist(), at, 0), _grid(batch.column(6).to_pylist(), at2, 1)))
+                i = np.array([f[0] for f in found], dtype=np.int64)
+                begin, end = (np.array([f[k] for f in found], dtype=np.int64) + place[i] - CONTEXT for k in (1, 2))
+                none = np.setdiff1d(np.arange(len(row)), i)
+                i = np.concatenate([i, none])
+                gap = [None] * len(none)
+                yield pa.RecordBatch.from_arrays([pa.array(row[i]), pa.array(place[i]), pa.array(source[i]), pa.array(begin.tolist() + gap, pa.int32()), pa.array((end + WORDS - 1).tolist() + gap, pa.int32())], names=names)
+
+    pairs = seeds.join(here, ["row", "place"]).join(there, ["from", "there"])
+    return pairs.select("row", "place", "from", "at", "at2", "context", "context2").mapInArrow(run, "row long, place int, from long, begin int, end int")
+
+
+def longer_keys(contexts: DataFrame) -> DataFrame:
+    """(band, row, place): keys of the runs around the anchors of ``contexts`` (row, place, at, context)."""
+    size = RUN - WORDS + 1
+    kinds = [(-b, size) for b in GRID] + [(-HALF, HALF), (1, HALF)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, at = (batch.column(k).to_numpy() for k in range(3))
+            grid = _grid(batch.column(3).to_pylist(), at, 0).astype(np.uint64)
+            for k, (begin, length) in enumerate(kinds):
+                own = grid[:, CONTEXT + begin : CONTEXT + begin + length]
+                full = (own > 0).all(axis=1)
+                key = np.full(len(row), k + 1, dtype=np.uint64)
+                for c in range(length):
+                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + own[:, c])
+                if k >= len(GRID):  # with the anchor's own shingle, either side
+                    key = mix64(key + grid[:, CONTEXT])
+                yield pa.RecordBatch.from_arrays([pa.array(key[full].view(np.int64)), pa.array(row[full]), pa.array(place[full])], names=["band", "row", "place"])
+
+    return contexts.select("row", "place", "at", "context").mapInArrow(run, "band long, row long, place int")
+
+
+def seeds_of(bands: DataFrame, whole: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """(row, place, from, there, ord): anchors to align, each with the first document of its band; ``whole`` (row): rows that need none.
+
+    Of the anchors that two documents share on one diagonal, the first in each STRIDE words.
+    """
+    one = bands.groupBy("band").agg(F.min(F.struct("ord", "row", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("first.row").alias("from"), F.col("first.place").alias("there"))
+    firsts, firsts_path = stored(one, "firsts")  # written, so that a common band's rows can be dealt to several tasks
+    found = bands.join(firsts, "band").filter("row <> from").select("row", "ord", "place", "from", (F.col("place") - F.col("there")).alias("shift"))
+    thin = found.join(whole, "row", "left_anti").groupBy("row", "from", "shift", F.expr(f"place div {STRIDE}").alias("_step")).agg(F.min("place").alias("place"), F.first("ord").alias("ord"))
+    seeds, path = stored(thin.select("row", "place", "from", (F.col("place") - F.col("shift")).alias("there"), "ord"), label)
+    forget(bands.sparkSession, firsts_path)
+    return seeds, path
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -209,148 +269,109 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-
-
-def edited_spans(named: DataFrame, bands: DataFrame, cut: DataFrame) -> DataFrame:
-    """(doc, spans, links) of documents that hold an edited copy of a passage of an earlier one; ``cut``: what exact runs remove."""
-    firsts = bands.groupBy("band").agg(F.min(F.struct("doc", "place")).alias("first"), F.max("doc").alias("high")).filter("first.doc < high").select("band", "first")
-    found = bands.join(firsts, "band").filter("doc > first.doc").select("doc", F.struct(F.col("first.doc").alias("from"), "place", F.col("first.place").alias("there")).alias("seed"))
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for doc, seeds, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                kept: dict[tuple[int, int], int] = {}
-                for source, place, there in sorted((x["from"], x["place"], x["there"]) for x in seeds):
-                    if any((s["begin"] <= max(0, place - PASSAGE)) and s["end"] >= place + WORDS + PASSAGE for s in spans or ()):
-                        continue
-                    key = source, place - there
-                    if place - kept.get(key, -STEP) >= STEP:
-                        kept[key] = place
-                        out.append((doc, place, source, there))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["doc", "place", "from", "there"])
-
-    seeds, seeds_path = stored(found.groupBy("doc").agg(F.collect_set("seed").alias("seeds")).join(cut, "doc", "left").select("doc", "seeds", "spans").mapInArrow(thin, "doc long, place int, from long, there int"), "seeds")
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for x, y in slices(texts):
-                _, starts, shingles = _shingles(texts[x:y])
-                rows = []
-                for i in range(x, y):
-                    own = shingles[starts[i - x] : max(starts[i - x], starts[i - x + 1] - WORDS + 1)]
-                    for p in places[i]:
-                        low = max(0, p - CONTEXT)
-                        rows.append((docs[i], p, p - low, own[low : p + CONTEXT].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["from", "there", "key", "context"])
-
-    wanted = seeds.groupBy(F.col("from").alias("doc")).agg(F.collect_set("there").alias("places"))
-    sources = named.join(wanted, "doc").select("doc", "text", "places").mapInArrow(contexts, "from long, there int, key int, context binary")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, texts, founds = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            out = []
-            for x, y in slices(texts):
-                _, starts, shingles = _shingles(texts[x:y])
-                for i in range(x, y):
-                    own = shingles[starts[i - x] : max(starts[i - x], starts[i - x + 1] - WORDS + 1)]
-                    spans, links = [], set()
-                    for s in founds[i].as_py():
-                        low = max(0, s["place"] - CONTEXT)
-                        got = aligned(own[low : s["place"] + CONTEXT], s["place"] - low, np.frombuffer(s["context"], dtype=np.uint64), s["key"])
-                        if got:
-                            spans += [(low + a, low + b) for a, b in got]
-                            links.add(s["from"])
-                    if spans:
-                        out.append((docs[i], [{"begin": a, "end": b} for a, b in merged(spans)], sorted(links)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), SPANS, pa.list_(pa.int64())))], names=["doc", "spans", "links"])
-
-    found = seeds.join(sources, ["from", "there"]).groupBy("doc").agg(F.collect_list(F.struct("place", "from", "key", "context")).alias("found"))
-    out, _ = stored(named.join(found, "doc").select("doc", "text", "found").mapInArrow(verified, "doc long, spans array<struct<begin: int, end: int>>, links array<long>"), "edited")
-    forget(named.sparkSession, seeds_path)
-    return out
-
+def removals(rows: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, list[str]]:
+    """(row, spans, whole) of the rows that lose words, (row, root) of the rows that removals link, and paths to forget. ``rows``: what ``numbered`` writes.
 
-def removals(named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, spans) of the documents that lose words, and (doc, class) of the documents that removals link. ``named``: doc, text."""
-    spark = named.sparkSession
+    ``whole``: the text is a copy, character by character, of an earlier row's, and goes whole (its spans are null).
+    """
+    spark = rows.sparkSession
+    named = rows.select("row", "ord", F.col("doc")[text_col].cast("string").alias("text"))
+    digests = rows.filter("digest is not null").select("digest", "row", "ord")
+    heads, heads_path = stored(digests.groupBy("digest").agg(F.min(F.struct("ord", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.row").alias("from")), "heads")
     bands, bands_path = stored(band_rows(named), "bands")
-    wide = bands.filter("wide")
-    repeated = wide.groupBy("band").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("band")
-    hits = wide.join(repeated, "band").groupBy("doc").agg(F.collect_set("band").alias("bands"))  # at most the words of a document
-    runs, runs_path = stored(run_rows(named, hits), "runs")
-    firsts = runs.groupBy("run").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("doc").alias("high")).filter("first.doc < high").select("run", "first")
-    spans = runs.join(firsts, "run").filter("doc > first.doc").select("doc", "start", F.col("first.doc").alias("from"), F.col("first.start").alias("there")).distinct()
-    spans, _ = stored(spans, "spans")
-    forget(spark, runs_path)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[{"begin": a, "end": b} for a, b in regions([(r["start"], r["from"], r["there"]) for r in own])] for own in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPANS)], names=["doc", "spans"])
+    long = bands.select("row").distinct()  # texts of PASSAGE words or more
+    copies, copies_path = stored(digests.join(heads, "digest").filter("row <> from").select("row", "from").join(long, "row", "left_semi"), "copies")
+
+    seeds, seeds_path = seeds_of(bands, copies.select("row"), "seeds")
+    forget(spark, bands_path)
+    wanted = seeds.select("row", "place").unionByName(seeds.select(F.col("from").alias("row"), F.col("there").alias("place"))).distinct()
+    contexts, contexts_path = stored(context_rows(named, wanted), "contexts")
+    spans, spans_path = stored(verified_spans(seeds, contexts), "spans")
+
+    left = spans.filter("begin is null").select("row", "place").join(spans.filter("begin is not null").select("row", "place").distinct(), ["row", "place"], "left_anti").distinct()
+    orders = seeds.select("row", "ord").distinct()
+    second, second_path = stored(longer_keys(contexts.join(left, ["row", "place"], "left_semi")).join(orders, "row"), "longer")
+    again, again_path = seeds_of(second, copies.select("row"), "again")
+    more, more_path = stored(verified_spans(again, contexts), "spans")
+    for path in (heads_path, contexts_path, seeds_path, second_path, again_path):
+        forget(spark, path)
+
+    every = spans.unionByName(more).filter("begin is not null")
+    links = every.select(F.col("row").alias("a"), F.col("from").alias("b")).unionByName(copies.select(F.col("row").alias("a"), F.col("from").alias("b")))
+    groups, groups_path = components(links.distinct())
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[{"begin": a, "end": b} for a, b in merged([(s["begin"], s["end"]) for own in lists for s in own])] for lists in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPANS)], names=["doc", "spans"])
+            out = [[{"begin": a, "end": b} for a, b in merged([(s["begin"], s["end"]) for s in own])] for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPANS)], names=["row", "spans"])
 
-    cut = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "from", "there")).alias("found")).mapInArrow(joined, "doc long, spans array<struct<begin: int, end: int>>")
-    cut, _ = stored(cut, "cut")
-    edited = edited_spans(named, bands, cut)
-    forget(spark, bands_path)
-    links = spans.select(F.col("doc").alias("a"), F.col("from").alias("b")).unionByName(edited.select(F.col("doc").alias("a"), F.explode("links").alias("b")))
-    groups, _ = components(links)
-    cut = cut.unionByName(edited.select("doc", "spans")).groupBy("doc").agg(F.collect_list("spans").alias("lists")).mapInArrow(together, "doc long, spans array<struct<begin: int, end: int>>")
-    return cut, groups.select(F.col("node").alias("doc"), F.col("root").alias("class"))
+    cut = every.select("row", F.struct("begin", "end").alias("span")).distinct().groupBy("row").agg(F.collect_list("span").alias("found")).mapInArrow(together, "row long, spans array<struct<begin: int, end: int>>")
+    cut = cut.withColumn("whole", F.lit(False)).unionByName(copies.select("row", F.lit(None).cast("array<struct<begin: int, end: int>>").alias("spans"), F.lit(True).alias("whole")))
+    return cut, groups.withColumnsRenamed({"node": "row"}), [spans_path, more_path, copies_path, groups_path]
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` less the words of ``spans``, with what follows each up to the next word."""
-    places = [m.start() for m in WORD.finditer(text)]
-    ends = [m.end() for m in WORD.finditer(text)] if spans else []
+    """``text`` less the words of ``spans``, with what follows each up to the next word; spans beyond the text count as far as it goes."""
+    found = [(m.start(), m.end()) for m in WORD.finditer(text)]
     out, at = "", 0
-    for begin, end in sorted(spans):
-        a = places[begin]
-        b = places[end] if end < len(places) else len(text)
-        out += text[at:a]
-        if "\n" in text[ends[end - 1] : b] and out and out[-1] != "\n":
+    for begin, end in merged(spans):
+        begin, end = max(0, begin), min(end, len(found))
+        if begin >= end:
+            continue
+        b = found[end][0] if end < len(found) else len(text)
+        out += text[at : found[begin][0]]
+        if "\n" in text[found[end - 1][1] : b] and out and out[-1] != "\n":
             out = out.rstrip(" ") + "\n"
         at = b
     return out + text[at:]
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_removed, spans for every row: word ranges that an earlier document (smaller id) has too.
-
-    Words are runs of letters, digits and underscores, compared in lower case. A passage of PASSAGE words or more that
-    stands in several documents is always found; what is removed is part of an exact run of at least RUN words that
-    an earlier document has, or of a window of at least PASSAGE words with a Jaccard of at least THRESHOLD. class_id is the least id of the documents that removals link; a document without any has
-    its own. Null texts and texts of fewer than RUN words lose nothing. A null id stays null and is named by a hash of
-    its text in class ids; rows that share an id are one document. An empty table gives no rows; other columns are not
-    read.
+    """doc_id, class_id, n_removed, spans for every row: word ranges that an earlier row has too.
+
+    Words are runs of letters, digits and underscores, compared in lower case. Earlier: smaller id, null ids last, of
+    equal ids the row that is read first. Removed are windows of PASSAGE words or more whose exact Jaccard with a window
+    of an earlier row is at least THRESHOLD, within CONTEXT shingles of an anchor that both share; windows that meet are
+    one. Copies, character by character, of an earlier text of PASSAGE words or more go whole. class_id is the least id
+    of the rows that removals link (null if none of them has one); a row without any has its own. Null texts and texts
+    of fewer than PASSAGE words lose nothing. Rows that share an id are rows each. An empty table gives no rows; other
+    columns are not read.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), keyed(docs, id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    cut, groups = removals(named)
-    rows = named.select("doc_id", "doc").join(cut, "doc", "left").join(groups, "doc", "left")
-    size = F.aggregate("spans", F.lit(0), lambda t, s: t + s["end"] - s["begin"])
-    return rows.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce(size, F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.array().cast("array<struct<begin: int, end: int>>")).alias("spans"))
+
+    @F.arrow_udf("int")
+    def n_words(texts: pa.Array) -> pa.Array:
+        return pa.array([len(WORD.findall(t)) for t in texts.to_pylist()], pa.int32())
+
+    rows, _ = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text", "rows")
+    cut, groups, _ = removals(rows)
+    own = rows.select("row", "ord", F.col("doc.id").alias("doc_id"))
+    least = groups.join(own, "row").groupBy("root").agg(F.min("ord").alias("least"))
+    classes = groups.join(least, "root").select("row", F.when(F.col("least") < LAST, F.col("least")).alias("class"), F.lit(True).alias("linked"))
+    sizes = rows.join(cut.filter("whole").select("row"), "row", "left_semi").select("row", n_words(F.col("doc.text")).alias("size"))
+    got = own.join(cut, "row", "left").join(classes, "row", "left").join(sizes, "row", "left")
+    spans = F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("begin"), F.col("size").alias("end")))).otherwise(F.col("spans"))
+    got = got.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<begin: int, end: int>>")))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + (s["end"] - s["begin"]))
+    return got.select("doc_id", F.when(F.col("linked"), F.col("class")).otherwise(F.col("doc_id")).alias("class_id"), removed.alias("n_removed"), "spans")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` without repeated passages; rows that lose all their words go. ``chars_col``, if there, follows the text."""
-    named = docs.withColumn("_p_doc", keyed(docs, id_col, text_col))
-    cut, _ = removals(named.select(F.col("_p_doc").alias("doc"), F.col(text_col).cast("string").alias("text")))
+    """``docs`` without repeated passages (see ``repeated_passages``); rows that lose all their words go.
+
+    Null, empty and wordless texts stay as they are. ``chars_col``, if there, follows the text. Other columns pass.
+    """
+    rows, _ = numbered(docs, id_col, text_col, "rows")
+    cut, _, _ = removals(rows, text_col)
 
     @F.arrow_udf("string")
     def less(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([without(t, [(s["begin"], s["end"]) for s in own]) if own else t for t, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+        left = (without(t, [(s["begin"], s["end"]) for s in own]) for t, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True))
+        return pa.array([t if WORD.search(t) else None for t in left], pa.string())
 
-    rows = named.join(cut.withColumnsRenamed({"doc": "_p_doc", "spans": "_p_spans"}), "_p_doc", "left")
-    kept, gone = rows.filter("_p_spans is null"), rows.filter("_p_spans is not null").withColumn(text_col, less(text_col, "_p_spans"))
-    gone = gone.filter(F.col(text_col).rlike("\\w"))
+    got = rows.join(cut, "row", "left")
+    kept = got.filter("whole is null").select("doc.*")
+    less_text = got.filter("not whole").withColumn("left", less(F.col("doc")[text_col].cast("string"), "spans")).filter("left is not null")
+    changed = {text_col: F.col("left")}
     if chars_col in docs.columns:
-        gone = gone.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return kept.unionByName(gone).select(*(F.col(f"`{c}`") for c in docs.columns))
+        changed[chars_col] = F.length("left").cast(docs.schema[chars_col].dataType)
+    return kept.unionByName(less_text.select(*(changed[c].alias(c) if c in changed else F.col("doc")[c].alias(c) for c in docs.columns)))

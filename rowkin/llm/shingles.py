@@ -27,6 +27,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget_words() -> None:
+    """Empties the worker's memory of words: workers outlive tasks, and the next one may need the room for something else."""
+    _HASHES.clear()
+
+
 def word_hashes(texts: list[str | None], keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-case words of all texts in a row, and where texts start (one entry more than texts).
 
