@@ -5,12 +5,12 @@ MinHash values over its five-word shingles, each a band of one row: paragraphs w
 least one with probability 1 - 0.2**3 = 0.992, equal ones always. A least shingle is the shared value of all paragraphs
 around it, so a text sends about one band for eight words, with the place where it stands (an anchor).
 
-Documents that collide in a band are joined with its first document, CONTEXT shingles on each side of the anchor. The
-two contexts are aligned, and every window of PASSAGE words or more whose exact Jaccard (shingles counted by place, in
-the order of both texts) is at least THRESHOLD is a repeat. Anchors that their band's first document doesn't verify
-stand on words that many texts share. They get a second chance under longer keys: exact runs of RUN words around the
-anchor (any repeat of PASSAGE words around it holds one of them, in every document that has it), and the runs of HALF
-shingles before and after it, for edited passages. Removals link documents; components of links are classes.
+Documents that collide in a band are joined with its first document if they agree with it on the HALF shingles before or
+after the anchor, else with the first document of those that agree with them there. CONTEXT shingles on each side of the
+two anchors are aligned, and every window of PASSAGE words or more whose exact Jaccard (shingles counted by place, in the
+order of both texts) is at least THRESHOLD is a repeat. Anchors that find none stand on words that many texts share. They
+get a last chance by the exact runs of RUN words around them: any repeat of PASSAGE words around an anchor holds one of
+these in every document that has it. Removals link documents; components of links are classes.
 """
 
 from __future__ import annotations
@@ -34,17 +34,20 @@ FUNCTIONS = 3
 #: Words of an exact run, and the places of its start before an anchor: any common run of PASSAGE words that holds the anchor holds one of these.
 RUN = 43
 GRID = (0, 8, 16, 24, 32, 38)
-#: Shingles of the runs before and after an anchor that key edited passages.
-HALF = 10
+#: Shingles before or after an anchor that two documents must have alike to be aligned there.
+HALF = 6
 #: Shingles on each side of an anchor that are aligned. Of the anchors of two documents on one diagonal, one in each STRIDE words is aligned, so contexts overlap.
 CONTEXT = 96
 STRIDE = 64
+#: Words in which a shingle is an anchor once.
+SPACE = 32
 #: Words by which edits may shift an alignment.
 DRIFT = 24
 #: Alignments that a worker does at once.
 ALIGNED = 4096
 #: Order of a null id: after all others.
 LAST = (1 << 63) - 1
+LOW = 0xFFFFFFFF
 _SALTS = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
@@ -73,7 +76,17 @@ def anchors(starts: np.ndarray, shingles: np.ndarray, passage: int = PASSAGE, fu
         values = np.maximum(values, np.uint64(1))
         least = np.where(whole, _sliding(values, width, np.minimum), 0)
         chosen |= _sliding(np.concatenate([fence, least, fence]), width, np.maximum) == values
-    return np.flatnonzero(chosen)
+    return _spaced(np.flatnonzero(chosen), shingles)
+
+
+def _spaced(at: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Of places with equal shingles in short succession (the same words again and again) the first in each SPACE words."""
+    order = np.argsort(shingles[at], kind="stable")
+    own, keys = at[order], shingles[at[order]]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (np.diff(own) >= SPACE)]) if len(own) else np.zeros(0, dtype=bool)
+    step = (own - own[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]) // SPACE if len(own) else own
+    new[1:] |= step[1:] != step[:-1]
+    return np.sort(own[new])
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str, label: str) -> tuple[DataFrame, str]:
@@ -82,8 +95,21 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, label: str) -> tuple[D
     return stored(docs.select(*marks, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), label)
 
 
+def sides(shingles: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the HALF shingles before and after each place, packed in 64 bits; 0 where the text, from ``low`` to ``high``, has fewer."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for shift, begin, fits in ((32, -HALF, at - HALF >= low), (0, 1, at + HALF < high)):
+        own = at[fits]
+        key = np.full(len(own), shift + 1, dtype=np.uint64)
+        for k in range(HALF):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + shingles[own + (begin + k)]
+        out[fits] |= np.maximum(mix64(key) >> np.uint64(32), np.uint64(1)) << np.uint64(shift)
+    return out
+
+
 def band_rows(named: DataFrame) -> DataFrame:
-    """(band, ord, row, place): every anchor of every text. ``named``: row, ord, text."""
+    """(band, ord, row, place, sides): every anchor of every text. ``named``: row, ord, text."""
+    names = ["band", "ord", "row", "place", "sides"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,35 +119,40 @@ def band_rows(named: DataFrame) -> DataFrame:
                 shingles = rolled(words)
                 at = anchors(starts, shingles)
                 text = np.searchsorted(starts, at, "right") - 1
-                columns = (shingles[at].view(np.int64), orders[x:y][text], rows[x:y][text], (at - starts[text]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["band", "ord", "row", "place"])
+                near = sides(shingles, at, starts[text], starts[text + 1] - WORDS + 1)
+                columns = (shingles[at].view(np.int64), orders[x:y][text], rows[x:y][text], (at - starts[text]).astype(np.int32), near.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
         forget_words()
 
-    return named.select("row", "ord", "text").mapInArrow(run, "band long, ord long, row long, place int")
+    return named.select("row", "ord", "text").mapInArrow(run, "band long, ord long, row long, place int, sides long")
 
 
-def context_rows(named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(row, place, at, context): 32-bit shingles around each place that ``wanted`` (row, place) asks for, the place being at position ``at``."""
+def context_rows(named: DataFrame, seeds: DataFrame) -> DataFrame:
+    """32-bit shingles around each place of ``seeds`` (row, place, from, there): (row, place, from, there, at, context) for each seed, and the same with null row and place for each (from, there) once. The place is at position ``at``."""
+    names = ["row", "place", "from", "there", "at", "context"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            rows, texts, asked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for x, y in slices(texts):
                 words, starts = word_hashes(texts[x:y], keep=True)
                 shingles = np.maximum((rolled(words) >> np.uint64(32)).astype("<u4"), 2)  # 0 and 1 stand for no word
-                out: tuple[list, list, list, list] = ([], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [])
                 for i in range(x, y):
-                    a, b = int(starts[i - x]), int(starts[i - x + 1]) - WORDS + 1
-                    own = shingles[a:b]
-                    for p in places[i].values.to_pylist():
-                        low = max(0, p - CONTEXT)
-                        for column, value in zip(out, (rows[i], p, p - low, own[low : p + CONTEXT + 1].tobytes()), strict=True):
+                    own = shingles[int(starts[i - x]) : int(starts[i - x + 1]) - WORDS + 1]
+                    for place, source, there in zip(*(f.to_pylist() for f in asked[i].values.flatten()), strict=True):
+                        low = max(0, place - CONTEXT)
+                        key = (None, None, rows[i], place) if source is None else (rows[i], place, source, there)
+                        for column, value in zip(out, (*key, place - low, own[low : place + CONTEXT + 1].tobytes()), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["row", "place", "at", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
         forget_words()
 
-    lists = wanted.groupBy("row").agg(F.collect_set("place").alias("places"))  # at most the words of a document
-    return named.join(lists, "row").select("row", "text", "places").mapInArrow(run, "row long, place int, at int, context binary")
+    others = seeds.select(F.col("from").alias("row"), F.col("there").alias("place")).distinct()
+    both = seeds.select("row", "place", "from", "there").unionByName(others.withColumns({"from": F.lit(None).cast("long"), "there": F.lit(None).cast("int")}))
+    lists = both.groupBy("row").agg(F.collect_list(F.struct("place", "from", "there")).alias("asked"))  # bounded by the words of a document
+    return named.join(lists, "row").select("row", "text", "asked").mapInArrow(run, "row long, place int, from long, there int, at int, context binary")
 
 
 def _grid(contexts: list[bytes], at: np.ndarray, blank: int) -> np.ndarray:
@@ -199,10 +230,10 @@ def windows(to: np.ndarray, passage: int = PASSAGE, threshold: float = THRESHOLD
     return out
 
 
-def verified_spans(seeds: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(row, place, from, begin, end) of ``seeds`` (row, place, from, there): windows found around them, in words; one row with null begin and end if none."""
-    here = contexts.select("row", "place", "at", "context")
-    there = contexts.select(F.col("row").alias("from"), F.col("place").alias("there"), F.col("at").alias("at2"), F.col("context").alias("context2"))
+def verified_spans(contexts: DataFrame) -> DataFrame:
+    """(row, place, from, begin, end) of the seeds in ``contexts`` (what ``context_rows`` returns): windows found around them, in words; one row with null begin and end if none."""
+    here = contexts.filter("row is not null")
+    there = contexts.filter("row is null").select("from", "there", F.col("at").alias("at2"), F.col("context").alias("context2"))
     names = ["row", "place", "from", "begin", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,44 +249,41 @@ def verified_spans(seeds: DataFrame, contexts: DataFrame) -> DataFrame:
                 gap = [None] * len(none)
                 yield pa.RecordBatch.from_arrays([pa.array(row[i]), pa.array(place[i]), pa.array(source[i]), pa.array(begin.tolist() + gap, pa.int32()), pa.array((end + WORDS - 1).tolist() + gap, pa.int32())], names=names)
 
-    pairs = seeds.join(here, ["row", "place"]).join(there, ["from", "there"])
+    pairs = here.join(there, ["from", "there"])
     return pairs.select("row", "place", "from", "at", "at2", "context", "context2").mapInArrow(run, "row long, place int, from long, begin int, end int")
 
 
-def longer_keys(contexts: DataFrame) -> DataFrame:
-    """(band, row, place): keys of the runs around the anchors of ``contexts`` (row, place, at, context)."""
+def exact_runs(contexts: DataFrame) -> DataFrame:
+    """(band, row, place): hashes of the runs of RUN words around the anchors of ``contexts`` (row, place, at, context)."""
     size = RUN - WORDS + 1
-    kinds = [(-b, size) for b in GRID] + [(-HALF, HALF), (1, HALF)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, place, at = (batch.column(k).to_numpy() for k in range(3))
             grid = _grid(batch.column(3).to_pylist(), at, 0).astype(np.uint64)
-            for k, (begin, length) in enumerate(kinds):
-                own = grid[:, CONTEXT + begin : CONTEXT + begin + length]
+            for k, before in enumerate(GRID):
+                own = grid[:, CONTEXT - before : CONTEXT - before + size]
                 full = (own > 0).all(axis=1)
                 key = np.full(len(row), k + 1, dtype=np.uint64)
-                for c in range(length):
+                for c in range(size):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + own[:, c])
-                if k >= len(GRID):  # with the anchor's own shingle, either side
-                    key = mix64(key + grid[:, CONTEXT])
                 yield pa.RecordBatch.from_arrays([pa.array(key[full].view(np.int64)), pa.array(row[full]), pa.array(place[full])], names=["band", "row", "place"])
 
     return contexts.select("row", "place", "at", "context").mapInArrow(run, "band long, row long, place int")
 
 
-def seeds_of(bands: DataFrame, whole: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """(row, place, from, there, ord): anchors to align, each with the first document of its band; ``whole`` (row): rows that need none.
+def starred(bands: DataFrame) -> tuple[DataFrame, str]:
+    """Rows of ``bands`` (band, ord, row, place, sides) with the first document of their band, others than its own: adds from, there, sides2; and a path to forget."""
+    one = bands.groupBy("band").agg(F.min(F.struct("ord", "row", "place", "sides")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts, path = stored(one.select("band", F.col("first.row").alias("from"), F.col("first.place").alias("there"), F.col("first.sides").alias("sides2")), "firsts")  # written, so that a common band's rows can be dealt to several tasks
+    return bands.join(firsts, "band").filter("row <> from"), path
 
-    Of the anchors that two documents share on one diagonal, the first in each STRIDE words.
-    """
-    one = bands.groupBy("band").agg(F.min(F.struct("ord", "row", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("first.row").alias("from"), F.col("first.place").alias("there"))
-    firsts, firsts_path = stored(one, "firsts")  # written, so that a common band's rows can be dealt to several tasks
-    found = bands.join(firsts, "band").filter("row <> from").select("row", "ord", "place", "from", (F.col("place") - F.col("there")).alias("shift"))
-    thin = found.join(whole, "row", "left_anti").groupBy("row", "from", "shift", F.expr(f"place div {STRIDE}").alias("_step")).agg(F.min("place").alias("place"), F.first("ord").alias("ord"))
-    seeds, path = stored(thin.select("row", "place", "from", (F.col("place") - F.col("shift")).alias("there"), "ord"), label)
-    forget(bands.sparkSession, firsts_path)
-    return seeds, path
+
+def thinned(found: DataFrame) -> DataFrame:
+    """(row, place, from, there, ord): of the anchors that two documents share on one diagonal, the first in each STRIDE words."""
+    own = found.select("row", "ord", "place", "from", (F.col("place") - F.col("there")).alias("shift"))
+    thin = own.groupBy("row", "from", "shift", F.expr(f"place div {STRIDE}").alias("_step")).agg(F.min("place").alias("place"), F.first("ord").alias("ord"))
+    return thin.select("row", "place", "from", (F.col("place") - F.col("shift")).alias("there"), "ord")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -282,18 +310,29 @@ def removals(rows: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFr
     long = bands.select("row").distinct()  # texts of PASSAGE words or more
     copies, copies_path = stored(digests.join(heads, "digest").filter("row <> from").select("row", "from").join(long, "row", "left_semi"), "copies")
 
-    seeds, seeds_path = seeds_of(bands, copies.select("row"), "seeds")
-    forget(spark, bands_path)
-    wanted = seeds.select("row", "place").unionByName(seeds.select(F.col("from").alias("row"), F.col("there").alias("place"))).distinct()
-    contexts, contexts_path = stored(context_rows(named, wanted), "contexts")
-    spans, spans_path = stored(verified_spans(seeds, contexts), "spans")
-
-    left = spans.filter("begin is null").select("row", "place").join(spans.filter("begin is not null").select("row", "place").distinct(), ["row", "place"], "left_anti").distinct()
-    orders = seeds.select("row", "ord").distinct()
-    second, second_path = stored(longer_keys(contexts.join(left, ["row", "place"], "left_semi")).join(orders, "row"), "longer")
-    again, again_path = seeds_of(second, copies.select("row"), "again")
-    more, more_path = stored(verified_spans(again, contexts), "spans")
-    for path in (heads_path, contexts_path, seeds_path, second_path, again_path):
+    found, firsts_path = starred(bands)
+    found, found_path = stored(found.join(copies.select("row"), "row", "left_anti"), "found")
+    before, after = (lambda c: F.nullif(F.shiftrightunsigned(c, 32), F.lit(0))), (lambda c: F.nullif(F.col(c).bitwiseAND(F.lit(LOW)), F.lit(0)))
+    alike = F.coalesce(before("sides") == before("sides2"), F.lit(False)) | F.coalesce(after("sides") == after("sides2"), F.lit(False))
+    # the others, by their band and what stands before or after the anchor
+    other = found.filter(~alike).drop("from", "there", "sides2")
+    keys = F.explode(F.array_compact(F.array(*(F.when(x.isNotNull(), F.xxhash64("band", x, F.lit(k))) for k, x in enumerate((before("sides"), after("sides")))))))
+    closer, closer_path = starred(other.withColumn("band", keys))
+    seeds, seeds_path = stored(thinned(found.filter(alike).select("row", "ord", "place", "from", "there").unionByName(closer.select("row", "ord", "place", "from", "there"))), "seeds")
+    for path in (bands_path, firsts_path, found_path, closer_path):
+        forget(spark, path)
+    contexts, contexts_path = stored(context_rows(named, seeds), "contexts")
+    spans, spans_path = stored(verified_spans(contexts), "spans")
+
+    left = spans.filter("begin is null").select("row", "place").join(spans.filter("begin is not null").select("row", "place"), ["row", "place"], "left_anti").distinct()
+    lone, lone_path = stored(contexts.join(left, ["row", "place"], "left_semi").dropDuplicates(["row", "place"]).join(seeds.select("row", "ord").distinct(), "row"), "lone")
+    runs, runs_path = stored(exact_runs(lone).join(lone.select("row", "place", "ord"), ["row", "place"]).withColumn("sides", F.lit(0).cast("long")), "runs")
+    again, again_path = starred(runs)
+    last, last_path = stored(thinned(again), "last")
+    here = last.join(lone.select("row", "place", "at", "context"), ["row", "place"]).select("row", "place", "from", "there", "at", "context")
+    there = last.select("from", "there").distinct().join(lone.select(F.col("row").alias("from"), F.col("place").alias("there"), "at", "context"), ["from", "there"])
+    more, more_path = stored(verified_spans(here.unionByName(there.withColumns({"row": F.lit(None).cast("long"), "place": F.lit(None).cast("int")}))), "spans")
+    for path in (heads_path, contexts_path, seeds_path, lone_path, runs_path, again_path, last_path):
         forget(spark, path)
 
     every = spans.unionByName(more).filter("begin is not null")
