@@ -12,7 +12,8 @@ from rowkin.llm.blocks import search_tiles, usable
 
 K = 20
 EVERY = 20
-QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
+#: Components of a block of queries, and of a block of candidates.
+QUERY_CELLS, CANDIDATE_CELLS = 1 << 18, 1 << 19
 #: Queries whose products with a candidate block are held at once.
 STRIP = 256
 
@@ -75,4 +76,4 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "v
     empty table gives no rows. Other columns are not read.
     """
     rows = usable(vectors, id_col, vec_col, allow_zero=False)
-    return search_tiles(rows, F.col("id") % every == 0, lambda q, qi, c, ci: nearest_in_tile(q, qi, c, ci, k), k, "double", QUERY_BLOCK, CANDIDATE_BLOCK)
+    return search_tiles(rows, F.col("id") % every == 0, lambda q, qi, c, ci: nearest_in_tile(q, qi, c, ci, k), k, "double", QUERY_CELLS, CANDIDATE_CELLS)

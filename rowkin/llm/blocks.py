@@ -23,16 +23,18 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else [], dtype=np.float64).reshape(-1, dim)
 
 
-def search_tiles(rows: DataFrame, is_query: Column, kernel: Callable, k: int, score_type: str, query_block: int, candidate_block: int) -> DataFrame:
+def search_tiles(rows: DataFrame, is_query: Column, kernel: Callable, k: int, score_type: str, query_cells: int, candidate_cells: int) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best candidates of each query, ties to the smaller id.
 
+    Blocks are hashed so that they hold about so many components, whatever the dimension, which bounds a task's memory.
     kernel(query matrix, query ids, candidate matrix, candidate ids) returns arrays (query ids, candidate ids, scores)
     that hold the ``k`` best of the tile. Each query block meets each candidate block once; ids that are equal never
     meet. Vectors are compared with those of their own dimension. Of queries that share an id, the one with the least
     vector searches.
     """
     queries = rows.filter(is_query).groupBy("id", "dim").agg(F.min("vec").alias("vec"))
-    n, m = (max(1, -(-x.count() // size)) for x, size in ((rows.select("id"), candidate_block), (rows.filter(is_query).select("id"), query_block)))
+    cells = rows.agg(F.sum("dim"), F.sum(F.when(is_query, F.col("dim")))).first()
+    n, m = (max(1, -(-(have or 0) // size)) for have, size in zip(cells, (candidate_cells, query_cells), strict=True))
     side = lambda df, own, other, blocks, others: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
     left, right = side(queries, "q", "c", m, n), side(rows, "c", "q", n, m)
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64() if score_type == "double" else pa.int64())])
@@ -51,8 +53,8 @@ def search_tiles(rows: DataFrame, is_query: Column, kernel: Callable, k: int, sc
 
 
 def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` best of each query, best first, ties to the smaller id."""
-    order = np.lexsort((ids, -scores, query))
+    """Positions of the ``k`` best of each query, best first, ties to the smaller id. Scores: integers or doubles."""
+    order = np.lexsort((ids, ~scores if scores.dtype.kind == "i" else -scores, query))
     own = query[order]
     first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1]) if len(own) else np.zeros(0, int)
     place = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
