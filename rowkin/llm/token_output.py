@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowkin.llm.common import shared_dir
-from rowkin.llm.tokens import END_ID, default_vocabulary, encoded
+from rowkin.llm.tokens import END_ID, default_vocabulary, encoded, forget_pieces
 
 BLOCK = 1024
 CHUNK_IDS = 1 << 19
@@ -26,18 +26,29 @@ MAGIC = b"PFR1"
 CHUNKS = "part int, seq int, part_start long, n_docs int, n_ids long, doc_ids binary, doc_lengths binary, payload binary"
 
 
-def _packed(values: np.ndarray, width: int) -> bytes:
-    """Rows of values below 2**width as bits, low bit first."""
-    bits = ((values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values below 2**width as bits, low bit first: 32 values fill ``width`` words of 32 bits."""
+    values = values.reshape(len(values), -1, 32)
+    words = np.zeros((*values.shape[:2], width), dtype=np.uint32)
+    for k in range(32):
+        word, shift = divmod(k * width, 32)
+        words[:, :, word] |= values[:, :, k] << np.uint32(shift)
+        if shift + width > 32:
+            words[:, :, word + 1] |= values[:, :, k] >> np.uint32(32 - shift)
+    return words.reshape(len(values), -1).astype("<u4", copy=False).view(np.uint8)
 
 
 def _unpacked(raw: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(raw), -1, width)
-    out = np.zeros(bits.shape[:2], dtype=np.uint32)
-    for k in range(width):
-        out |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-    return out
+    words = np.ascontiguousarray(raw).view("<u4").reshape(len(raw), -1, width)
+    out = np.zeros((*words.shape[:2], 32), dtype=np.uint32)
+    mask = np.uint32((1 << width) - 1)
+    for k in range(32):
+        word, shift = divmod(k * width, 32)
+        out[:, :, k] = words[:, :, word] >> np.uint32(shift)
+        if shift + width > 32:
+            out[:, :, k] |= words[:, :, word + 1] << np.uint32(32 - shift)
+        out[:, :, k] &= mask
+    return out.reshape(len(raw), -1)
 
 
 def pfor_encode(values: np.ndarray, share: float = 0.95, block: int = BLOCK) -> bytes:
@@ -96,7 +107,7 @@ def pfor_decode(data: bytes) -> np.ndarray:
     return (out + low[:, None]).reshape(-1)[:n]
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_ids: int = CHUNK_IDS, added_tokens: bool = False) -> None:
+def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_ids: int = CHUNK_IDS, added_tokens: bool = True) -> None:
     """Writes the ids of all documents (null text: the end id alone) under ``path``, ascending by id, null ids first.
 
     Rows that share an id follow each other, ordered by text. Other columns are not read.
@@ -128,6 +139,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, id_col:
                     seq, start, keys, ids, held = seq + 1, start + held, [], [], 0
         if keys:
             yield chunk()
+        forget_pieces()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, CHUNKS).write.option("compression", "none").parquet(path)
@@ -156,7 +168,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("part_start", "_first", "n_docs", "doc_ids", "doc_lengths", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None, added_tokens: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str | None = None, added_tokens: bool = True) -> DataFrame:
     """Writes the documents' ids into the shared folder and returns what the files hold."""
     import uuid
 

@@ -10,12 +10,17 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache, partial
 
+import numpy as np
 import regex
 
 END_ID = 0
+#: 32-bit unsigned ids; little-endian wherever the byte order of the machine is.
+_IDS = partial(array, "I") if sys.byteorder == "little" and array("I").itemsize == 4 else partial(np.array, dtype="<u4")
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -41,81 +46,65 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
-class Encoder:
-    """Encodes texts into little-endian uint32 bytes. ``cache_pieces`` bounds the memory of the caches, not the result.
+class Encoder(dict):
+    """Encodes texts into little-endian uint32 bytes; as a dict, the ids of the pieces seen so far. ``cache_pieces`` bounds its memory, not the result.
 
     ``added_tokens``: an added token that a text spells out is that token, as the library has it by default; else it is text.
     """
 
-    def __init__(self, path: str, added_tokens: bool = False, cache_pieces: int = 300_000, cache_length: int = 48):
+    def __init__(self, path: str, added_tokens: bool = True, cache_pieces: int = 300_000, cache_length: int = 48):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added_tokens
         kind = json.loads(self.tokenizer.to_str())
         before = kind.get("pre_tokenizer") or {}
         self.plain = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.letters, self.model = byte_letters(), self.tokenizer.model
+        self.letters, self.tokenize = byte_letters(), self.tokenizer.model.tokenize
         added = [re.escape(t["content"]) for t in kind.get("added_tokens") or () if added_tokens]
         self.added = re.compile("|".join(added)) if added else None
-        self.cache: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
         self.cache_pieces, self.cache_length = cache_pieces, cache_length
+        self.once, self.mask = bytearray(1 << 22), (1 << 22) - 1  # one byte for the hashes of pieces seen before
+        self.marks = lru_cache(1024)(self._pretoken)
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) and len(piece) <= 1024:  # a word, what the pattern would find
+            found = self._pretoken(piece)
+        else:
+            found = self._encode(piece)
+        at = hash(piece) & self.mask
+        if not self.once[at]:  # most pieces that are seen once never come again
+            self.once[at] = 1
+        elif len(self) < self.cache_pieces and len(piece) <= self.cache_length:
+            self[piece] = found
+        return found
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _pretoken(self, text: str) -> bytes:
-        found = self.pretokens.get(text)
-        if found is None:
-            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.pretokens) < self.cache_pieces and len(text) <= self.cache_length:
-                self.pretokens[text] = found
-        return found
+        letters = "\u0120" + text[1:] if text[0] == " " and text.isascii() and text[1:].isalpha() else text.encode().decode("latin-1").translate(self.letters)
+        return _IDS([t.id for t in self.tokenize(letters)]).tobytes()
 
     def _encode(self, piece: str) -> bytes:
         if "  " in piece or "\x00" in piece or len(piece) > 1024:
             return self._whole(piece)
         word = piece.rstrip(".,;:!?")
-        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):  # a word and its marks, what the pattern would find
-            return self._pretoken(word) + self._pretoken(piece[len(word) :]) if len(word) < len(piece) else self._pretoken(word)
+        if len(word) < len(piece) and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            return self[word] + self.marks(piece[len(word) :])
         return b"".join(map(self._pretoken, PRETOKEN.findall(piece)))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One bytes object a text; a null text is empty."""
-        if self.added and self.plain:
-            whole = {i: self._whole(t) for i, t in enumerate(texts) if t and self.added.search(t)}
-            texts = [None if i in whole else t for i, t in enumerate(texts)]
-        else:
-            whole = {}
-        split, new = [], set()
-        for text in texts:
-            if not text:
-                split.append(())
-            elif not self.plain or "  " in text or "\x00" in text:
-                split.append((text,))
-            else:
-                split.append(text.replace(" ", "\x00 ").split("\x00"))
-            new.update(split[-1])
-        cache = self.cache
-        new = [x for x in new if x not in cache]
-        known = {x: self._encode(x) for x in new} if self.plain else {x: self._whole(x) for x in new}
-        if len(cache) < self.cache_pieces:  # frequent pieces come early, so a full cache holds them
-            cache.update((x, b) for x, b in known.items() if len(x) <= self.cache_length)
-        out = []
-        for pieces in split:
-            got = list(map(cache.get, pieces))
-            if None in got:
-                got = [known[x] if b is None else b for x, b in zip(pieces, got, strict=True)]
-            out.append(b"".join(got))
-        for i, ids in whole.items():
-            out[i] = ids
-        return out
-
-
-def encoder(path: str, added_tokens: bool = False) -> Encoder:
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text; a null text has none."""
+        if not text:
+            return b""
+        if not self.plain or "  " in text or "\x00" in text or (self.added and self.added.search(text)):
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
+
+
+def encoder(path: str, added_tokens: bool = True) -> Encoder:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
     if (path, added_tokens) not in _ENCODERS:
         _ENCODERS[path, added_tokens] = Encoder(path, added_tokens)
@@ -134,8 +123,12 @@ def slices(texts: list[str | None], most_chars: int = 1 << 20) -> Iterator[tuple
         yield start, len(texts)
 
 
-def encoded(texts: list[str | None], path: str, added_tokens: bool = False) -> Iterable[bytes]:
+def encoded(texts: list[str | None], path: str, added_tokens: bool = True) -> Iterable[bytes]:
     """Ids of each text as bytes, in order."""
-    own = encoder(path, added_tokens)
-    for a, b in slices(texts):
-        yield from own.encode(texts[a:b])
+    return map(encoder(path, added_tokens).encode, texts)
+
+
+def forget_pieces() -> None:
+    """Empties the worker's memory of pieces: workers outlive tasks, and the next one may need the room for something else."""
+    for own in _ENCODERS.values():
+        own.clear()
