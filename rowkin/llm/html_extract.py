@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 # Tags, names and words of the rules.
 SKIPPED = frozenset("script style noscript template iframe object svg canvas math select option textarea button audio video map head title datalist".split())
-BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +52,7 @@ class Block:
     inside: bool  # in an article or main element
     heading: bool
     words: int = 0
+    form: str | None = None  # the form that it stands in
 
 
 def _named(value: str) -> bool:
@@ -63,14 +65,14 @@ def _named(value: str) -> bool:
 
 
 def _boiler(tag: str, attributes: str, inside: bool) -> bool | str:
-    """Whether an element is boilerplate; "name" if only its class or id says so."""
-    named = False
+    """Whether an element is boilerplate; "name" if only its class or id says so, "form" if it is a form, which may hold a whole page."""
+    named: bool | str = "form" if tag == "form" else False
     if tag in BOILER_TAGS:
         return True
     if tag == "header" and not inside:
         return True
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return named
     for m in ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5]).lower()
         if name == "hidden":
@@ -81,8 +83,8 @@ def _boiler(tag: str, attributes: str, inside: bool) -> bool | str:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            named = named or _named(value)
-    return "name" if named else False
+            named = "name" if _named(value) else named
+    return named
 
 
 def blocks(page: str) -> list[Block]:
@@ -94,6 +96,8 @@ def blocks(page: str) -> list[Block]:
     links = 0
     heading = False
     seen = False  # an article or main element
+    forms = 0
+    unclosed: set[str] = set()  # skipped elements of which no end tag follows
 
     def close() -> None:
         nonlocal linked, text, heading
@@ -101,7 +105,8 @@ def blocks(page: str) -> list[Block]:
         if words:
             boiler, inside = stack[-1][1:] if stack else (False, False)
             joined = " ".join(words)
-            label = 0 if boiler else None
+            form = boiler if isinstance(boiler, str) and boiler != "name" else None
+            label = 0 if boiler and not form else None
             if label is None:
                 found = WORD.findall(joined.lower())
                 stops = sum(w in STOP_WORDS for w in found)
@@ -113,7 +118,7 @@ def blocks(page: str) -> list[Block]:
                     label = 1
                 elif len(found) >= 40 and density < 0.02 and not inside:
                     label = 0
-            out.append(Block(joined, label, inside, heading, len(words)))
+            out.append(Block(joined, label, inside, heading, len(words), form))
         text, linked, heading = [], 0, False
 
     at, end = 0, len(page)
@@ -144,7 +149,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in SKIPPED and tag != "head":
             stop = RAW_END.get(tag) or re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I)
-            found = None if m[4].rstrip().endswith("/") else stop.search(page, at)
+            found = None if m[4].rstrip().endswith("/") or tag in unclosed else stop.search(page, at)
+            if not found and not m[4].rstrip().endswith("/"):
+                unclosed.add(tag)
             if found:
                 closing = page.find(">", found.end())
                 at = closing + 1 if closing >= 0 else end
@@ -166,14 +173,21 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK_TAGS or tag in CONTENT_TAGS or "=" in m[4]:
             boiler, inside = stack[-1][1:] if stack else (False, False)
             if tag in CONTENT_TAGS:
-                boiler, seen = False if boiler == "name" and not seen else boiler, True  # a name never overrules the page's first article
+                boiler, seen = False if boiler not in (True, "name") or boiler == "name" and not seen else boiler, True  # a name never overrules the page's first article
             new = boiler if boiler is True else _boiler(tag, m[4], inside or tag in CONTENT_TAGS) or boiler
+            if new == "form":
+                forms += 1
+                new = f"form{forms}"
             if new and not boiler:
                 close()
             stack.append((tag, new, (inside or tag in CONTENT_TAGS) and not new))
         if tag[0] == "h" and tag[1:].isdigit():
             heading = True
     close()
+    holders = {b.form for b in out if b.label == 1}
+    for b in out:
+        if b.form and b.form not in holders:  # a form around a whole page holds decided content, a mere form doesn't
+            b.label = 0
     return out
 
 
@@ -183,23 +197,24 @@ def extract(page: str | None) -> str:
     article = any(b.inside and b.label == 1 for b in found)  # else an article is but a teaser or quote if there is content elsewhere
     elsewhere = any(not b.inside and b.label == 1 for b in found)
     articles = article or any(b.inside and b.label is None for b in found) and not elsewhere
-    decided = [(i, b.label) for i, b in enumerate(found) if b.label is not None]
+    outside = [i for i, b in enumerate(found) if b.label is not None and not (articles and b.inside)]
     keep = []
     for i, b in enumerate(found):
         label = b.label
         if label is None and b.inside and articles:
             label = 1
         if label is None:
-            own = [(k, x) for k, x in decided if not articles or not found[k].inside]
-            before = next((x for k, x in reversed(own) if k < i), None)
-            after = next((x for k, x in own if k > i), None)
+            at = bisect(outside, i)
+            before, after = outside[at - 1] if at else None, outside[at] if at < len(outside) else None
+            said = {found[k].label for k in (before, after) if k is not None}
             if b.heading:
-                label = after or 0
-            elif before == after:
-                label = before if before is not None else int(b.words >= 3 and not articles)
-            else:
-                near = [(abs(k - i), -x) for k, x in own]
-                label = -min(near)[1] if near else 0
+                label = found[after].label if after is not None else 0
+            elif not said:
+                label = int(b.words >= 3 and not articles)
+            elif len(said) == 1 and before is not None and after is not None:
+                label = said.pop()
+            else:  # the nearer one, content if both are as near
+                label = -min((abs(k - i), -found[k].label) for k in (before, after) if k is not None)[1]
         if label:
             keep.append(b.text)
     return "\n".join(keep)
