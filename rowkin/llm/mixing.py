@@ -48,15 +48,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return own.select("sid", "source", "source_size", F.least(F.col("most"), F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
 
 
+def before(rows: DataFrame, key: str, order: str, value: str, width: int = 1024) -> DataFrame:
+    """Adds ``_before``, the sum of ``value`` over the rows of ``key`` with a smaller ``order`` (an integer, one row each).
+
+    Summed in two levels, so that a task reads only ``width`` rows, or a row for each ``width``.
+    """
+    own = rows.withColumn("_wide", F.expr(f"{order} div {width}"))
+    wide = own.groupBy(key, "_wide").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_wide").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = own.withColumn("_inner", F.coalesce(F.sum(value).over(Window.partitionBy(key, "_wide").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inner.join(wide.select(key, "_wide", "_base"), [key, "_wide"]).withColumn("_before", (F.col("_base") + F.col("_inner")).cast("long")).drop("_wide", "_base", "_inner")
+
+
 def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds sid, source_size, target and ``first``, the words before a document in its source's stream.
 
     A large source is summed in hashed chunks: the order of the stream is (chunk, doc_id, size).
     """
     rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("doc_id", "row", sizes["source"], "size", "sid", "source_size", "target")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "sid"), F.lit(CHUNKS)))
-    before = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    inner = rows.withColumn("within", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    chunks = max(CHUNKS, sizes.count() // 65536)  # so that a chunk stays small
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "sid"), F.lit(chunks)))
+    earlier = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inner = rows.withColumn("within", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
     chunks = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("words")).withColumn("begin", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return inner.join(chunks.select("sid", "chunk", "begin"), ["sid", "chunk"]).withColumn("first", (F.col("begin") + F.col("within")).cast("long")).drop("chunk", "begin", "within")
 
@@ -86,11 +98,11 @@ def shard_draws(quota: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataF
     odds = _spread(ends.select("sid", "low", "high"), "low", "high", width)
     draws = spark.range(total).select(F.expr(f"id div {shard}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("u")).withColumn("cell", F.expr(f"u div {width}"))
     counts = draws.join(odds, (draws["cell"] == odds["cell"]) & (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).groupBy("sid", "shard").agg(F.count("*").alias("c"))
-    filled = counts.withColumn("first", F.coalesce(F.sum("c").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    filled = before(counts, "sid", "shard", "c").withColumnRenamed("_before", "first")
     filled = filled.join(quota.select("sid", "slots"), "sid").withColumn("n", F.greatest(F.lit(0), F.least("c", F.col("slots") - F.col("first"))).cast("long"))
     kept = filled.filter("n > 0").select("sid", "shard", "first", "n")
     over = filled.groupBy("shard").agg(F.sum(F.col("c") - F.col("n")).alias("m")).filter("m > 0")
-    over = over.withColumn("a", F.coalesce(F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).withColumn("b", F.col("a") + F.col("m"))  # a row a shard
+    over = before(over.withColumn("_all", F.lit(0)), "_all", "shard", "m").withColumnRenamed("_before", "a").withColumn("b", F.col("a") + F.col("m"))
     lack = quota.join(kept.groupBy("sid").agg(F.sum("n").alias("has")), "sid", "left").withColumn("has", F.coalesce("has", F.lit(0))).withColumn("m", F.col("slots") - F.col("has")).filter("m > 0")
     lack = lack.withColumn("low", F.coalesce(F.sum("m").over(running), F.lit(0)).cast("long")).withColumn("high", F.col("low") + F.col("m")).select("sid", "has", "low", "high")
     cell = max(1, shard)
@@ -112,7 +124,8 @@ def permuted(x: Column, n: Column, key: list[Column], rounds: int = ROUNDS) -> C
 
 def slots(quota: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """sid, shard, rank, block: every slot of the mix and the block it holds."""
-    drawn = shard_draws(quota, shard, seed).join(quota.select("sid", "blocks"), "sid")
+    tasks = int(quota.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = shard_draws(quota, shard, seed).join(quota.select("sid", "blocks"), "sid").repartition(tasks, "sid", "shard")  # a row becomes up to SHARD slots
     each = drawn.select("sid", "shard", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("rank"))
     turn = F.expr("rank div blocks")
     return each.select("sid", "shard", "rank", permuted(F.pmod("rank", "blocks"), F.col("blocks"), [F.lit(seed), F.col("sid"), turn]).alias("block"))
@@ -146,15 +159,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix as rows of ``docs``: a row comes as often as its most repeated block is taken, the k-th time with the words taken k times or more.
 
     Words keep the white space that follows them. Rows of which nothing is taken, such as those without words, are not
-    in the mix. ``chars_col``, if there, follows the text; other columns pass.
+    in the mix. ``chars_col``, if there, follows the text; other columns pass, whatever their names.
     """
-    base, _ = stored(docs.withColumn("_m_row", F.monotonically_increasing_id()), "mix")
-    _, pieces = spans(base, id_col=id_col, text_col=text_col, source_col=source_col, row_col="_m_row", **options)
+    base, _ = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("_m_row")), "mix")
+    own = base.select("_m_row", F.col("doc")[id_col].alias("doc_id"), F.col("doc")[text_col].cast("string").alias("text"), F.col("doc")[source_col].alias("source"))
+    _, pieces = spans(own, row_col="_m_row", **options)
     taken = pieces.groupBy(F.col("row").alias("_m_row")).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "times"))).alias("_m_spans"), F.max("times").alias("_m_most"))  # a span for each 64 words of a text
-    rows = base.join(taken, "_m_row").withColumn("_m_words", F.regexp_extract_all(text_col, F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)))
+    rows = base.join(taken, "_m_row").withColumn("_m_words", F.regexp_extract_all(F.col("doc")[text_col].cast("string"), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)))
     rows = rows.withColumn("_m_turn", F.explode(F.sequence(F.lit(1), F.col("_m_most").cast("int"))))
     own = F.transform(F.filter("_m_spans", lambda s: s["times"] >= F.col("_m_turn")), lambda s: F.array_join(F.slice("_m_words", (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int")), ""))
-    rows = rows.withColumn(text_col, F.rtrim(F.array_join(own, "")))
+    rows = rows.withColumn("_m_text", F.rtrim(F.array_join(own, "")))
+    changed = {text_col: F.col("_m_text")}
     if chars_col in docs.columns:
-        rows = rows.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+        changed[chars_col] = F.length("_m_text").cast(docs.schema[chars_col].dataType)
+    return rows.select(*(changed[c].alias(c) if c in changed else F.col("doc")[c].alias(c) for c in docs.columns))
