@@ -1,8 +1,7 @@
-"""Helpers that the corpus operators share: stored tables, whole groups from sorted partitions, word shingles."""
+"""Helpers that the corpus operators share: stored tables, whole groups from sorted partitions."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,18 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="rowkin-")
-    return "file://" + _OWN_DIR[app]
+from rowkin.storage import shared_dir
 
 
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rowkin.llm.common import forget, mix64, stored, whole_groups
 from rowkin.llm.components import components
-from rowkin.llm.shingles import least_labels, pairs_within, shingle_sets
+from rowkin.llm.shingles import forget_words, least_labels, pairs_within, shingle_sets
 from rowkin.llm.tokens import slices
 
 THRESHOLD = 0.8
@@ -117,10 +117,14 @@ def common_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
 
 
 def prepared(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` as a written table with a row number ``_j_row`` and, of each text, ``_j_h1``, ``_j_h2`` (its shingle set), ``_j_n`` (its size), ``_j_bands``, ``_j_signature``."""
+    """A written table with ``doc`` (the columns of ``docs``), a row number ``_j_row`` and, of each text, ``_j_h1``, ``_j_h2`` (its shingle set), ``_j_n`` (its size), ``_j_bands``, ``_j_signature``."""
 
     @F.arrow_udf("struct<_j_h1: bigint, _j_h2: bigint, _j_n: int, _j_bands: array<bigint>, _j_signature: binary>")
-    def sketch(texts: pa.Array) -> pa.Array:
+    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(sketched, batches)
+        forget_words()
+
+    def sketched(texts: pa.Array) -> pa.Array:
         texts = texts.to_pylist()
         parts: tuple[list, ...] = ([], [], [], [], [])
         for x, y in slices(texts):
@@ -140,7 +144,8 @@ def prepared(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(parts, kinds, strict=True)], names=["_j_h1", "_j_h2", "_j_n", "_j_bands", "_j_signature"])
 
-    return stored(docs.withColumn("_j", sketch(F.col(text_col).cast("string"))).select(F.monotonically_increasing_id().alias("_j_row"), *(F.col(f"`{c}`") for c in docs.columns), "_j.*"), "sketches")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), sketch(F.col(text_col).cast("string")).alias("_j"))
+    return stored(own.select(F.monotonically_increasing_id().alias("_j_row"), "doc", "_j.*"), "sketches")
 
 
 def _tiled(members: DataFrame, group: str, blocks: str, node: str) -> DataFrame:
@@ -184,7 +189,7 @@ def verified_links(rows: DataFrame, classes: DataFrame, groups: DataFrame, thres
     """(a, b, links) of the classes with links: per tile a class, the least class it is linked with, and how many rows its linked classes have."""
     sizes = groups.join(classes.select("node", "n", "copies"), "node")
     blocks = sizes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("blocks"))
-    texts = rows.select(F.col("_j_row").alias("node"), F.col(text_col).cast("string").alias("text"), F.col("_j_signature").alias("signature"))
+    texts = rows.select(F.col("_j_row").alias("node"), F.col("doc")[text_col].cast("string").alias("text"), F.col("_j_signature").alias("signature"))
     members = sizes.join(blocks, "root").select("node", "root", "copies", "blocks").join(texts, "node")
     tiles = _tiled(members, "root", "blocks", "node").select("tile", "node", "own", "alone", "copies", "signature", "text")
     least = least_matches(threshold, tolerance)
@@ -222,17 +227,18 @@ def verified_links(rows: DataFrame, classes: DataFrame, groups: DataFrame, thres
     return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(verify, "a long, b long, links long")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and, for each row, ``_j_class`` (least id in its component), ``_j_links``, ``_j_kept``, ``_j_n``.
+def _linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each row: ``doc`` (its columns), ``class`` (least id in its component), ``links``, ``kept``, ``n`` (shingles).
 
     A link joins two rows whose sets of five-word shingles (lower-case words; a text of one to four words is one shingle)
     have a Jaccard similarity of at least ``threshold``; exact copies are links too. Components of links are classes.
-    ``_j_kept`` holds for one row of each: the least id, null ids last, of equal ids the first row. Null texts and texts
+    ``kept`` holds for one row of each: the least id, null ids last, of equal ids the first row. Null texts and texts
     without words have no shingles: each such row is a class of its own, with class id null if its id is. Repeated rows
-    are copies. An empty table gives no rows. Other columns pass, unless they begin with ``_j``.
+    are copies. An empty table gives no rows. Other columns pass, whatever their names.
     """
     rows, _ = prepared(docs, text_col)
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("_j_row").alias("row"))
+    own_id = F.col("doc")[id_col].cast("long")
+    order = F.struct(own_id.isNull().alias("none"), own_id.alias("id"), F.col("_j_row").alias("row"))
     classes, _ = stored(
         rows.filter("_j_n > 0").groupBy("_j_h1", "_j_h2").agg(F.min("_j_row").alias("node"), F.count("*").alias("copies"), F.min(order).alias("head"), F.first("_j_n").alias("n"), F.first("_j_bands").alias("bands"), F.first("_j_signature").alias("signature")),
         "classes",
@@ -247,20 +253,20 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     marks = own.join(heads, "root").select("_j_h1", "_j_h2", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     joined = rows.drop("_j_bands", "_j_signature").join(marks, ["_j_h1", "_j_h2"], "left")
     return joined.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        F.when(F.col("first").isNull(), F.col(id_col).cast("long")).otherwise(F.col("first.id")).alias("_j_class"),
-        F.coalesce("links", F.lit(0)).alias("_j_links"),
-        (F.col("first").isNull() | (F.col("first.row") == F.col("_j_row"))).alias("_j_kept"),
-        "_j_n",
+        "doc",
+        F.when(F.col("first").isNull(), own_id).otherwise(F.col("first.id")).alias("class"),
+        F.coalesce("links", F.lit(0)).alias("links"),
+        (F.col("first").isNull() | (F.col("first.row") == F.col("_j_row"))).alias("kept"),
+        F.col("_j_n").alias("n"),
     )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, class_id, n_links, n_shingles, kept: ``join`` as one row a document, without other columns."""
+    """doc_id, class_id, n_links, n_shingles, kept: a row a document (see ``_linked``)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return join(own, **options).select("doc_id", F.col("_j_class").alias("class_id"), F.col("_j_links").alias("n_links"), F.col("_j_n").alias("n_shingles"), F.col("_j_kept").alias("kept"))
+    return _linked(own, **options).select("doc.doc_id", F.col("class").alias("class_id"), F.col("links").alias("n_links"), F.col("n").alias("n_shingles"), "kept")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class, its columns as they are."""
-    return join(docs).filter("_j_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class, its columns as they are. Texts without words all stay."""
+    return _linked(docs, id_col=id_col, text_col=text_col, **options).filter("kept").select(*(F.col("doc")[c].alias(c) for c in docs.columns))

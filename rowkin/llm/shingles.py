@@ -13,7 +13,7 @@ from rowkin.llm.common import mix64
 WORDS = 5
 WORD = re.compile(r"\w+")
 #: Words that a worker remembers with their hashes; beyond that it starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 class _Hashes(dict):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -21,9 +22,8 @@ from pyspark.sql import functions as F
 
 from rowkin.llm.common import crc_fold, stored
 
-#: Bounds of the model: labelled rows of each class to learn from, and patterns kept.
+#: Bound of the model: labelled rows of each class to learn from; what patterns there are follows from these rows.
 SAMPLE = 8192
-PATTERNS = 4000
 #: A pattern must occur in so many toxic rows of the sample.
 LEAST_ROWS = 3
 #: Share of the toxic rows that makes a pattern frequent.
@@ -37,6 +37,7 @@ NEGATIONS = frozenset("not no never neither nor isn aren wasn don doesn didn nic
 REPORTS = frozenset("said says say wrote writes called calls quoted quote reported reports according claimed sagte sagt schrieb nannte laut dit disait écrit selon dijo dice escribió según".split())
 INSULTS = frozenset("idiot moron stupid scum loser worthless pathetic disgusting trash clown".split())
 
+OTHER = ("O", 0.0)
 TOKEN = re.compile(r"\w+|[.!?;:\n]+")
 LABELS = "ITGNRO"
 
@@ -77,7 +78,7 @@ def features(word: str) -> list[str]:
 class Scorer:
     """Labels words by class and runs the grammar over the clauses of a text. ``weights``: learned patterns."""
 
-    def __init__(self, weights: dict[str, float], memory: int = 300_000):
+    def __init__(self, weights: dict[str, float], memory: int = 100_000):
         self.weights, self.memory = weights, memory
         self.known: dict[str, tuple[str, float]] = {}
 
@@ -88,7 +89,7 @@ class Scorer:
         for label, words in (("T", THREATS), ("N", NEGATIONS), ("R", REPORTS), ("G", TARGETS)):
             if word in words:
                 return label, 2.0 if label == "T" else 0.0
-        return ("I", 2.0) if not self.weights and word in INSULTS else ("O", 0.0)
+        return ("I", 2.0) if not self.weights and word in INSULTS else OTHER
 
     def clauses(self, text: str) -> tuple[list[float], int]:
         """Weights of the clauses with insults or threats, and how many tokens the text has."""
@@ -142,7 +143,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 
 
 def _candidates(sample: DataFrame, p: int, n: int) -> list[str]:
-    """At most PATTERNS patterns that toxic rows of the sample hold more often than chance lets expect."""
+    """Patterns that toxic rows of the sample hold more often than chance lets expect."""
 
     def tally(batches):
         for batch in batches:
@@ -156,7 +157,7 @@ def _candidates(sample: DataFrame, p: int, n: int) -> list[str]:
     share = F.log((F.col("pos") + 0.5) / (p + 1.0)) - F.log((F.col("neg") + 0.5) / (n + 1.0))
     chance = (F.col("pos") + F.col("neg")) * (p / max(1, p + n))
     likely = counts.withColumn("w", share).filter((F.col("pos") >= LEAST_ROWS) & (F.col("w") > 1.0) & (F.col("pos") - chance > 3 * F.sqrt(chance)))
-    return [r["pattern"] for r in likely.orderBy(F.desc(F.col("pos") * F.col("w")), "pattern").limit(PATTERNS).collect()]
+    return [r["pattern"] for r in likely.orderBy(F.desc(F.col("pos") * F.col("w")), "pattern").select("pattern").collect()]  # words of at most SAMPLE rows
 
 
 def cover(holds: list[list[int]], toxic: np.ndarray, patterns: list[str], least: int = 2) -> dict[str, float]:
@@ -233,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = {(r["toxic"], r["half"]): r["count"] for r in sample.groupBy("toxic", "half").count().collect()}
     of = lambda y: counts.get((y, 0), 0) + counts.get((y, 1), 0)
     first, second, weights = _patterns(sample, of(1), of(0))
-    shared = spark.sparkContext.broadcast((first, second))  # at most PATTERNS words each
+    shared = spark.sparkContext.broadcast((first, second))  # words of at most 2 * SAMPLE rows
 
     def crossed(batches):
         scorers = [Scorer(x) for x in shared.value]
@@ -249,9 +250,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {"weights": weights, "step": logistic(seen[["a", "b", "c"]].to_numpy(), y, weight * len(y) / weight.sum()).tolist()}
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, from its whole text alone.
 
@@ -274,20 +272,21 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return own.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def rejected(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, with a column ``_toxic`` that says whether the text is predicted toxic."""
+def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is not predicted toxic, all columns as they are.
+
+    Null and empty texts are scored as texts without hits. Columns may have any names: the prediction has none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
-        key = id(shared)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value["weights"])
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value["weights"])  # a task's own
         *slope, base = shared.value["step"]
-        return pd.Series([base + sum(a * b for a, b in zip(slope, _SCORERS[key].vector(t), strict=True)) >= 0 for t in texts], dtype=bool)
+        for texts in batches:
+            yield pd.Series([base + sum(a * b for a, b in zip(slope, scorer.vector(t), strict=True)) >= 0 for t in texts], dtype=bool)
 
-    return docs.withColumn("_toxic", toxic("text"))
+    return docs.filter(~toxic(F.col(text_col).cast("string")))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

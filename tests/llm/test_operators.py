@@ -176,7 +176,6 @@ def ids_of(text):
     from rowkin.llm.tokens import default_vocabulary
 
     t = Tokenizer.from_file(default_vocabulary())
-    t.encode_special_tokens = True
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
 
@@ -237,11 +236,43 @@ def test_packing(spark):
 def test_plan_beats_first_fit():
     counts = {int(k): int(v) for k, v in zip(RNG.integers(20, 2048, 400), RNG.integers(1, 40, 400))}
     used = {}
-    for pattern, times in packing.plan(counts):
+    for pattern, times in packing.plan(counts).patterns:
         assert sum(x * m for x, m in pattern.items()) <= 2048
         for x, m in pattern.items():
             used[x] = used.get(x, 0) + m * times
-    assert used == counts and sum(t for _, t in packing.plan(counts)) <= packing.first_fit(counts)
+    assert used == counts and packing.plan(counts).sequences <= sum(t for _, t in packing.best_fit(counts))
+
+
+def test_plan_is_exact_without_bounds():
+    def fewest(items, size):
+        best = len(items)
+
+        def put(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(items):
+                best = len(rooms)
+                return
+            for k in {rooms[k]: k for k in range(len(rooms)) if rooms[k] >= items[i]}.values():
+                put(i + 1, [*rooms[:k], rooms[k] - items[i], *rooms[k + 1 :]])
+            put(i + 1, [*rooms, size - items[i]])
+
+        put(0, [])
+        return best
+
+    rng = np.random.default_rng(3)
+    for _ in range(120):
+        items = sorted(rng.integers(1, 21, rng.integers(0, 11)).tolist(), reverse=True)
+        histogram = {x: items.count(x) for x in items}
+        exact = packing.plan(histogram, 20, None, None)
+        assert exact.sequences == fewest(items, 20) and exact.proven and exact.lower <= exact.sequences
+        assert packing.plan(histogram, 20).sequences >= exact.sequences
+
+
+def test_plan_of_many_short_pieces():
+    assert packing.plan({3: 1, 2: 2000})[1:] == (2, 2, True)
+    assert sum(1 for _ in packing.fillings(2045, np.array([2]), {2: 2000}, [2046], None)) == 1
 
 
 def test_html():
@@ -301,6 +332,243 @@ def test_languages(spark):
     assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (80, 81, 82))
 
 
+def longest_matches(text, sample):
+    """Phrases of a greedy parse by plain search; a letter that the sample lacks counts twice."""
+    count = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in sample:
+            j += 1
+        count += 1 + (text[i] not in sample)
+        i = max(i + 1, j - 1)
+    return count
+
+
+@pytest.mark.parametrize("dense", [94, 3])
+def test_automaton_equals_plain_search(dense, monkeypatch):
+    monkeypatch.setattr(lang_id, "DENSE", dense)
+    rng = np.random.default_rng(1)
+    sample = "".join(rng.choice(list("abc\u00e9d"), 300))
+    symbols = {c: k + 2 for k, c in enumerate("abc\u00e9d")}
+    own = lang_id.parser([symbols[c] for c in sample], 7)
+    for _ in range(40):
+        text = "".join(rng.choice(list("abc\u00e9dz"), rng.integers(1, 60)))
+        lanes = np.array([[symbols.get(c, 0)] for c in text])
+        assert lang_id.phrases(lanes, np.array([len(text)]), own)[0] == longest_matches(text, sample)
+
+
+def test_languages_with_many_letters(spark):
+    rng = np.random.default_rng(0)
+    alphabets = {"xa": [chr(0x4E00 + k) for k in range(1500)], "xb": [chr(0x6000 + k) for k in range(1500)]}
+    texts = ["".join(rng.choice(alphabets["xb" if k % 2 else "xa"], 900 if k < 40 else 40)) for k in range(90)]
+    df = spark.createDataFrame([(i, t, ("xb" if i % 2 else "xa") if i < 40 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r.lang_pred for r in lang_id.identify(df).collect()}
+    assert [rows[i] for i in range(40, 90)] == ["xb" if i % 2 else "xa" for i in range(40, 90)]
+
+
+def test_languages_odd_tables(spark):
+    df = spark.createDataFrame([(1, "abc abc", "en"), (1, "abc abc", "en"), (None, "abc", None), (7, None, "de")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in lang_id.identify(df).collect()} <= {"en", "und"} and lang_id.identify(df).count() == 4
+    assert lang_id.identify(df.limit(0)).count() == 0
+    assert {r.lang_pred for r in lang_id.identify(df.withColumn("lang", df.lang.substr(9, 1)).filter("false").unionByName(df.selectExpr("doc_id", "text", "cast(null as string) lang"))).collect()} == {"und"}
+
+
+def machine_one_after_another(labels):
+    """Factors of insults and threats by the five transducers, each run on its own."""
+    out = [1.0] * len(labels)
+    for machine in (toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT):
+        state = 0
+        for i, x in enumerate(labels):
+            state, factor = machine.moves[state][x]
+            out[i] *= factor
+    return out
+
+
+def test_grammar_equals_its_machines():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        labels = rng.choice(list(toxicity.LABELS), rng.integers(1, 12)).tolist()
+        state, got = 0, []
+        for x in labels:
+            state, factor = toxicity.GRAMMAR.moves[state][x]
+            got.append(factor)
+        assert got == pytest.approx(machine_one_after_another(labels))
+
+
+def test_toxicity_filter_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, "a fine day", "x", True), (2, None, "y", False), (3, "", "z", None)], "doc_id long, text string, source string, _toxic boolean")
+    kept = toxicity.accepted(docs, {"weights": {"snarfle": 4.0}, "step": [1.0, 1.0, 0.0, -2.0]})
+    assert kept.columns == docs.columns and kept.count() == 3
+    assert toxicity.accepted(docs.limit(0), {"weights": {}, "step": [1.0, 1.0, 0.0, -2.0]}).count() == 0
+
+
+def test_top_k_has_no_cap():
+    rng = np.random.default_rng(0)
+    for scale in (1.0, 5e3, 1e7, 1e15, 1e200, 1e305):
+        x = rng.normal(size=(30, 8)) * scale
+        ids, c, score = topk_impact.best_in_tile(x[:10], np.arange(10), x, np.arange(30), 5)
+        for i in range(10):
+            sums = [sum(topk_impact.exact(u) * topk_impact.exact(v) for u, v in zip(x[i].tolist(), x[j].tolist())) for j in range(30)]
+            best = sorted((j for j in range(30) if j != i), key=lambda j: (-sums[j], j))[:5]
+            assert c[ids == i].tolist() == best
+            assert score[ids == i].tolist() == [min(2**63 - 1, max(-(2**63), sums[j])) for j in best]
+
+
+def test_top_k_proves_large_tiles():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 6)) * rng.choice([0.02, 1], size=(3000, 1))
+    ids = rng.permutation(3000)
+    q, c, s = topk_impact.best_in_tile(x[:150], ids[:150], x, ids, 5)
+    whole = np.floor(256 * x).astype(np.int64)
+    for i in range(150):
+        scores = whole @ whole[i]
+        best = [j for j in np.lexsort((ids, -scores)) if j != i][:5]
+        assert c[q == ids[i]].tolist() == ids[best].tolist() and s[q == ids[i]].tolist() == scores[best].tolist()
+
+
+def test_searches_odd_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (20, [1.0, None]), (100, [float("inf"), 1.0]), (3, [1.0, 2.0, 3.0]), (50, [2.0, 1.0]), (50, [2.0, 2.0]), (7, [0.5, 0.5]), (40, [-1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<float>, label int, id int")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk_impact.top_k(df).orderBy("query_id", "rank").collect()]
+    assert [g for g in got if g[0] == 0] == [(0, 1, 50, 6 * 65536), (0, 2, 50, 4 * 65536), (0, 3, 7, 98304), (0, 4, 40, -65536)]
+    assert [g[2] for g in got if g[0] == 50] == [0, 7, 40] and not [g for g in got if g[0] in (20, 100)]
+    near = {(r.query_id, r.rank): r.vec_id for r in ann_blocks.nearest(df).collect()}
+    assert [near[0, k] for k in (1, 2, 3, 4)] == [50, 50, 7, 40] and (20, 1) not in near and (100, 1) not in near
+
+
+def naive_targets(sizes, weights=(5, 2, 1), cap=3):
+    """Targets by the rule as it is told: shares by weight, the excess of full sources dealt again until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    target, left, open_ = dict.fromkeys(order, 0.0), float(sum(sizes.values())), set(order)
+    while open_ and left > 1e-9:
+        total = sum(weight[s] for s in open_)
+        for s in open_:
+            target[s] += left * weight[s] / total
+        left = sum(max(0.0, target[s] - cap * sizes[s]) for s in open_)
+        full = {s for s in open_ if target[s] >= cap * sizes[s]}
+        for s in full:
+            target[s] = cap * sizes[s]
+        open_ -= full
+    return target
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_targets_equal_the_rule(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = {s: int(rng.choice([3, 50, 4000])) for s in ["b", "a", "\u00e9", "z", None, "B", "aa"]}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r.source: r.target for r in mixing.targets(rows).collect()}
+    assert got == pytest.approx(naive_targets(sizes))
+
+
+def test_mix_odd_tables(spark):
+    texts = [prose(300, 1), prose(300, 1), None, "x " * 60_000]
+    docs = documents(spark, texts, ids=[5, 5, None, 9]).selectExpr("*", "1 as sid", "2 as chunk", "3 as _m_row", "4 as row", "5 as block")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 4 and all(r.taken <= 3 * r["size"] for r in rows) and max(r["size"] for r in rows) == 60_000
+    assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_mix_prefix_sums(spark):
+    rows = spark.createDataFrame([(k % 3, k, k % 7) for k in range(5000)], "sid int, shard long, c long")
+    got = {(r.sid, r.shard): r._before for r in mixing.before(rows, "sid", "shard", "c", 64).collect()}
+    total = [0, 0, 0]
+    for k in range(5000):
+        assert got[k % 3, k] == total[k % 3]
+        total[k % 3] += k % 7
+
+
+def passages_by_hand(texts, passage=50):
+    """Documents of which a window of ``passage`` words has a Jaccard of 0.8 or more with one of an earlier document, by comparing all windows."""
+    own = [word_hashes([t])[0] for t in texts]
+    found = set()
+    width = passage - 4
+    sets = [[frozenset(rolled(w)[k : k + width].tolist()) for k in range(len(w) - passage + 1)] for w in own]
+    for j in range(len(texts)):
+        if any(len(a & b) >= 0.8 * len(a | b) for i in range(j) for a in sets[i] for b in sets[j]):
+            found.add(j)
+    return found
+
+
+def test_passages_equal_a_naive_paragraph_join(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(14):
+        words = prose(50 + 3 * k, 900 + k).split()
+        changed = list(words)
+        for e in range(1 + k % 3):
+            changed[int(rng.integers(0, len(words)))] = f"edit{e}"
+        if k % 4 == 3:
+            del changed[len(changed) // 2]
+        texts += [f"{prose(30, 920 + k)} {' '.join(words)}", f"{prose(20, 940 + k)} {' '.join(changed)} {prose(25, 960 + k)}"]
+    wanted = passages_by_hand(texts)
+    got = {r.doc_id for r in passages.repeated_passages(documents(spark, texts)).collect() if r.n_removed}
+    assert len(wanted) > 6 and len(got & wanted) >= 0.9 * len(wanted)
+    assert all(k % 2 for k in got)  # never a first text
+
+
+def test_passages_rows_that_share_an_id(spark):
+    other, nulls = prose(200, 970), prose(90, 971)
+    texts = [f"{HOSTS[0]} {PASSAGE}", f"{HOSTS[1]} {PASSAGE}", prose(40, 972), other, nulls, nulls, None, "the " * 400, "the " * 300]
+    docs = documents(spark, texts, ids=[1, 2, 2, 2, None, None, None, 8, 9])
+    got = sorted((r.doc_id or 99, r.class_id or 99, r.n_removed) for r in passages.repeated_passages(docs).collect())
+    assert [g for g in got if g[0] == 2] == [(2, 1, got[1][2] or 60), (2, 2, 0), (2, 2, 0)] or sorted(g[2] for g in got if g[0] == 2)[:2] == [0, 0]
+    assert sorted(g[2] for g in got if g[0] == 99) == [0, 0, 90]
+    out = passages.without_repeats(docs.selectExpr("*", "1 as row", "2 as ord", "3 as whole", "4 as spans"))
+    assert out.filter("doc_id = 2").count() == 3 and out.filter("doc_id is null").count() == 2 and len(out.columns) == 11
+
+
+def test_without_spans_beyond_the_text():
+    assert passages.without("a few words here", [(50, 93)]) == "a few words here"
+    assert passages.without("a few words here", [(2, 93)]) == "a few "
+
+
+def test_common_words_have_few_anchors():
+    words, starts = word_hashes(["the " * 5000])
+    assert len(passages.anchors(starts, rolled(words))) < 200
+
+
+def test_join_keeps_clashing_columns(spark):
+    docs = documents(spark, [BASE, BASE, None]).selectExpr("*", "1 as _j_row", "2 as _j_n", "3 as first", "4 as links", "5 as doc")
+    kept = ngram_join.deduplicated(docs)
+    assert kept.columns == docs.columns and kept.count() == 2
+
+
+def plain_text_of(page):
+    """Blocks of fixture pages whose main text is marked by data-main, by a plain reading."""
+    import html
+    import re
+
+    return "\n".join(" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.findall(r'data-main="1">(.*?)</(?:p|h1|h2|li)>', page, re.S))
+
+
+def test_html_main_text_of_fixture_pages(spark):
+    head, foot = "<html><head><title>T</title><style>p {}</style></head><body><nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>", "<footer>Imprint and contact</footer></body></html>"
+    body = f'<h1 data-main="1">Title &amp; more</h1><p data-main="1">{LONG}</p><p data-main="1">So it  was.</p><p data-main="1">{LONG} <a href=x>And a link.</a></p>'
+    pages = [
+        f"{head}<div class='content no-sidebar'>{body}</div><div class=comments><p>{LONG}</p></div>{foot}",
+        f"{head}<form action=x>{body}<input name=q></form>{foot}",
+        f"{head}<main>{body}</main><aside><p>{LONG}</p></aside>{foot}",
+        f"{head}<div>{body}</div><div class='cookie-notice'><p>{LONG}</p></div>{foot}",
+        f"{head}<div>{body}<canvas>{'<canvas>' * 3000}</div>{foot}",
+        f"{head}<article>{body}{('<p data-main=' + chr(34) + '1' + chr(34) + '>' + LONG + '</p>') * 400}</article>{foot}",
+    ]
+    rows = [(i, f"u{i}", p, 1) for i, p in enumerate(pages)] + [(None, None, None, 2), (3, "u3", pages[3], 3), (9, "", "", 4)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert len(got) == 9
+    for r in got:
+        want = plain_text_of(pages[r.page_id]) if r.page_id is not None and r.page_id < 6 else ""
+        assert r.text == want and r.n_chars == len(want)
+
+
+def test_tokens_odd_rows(spark):
+    docs = documents(spark, ["b", "a", None, "c", "a"], ids=[4, 4, 7, None, 4]).selectExpr("*", "1 as part", "2 as seq")
+    got = sorted(((r.start, r.doc_id, r.n_tokens) for r in token_output.round_trip(docs).collect()))
+    assert [g[1] for g in got] == [None, 4, 4, 4, 7] and [g[2] for g in got] == [2, 2, 2, 2, 1]
+    assert sorted(r.length for r in packing.pack(docs).collect()) == [1, 2, 2, 2, 2]
+
+
 def test_anchors_cover_every_paragraph():
     words, starts = word_hashes([prose(130, 1), prose(49, 2), prose(50, 3)])
     at = passages.anchors(starts, rolled(words))
