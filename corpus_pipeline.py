@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rowkin.llm import mixing, ngram_join, packing, passages, toxicity
 from rowkin.llm.common import stored
@@ -11,10 +10,10 @@ from rowkin.session import ship_package
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the folder's labels, does not reject."""
+    """Documents that the classifier, learned from the folder's labels, does not reject. Null and empty texts stay; columns of any names pass."""
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.rejected(docs, toxicity.fit(docs, labels)).filter(~F.col("_toxic")).drop("_toxic")
+    return toxicity.accepted(docs, toxicity.fit(docs, labels))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
