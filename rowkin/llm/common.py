@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -13,11 +14,26 @@ from pyspark.sql import functions as F
 from rowkin.storage import shared_dir
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Jobs in this block send texts to Python in batches of at most ``size``, which bounds what both sides of a task hold."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes ``df`` once into the shared folder and reads it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowkin-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from rowkin.llm.common import mix64
@@ -13,7 +14,7 @@ from rowkin.llm.common import mix64
 WORDS = 5
 WORD = re.compile(r"\w+")
 #: Words that a worker remembers with their hashes; beyond that it starts anew.
-MEMORY = 200_000
+MEMORY = 100_000
 
 
 class _Hashes(dict):
@@ -30,6 +31,7 @@ _HASHES = _Hashes()
 def forget_words() -> None:
     """Empties the worker's memory of words: workers outlive tasks, and the next one may need the room for something else."""
     _HASHES.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def word_hashes(texts: list[str | None], keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
