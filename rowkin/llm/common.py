@@ -28,12 +28,12 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
         spark.conf.set(BATCH_BYTES, before)
 
 
-def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Writes ``df`` once into the shared folder and reads it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowkin-{label}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -92,7 +92,7 @@ def _spaced(at: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 def numbered(docs: DataFrame, id_col: str, text_col: str, label: str) -> tuple[DataFrame, str]:
     """A written table with a row for each of ``docs``: its number ``row``, ``ord`` (its id, null last), ``digest`` of its text, and ``doc``, its columns."""
     marks = (F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("digest"))
-    return stored(docs.select(*marks, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), label)
+    return stored(docs.select(*marks, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), label, "zstd")
 
 
 def sides(shingles: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -310,7 +310,9 @@ def removals(rows: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFr
     long = bands.select("row").distinct()  # texts of PASSAGE words or more
     copies, copies_path = stored(digests.join(heads, "digest").filter("row <> from").select("row", "from").join(long, "row", "left_semi"), "copies")
 
-    found, firsts_path = starred(bands)
+    repeated, repeated_path = stored(bands.groupBy("band").count().filter("count > 1").select("band"), "repeated")
+    shared, shared_path = stored(bands.join(repeated, "band", "left_semi"), "shared")  # most bands occur once and go no further
+    found, firsts_path = starred(shared)
     found, found_path = stored(found.join(copies.select("row"), "row", "left_anti"), "found")
     before, after = (lambda c: F.nullif(F.shiftrightunsigned(c, 32), F.lit(0))), (lambda c: F.nullif(F.col(c).bitwiseAND(F.lit(LOW)), F.lit(0)))
     alike = F.coalesce(before("sides") == before("sides2"), F.lit(False)) | F.coalesce(after("sides") == after("sides2"), F.lit(False))
@@ -319,7 +321,7 @@ def removals(rows: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFr
     keys = F.explode(F.array_compact(F.array(*(F.when(x.isNotNull(), F.xxhash64("band", x, F.lit(k))) for k, x in enumerate((before("sides"), after("sides")))))))
     closer, closer_path = starred(other.withColumn("band", keys))
     seeds, seeds_path = stored(thinned(found.filter(alike).select("row", "ord", "place", "from", "there").unionByName(closer.select("row", "ord", "place", "from", "there"))), "seeds")
-    for path in (bands_path, firsts_path, found_path, closer_path):
+    for path in (bands_path, repeated_path, shared_path, firsts_path, found_path, closer_path):
         forget(spark, path)
     contexts, contexts_path = stored(context_rows(named, seeds), "contexts")
     spans, spans_path = stored(verified_spans(contexts), "spans")
