@@ -197,20 +197,20 @@ def npi(value: Column) -> Column:
     """struct(status, digits): sentinels are told before the checksum is looked at."""
     raw = F.upper(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
 
-    def classified(raw: Column, clean: Column) -> Column:
+    def classified(raw: Column, spaced: Column, clean: Column) -> Column:
         status = (
             F.when(raw == "", "MISSING")
-            .when(raw.isin(*lex.PLACEHOLDERS) | clean.isin(*lex.PLACEHOLDERS), "PLACEHOLDER_TEXT")
+            .when(raw.isin(*lex.PLACEHOLDERS) | spaced.isin("", *lex.PLACEHOLDERS) | clean.isin(*lex.PLACEHOLDERS), "PLACEHOLDER_TEXT")
             .when(clean == "", "MISSING")
             .when(~clean.rlike("^\\d+$"), "MALFORMED")
             .when(clean.isin(*lex.SENTINEL_NPIS), "SENTINEL")
-            .when(~clean.rlike("^[12]\\d{9}$"), "MALFORMED")
+            .when(F.length(clean) != 10, "MALFORMED")
             .when(luhn_digit(F.left(clean, F.lit(9))) != F.right(clean, F.lit(1)).cast("int"), "CHECKSUM_FAIL")
             .otherwise("VALID")
         )
         return let(status, lambda s: F.struct(s.alias("status"), F.when(s.isin("MISSING", "PLACEHOLDER_TEXT"), "").otherwise(clean).alias("digits")))
 
-    return let(raw, lambda r: let(F.regexp_replace(r, "[\\s\\-./]+", ""), lambda clean: classified(r, clean)))
+    return let(raw, lambda r: let(F.regexp_replace(r, "[\\s\\-._/]", " "), lambda spaced: classified(r, F.trim(spaced), F.replace(spaced, F.lit(" "), F.lit("")))))
 
 
 # --- dates ------------------------------------------------------------------

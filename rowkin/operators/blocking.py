@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowkin.functions.text import trigrams
 from rowkin.schema import BLOCKS
+from rowkin.storage import staged
 
 CAP = 50
 SIMILARITY = 0.3
@@ -42,35 +43,35 @@ def block_keys(records: DataFrame, query: bool = False) -> DataFrame:
 
 
 def key_hits(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(record_id, other_id, blocks) of two key tables joined on (block, key); ``blocks`` distinct, in the fixed order."""
+    """(record_id, other_id, blocks) of two key tables joined on (block, key); ``blocks`` distinct, in the fixed order.
+
+    One aggregation with partial sets; the join's common keys are left to adaptive execution, which deals them to several tasks.
+    """
     order = F.create_map(*(F.lit(x) for b, i in zip(BLOCKS, range(len(BLOCKS))) for x in (b, i)))
-    met = left.join(right.select(F.col("record_id").alias("other_id"), "block", "key"), ["block", "key"]).select("record_id", "other_id", "block").distinct()
-    return met.groupBy("record_id", "other_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce(order["block"], F.lit(99)).alias("o"), "block"))), lambda s: s["block"]).alias("blocks"))
+    met = left.join(right.select(F.col("record_id").alias("other_id"), "block", "key"), ["block", "key"])
+    seen = F.collect_set(F.struct(F.coalesce(order["block"], F.lit(99)).alias("o"), "block"))  # at most a row a block
+    return met.groupBy("record_id", "other_id").agg(F.transform(F.array_sort(seen), lambda s: s["block"]).alias("blocks"))
 
 
 def similar_strings(left: DataFrame, right: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) of distinct strings of two tables (column ``value``) whose trigram Jaccard reaches ``least``.
 
-    The join is on trigrams of the prefix that decides (a string's rarest ones: a pair that reaches the threshold must
-    share one of the first |x| - ceil(least |x|) + 1), so frequent trigrams are hardly ever join keys. Then lengths, then
-    the exact Jaccard of the two sets.
+    Strings are numbered, and only numbers, counts and hashed trigrams are joined: how many trigrams two strings share is
+    a count of the join's rows, which gives the exact Jaccard. At a threshold as low as 0.3 a prefix of rare trigrams would
+    leave out few of these rows, and cost a ranking of every string's trigrams. Sizes that cannot reach the threshold
+    are left out of the count.
     """
-    grams = lambda df: df.select("value").filter("value <> ''").distinct().withColumn("grams", trigrams(F.col("value")))
-    a, b = grams(left), grams(right)
-    counts = a.unionByName(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-
-    def prefixed(df: DataFrame) -> DataFrame:
-        rare = df.select("value", "grams", F.explode("grams").alias("gram")).join(counts, "gram")
-        rank = F.row_number().over(Window.partitionBy("value").orderBy("n", "gram"))
-        return rare.withColumn("at", rank).filter(F.col("at") <= F.size("grams") - F.ceil(F.size("grams") * least) + 1).select("gram", "value", "grams")
-
-    x, y = prefixed(a), prefixed(b)
-    x, y = x.withColumnsRenamed({"value": "a", "grams": "ga"}), y.withColumnsRenamed({"value": "b", "grams": "gb"})
-    size = lambda c: F.size(c).cast("double")
-    fits = (size("gb") >= least * size("ga")) & (size("ga") >= least * size("gb"))
-    met = x.join(y, "gram").filter(fits).select("a", "b", "ga", "gb").dropDuplicates(["a", "b"])
-    both = F.size(F.array_intersect("ga", "gb"))
-    return met.withColumn("similarity", both / (size("ga") + size("gb") - both)).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        values = df.select("value").filter("value <> ''").distinct().withColumn("grams", trigrams(F.col("value")))
+        return staged(values.select(F.monotonically_increasing_id().alias("id"), F.col("value").alias(name), "grams"), "grams")
+
+    a, b = numbered(left, "a"), numbered(right, "b")
+    each = lambda df, k: df.select(F.col("id").alias(f"id{k}"), F.size("grams").alias(f"n{k}"), F.explode("grams").alias("gram"))
+    fits = (F.col("n2") >= least * F.col("n1")) & (F.col("n1") >= least * F.col("n2"))
+    met = each(a, 1).join(each(b, 2), "gram").filter(fits).groupBy("id1", "id2", "n1", "n2").agg(F.count("*").alias("both"))
+    near = met.withColumn("similarity", F.col("both") / (F.col("n1") + F.col("n2") - F.col("both")).cast("double")).filter(F.col("similarity") >= least)
+    return near.join(a.select(F.col("id").alias("id1"), "a"), "id1").join(b.select(F.col("id").alias("id2"), "b"), "id2").select("a", "b", "similarity")
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: Column | int, name: str = "rank") -> DataFrame:

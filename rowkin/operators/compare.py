@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowkin.functions import text as T
 from rowkin.functions.metrics import jaro_winkler_udf, token_set_udf
+from rowkin.functions.text import let
 from rowkin.schema import FIELDS, level
 
 HIGH, LOW = 0.92, 0.85
@@ -48,13 +49,12 @@ def birth_date(a: Column, b: Column) -> Column:
     swapped = whole(a) & whole(b) & (a["year"] == b["year"]) & (a["month"] == b["day"]) & (a["day"] == b["month"])
     return (
         F.when(a["year"].isNull() | b["year"].isNull(), n("MISSING"))
-        .when(whole(a) & a.eqNullSafe(b), n("EXACT"))
+        .when(a.eqNullSafe(b), n("EXACT"))
         .when(F.coalesce(swapped, F.lit(False)), n("TRANSPOSED"))
         .when(a["year"] != b["year"], n("DISAGREE"))
         .when(a["month"].isNull() | b["month"].isNull(), n("YEAR_ONLY"))
-        .when(a["month"] != b["month"], n("DISAGREE"))
-        .when(a["day"].eqNullSafe(b["day"]) & a["day"].isNotNull(), n("EXACT"))
-        .otherwise(n("YEAR_MONTH"))
+        .when(a["month"] == b["month"], n("YEAR_MONTH"))
+        .otherwise(n("DISAGREE"))
     )
 
 
@@ -62,10 +62,10 @@ def address(a: Column, b: Column, overlap: Column) -> Column:
     n = _levels("individual", "address")
     same_zip = (a["zip5"] != "") & (a["zip5"] == b["zip5"])
     return (
-        F.when((a["po_box"] != "") & (b["po_box"] != ""), F.when(a["po_box"] == b["po_box"], n("EXACT")).when(same_zip, n("SAME_ZIP_ONLY")).otherwise(n("DISAGREE")))
+        F.when((a["po_box"] != "") & (b["po_box"] != ""), F.when(a["po_box"] == b["po_box"], n("EXACT")).otherwise(n("DISAGREE")))
         .when((a["line"] == "") | (b["line"] == ""), F.when(same_zip, n("SAME_ZIP_ONLY")).otherwise(n("MISSING")))
-        .when((a["line"] == b["line"]) & ((a["zip5"] == b["zip5"]) | (a["zip5"] == "") | (b["zip5"] == "")), F.when(a["unit"] == b["unit"], n("EXACT")).otherwise(n("SAME_STREET_DIFF_UNIT")))
-        .when((overlap >= ADDRESS_SET) & same_zip, n("TOKEN_SET"))
+        .when(a["line"] == b["line"], F.when(a["unit"] == b["unit"], n("EXACT")).otherwise(n("SAME_STREET_DIFF_UNIT")))
+        .when(overlap >= ADDRESS_SET, n("TOKEN_SET"))
         .when(same_zip, n("SAME_ZIP_ONLY"))
         .otherwise(n("DISAGREE"))
     )
@@ -90,22 +90,20 @@ def license_(p: Column, q: Column) -> Column:
 def legal_name(p: Column, q: Column, overlap: Column, jw: Column) -> Column:
     n = _levels("organization", "legal_name")
     a, b = p["org_name_norm"], q["org_name_norm"]
-    short = lambda x: ~x.contains(" ") & (F.length(x) <= 8)
-    acronym = (short(a) & (a == q["org_acronym_key"])) | (short(b) & (b == p["org_acronym_key"]))
+    stands_for = lambda x, other: (x != "") & ~x.contains(" ") & (F.length(x) <= 8) & ((x == other["org_acronym_key"]) | (x == other["dba_acronym_key"]))
+    acronym = stands_for(a, q) | stands_for(b, p)
     return F.when((a == "") | (b == ""), n("MISSING")).when(a == b, n("EXACT")).when(acronym, n("ACRONYM")).when(overlap >= NAME_SET, n("TOKEN_SET")).when(jw >= LOW, n("JW_LOW")).otherwise(n("DISAGREE"))
 
 
-def trade_name(p: Column, q: Column) -> Column:
-    """Best agreement over both slots of both sides, but never of the two legal names with each other."""
-    n = _levels("organization", "dba_alias")
-    words = lambda x: F.array_sort(F.array_distinct(T.split_words(x)))
+#: Pairs of names that trading names are compared by; the two legal names are another field's.
+TRADE_PAIRS = (("dba_name_norm", "dba_name_norm"), ("dba_name_norm", "org_name_norm"), ("org_name_norm", "dba_name_norm"))
 
-    def pair(a: Column, b: Column) -> Column:
-        return F.when((a == "") | (b == ""), F.lit(None)).when(a == b, n("EXACT")).when(words(a) == words(b), n("TOKEN_SET")).otherwise(n("DISAGREE"))
 
-    nothing = (p["dba_name_norm"] == "") & (q["dba_name_norm"] == "")
-    best = F.greatest(pair(p["dba_name_norm"], q["dba_name_norm"]), pair(p["dba_name_norm"], q["org_name_norm"]), pair(p["org_name_norm"], q["dba_name_norm"]))
-    return F.when(nothing, n("MISSING")).otherwise(F.coalesce(best, n("DISAGREE")))
+def trade_name(p: Column, q: Column, overlaps: list[Column]) -> Column:
+    """Best agreement over both slots of both sides; ``overlaps``: token sets of TRADE_PAIRS."""
+    n = _levels("organization", "dba_alias")
+    levels = [F.when((p[x] == "") | (q[y] == ""), F.lit(None)).when(p[x] == q[y], n("EXACT")).when(o >= NAME_SET, n("TOKEN_SET")).otherwise(n("DISAGREE")) for (x, y), o in zip(TRADE_PAIRS, overlaps, strict=True)]
+    return F.coalesce(F.greatest(*levels), n("MISSING"))
 
 
 def vectors(found: DataFrame, records: DataFrame, master: DataFrame) -> DataFrame:
@@ -115,14 +113,20 @@ def vectors(found: DataFrame, records: DataFrame, master: DataFrame) -> DataFram
     r, p = F.col("r"), F.col("p")
     org = r["is_organization"] | p["is_organization"]
     pairs = pairs.withColumn("kind", F.when(org, "organization").otherwise("individual"))
-    named = lambda x: x.withField("org_name_norm", F.when(x["is_organization"], x["org_name_norm"]).otherwise(x["name_norm"]))  # noqa: E731  a person against an organization is compared as one
-    pairs = pairs.withColumn("r", F.when(org, named(r)).otherwise(r)).withColumn("p", F.when(org, named(p)).otherwise(p))
+
+    def as_organization(x: Column) -> Column:
+        """A person against an organization is compared as one: the whole name is its legal name."""
+        return F.when(x["is_organization"], x).otherwise(let(T.org_name(x["name_norm"])["name"], lambda name: x.withField("org_name_norm", name).withField("org_acronym_key", T.org_acronym(name))))
+
+    pairs = pairs.withColumn("r", F.when(org, as_organization(r)).otherwise(r)).withColumn("p", F.when(org, as_organization(p)).otherwise(p))
     r, p = F.col("r"), F.col("p")
     differ = lambda a, b: (a != b) & (a != "") & (b != "")
     pairs = with_metric(pairs, jaro_winkler_udf, p["last_norm"], r["last_norm"], ~org & differ(p["last_norm"], r["last_norm"]), "_jw_last")
     pairs = with_metric(pairs, jaro_winkler_udf, p["first_raw"], r["first_raw"], ~org & differ(p["first_norm"], r["first_norm"]), "_jw_first")
     pairs = with_metric(pairs, jaro_winkler_udf, p["org_name_norm"], r["org_name_norm"], org & differ(p["org_name_norm"], r["org_name_norm"]), "_jw_org")
     pairs = with_metric(pairs, token_set_udf, p["org_name_norm"], r["org_name_norm"], org & differ(p["org_name_norm"], r["org_name_norm"]), "_set_org")
+    for k, (x, y) in enumerate(TRADE_PAIRS):
+        pairs = with_metric(pairs, token_set_udf, p[x], r[y], org & differ(p[x], r[y]), f"_set_dba{k}")
     pairs = with_metric(pairs, token_set_udf, p["address"]["line"], r["address"]["line"], differ(p["address"]["line"], r["address"]["line"]), "_set_line")
     shared = {
         "npi": identifier(p["npi"], r["npi"]),
@@ -132,7 +136,7 @@ def vectors(found: DataFrame, records: DataFrame, master: DataFrame) -> DataFram
     }
     own = {
         "individual": shared | {"last_name": last_name(p, r, F.col("_jw_last")), "first_name": first_name(p, r, F.col("_jw_first")), "dob": birth_date(p["dob"], r["dob"]), "license": license_(p, r)},
-        "organization": shared | {"ein": identifier(p["ein"], r["ein"]), "legal_name": legal_name(p, r, F.col("_set_org"), F.col("_jw_org")), "dba_alias": trade_name(p, r)},
+        "organization": shared | {"ein": identifier(p["ein"], r["ein"]), "legal_name": legal_name(p, r, F.col("_set_org"), F.col("_jw_org")), "dba_alias": trade_name(p, r, [F.col(f"_set_dba{k}") for k in range(len(TRADE_PAIRS))])},
     }
     vector = {k: F.array(*(own[k][f].cast("int") for f in FIELDS[k])) for k in FIELDS}
     cross = r["is_organization"] != p["is_organization"]
@@ -144,3 +148,59 @@ def described(vector: Column, kind: str) -> Column:
     fields = FIELDS[kind]
     names = [F.element_at(F.array(*map(F.lit, levels)), vector[i] + 1) for i, levels in enumerate(fields.values())]
     return F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*names))
+
+
+def coded(levels: Column, kind: str) -> Column:
+    """A map of field to level name as a vector: what ``described`` undoes; null where a name is unknown."""
+    return F.array(*(F.nullif(F.array_position(F.array(*map(F.lit, names)), levels[field]), F.lit(0)).cast("int") - 1 for field, names in FIELDS[kind].items()))
+
+
+def level_counts(pairs: DataFrame, kind: str) -> DataFrame:
+    """(field, level, n) of all levels of a kind's fields, those that never occur too."""
+    own = pairs.filter(F.col("kind") == kind).select(F.explode(described(F.col("vector"), kind)).alias("field", "level"))
+    every = pairs.sparkSession.createDataFrame([(f, x) for f, names in FIELDS[kind].items() for x in names], "field string, level string")
+    return every.join(own.groupBy("field", "level").agg(F.count("*").alias("n")), ["field", "level"], "left").select("field", "level", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# Weights and cuts of the fuzzy baseline.
+FUZZY_WEIGHTS = {
+    "individual": {"npi": 0.30, "name": 0.30, "dob": 0.15, "address": 0.10, "zip": 0.05, "state": 0.05, "license": 0.05},
+    "organization": {"npi": 0.25, "ein": 0.15, "name": 0.40, "address": 0.10, "zip": 0.05, "state": 0.05},
+}
+FUZZY_ACCEPT, FUZZY_REJECT = 0.88, 0.70
+
+
+def similarity(found: DataFrame, records: DataFrame, master: DataFrame) -> DataFrame:
+    """(record_id, provider_id, kind, confidence): the weighted mean of the fuzzy baseline, which counts missing as disagreeing.
+
+    The kind is the record's own; organizations compare names across both slots.
+    """
+    whole = lambda df, name: df.select(F.col("record_id").alias(f"{name}_id"), F.struct(*df.columns).alias(name))
+    pairs = found.select("record_id", "provider_id").join(whole(records, "r"), F.col("record_id") == F.col("r_id")).join(whole(master, "p"), F.col("provider_id") == F.col("p_id"))
+    r, p = F.col("r"), F.col("p")
+    org = r["is_organization"]
+    metrics = {
+        "_jw": (jaro_winkler_udf, r["name_norm"], p["name_norm"], ~org),
+        "_sorted": (token_set_udf, r["name_sorted_norm"], p["name_sorted_norm"], ~org),
+        "_legal": (token_set_udf, r["org_name_norm"], p["org_name_norm"], org),
+        "_trade": (token_set_udf, r["dba_name_norm"], p["org_name_norm"], org),
+        "_other": (token_set_udf, r["org_name_norm"], p["dba_name_norm"], org),
+        "_line": (token_set_udf, r["address"]["line"], p["address"]["line"], F.lit(True)),
+    }
+    for out, (udf, a, b, where) in metrics.items():
+        pairs = with_metric(pairs, udf, a, b, where, out)
+    same = lambda a, b: F.coalesce((a != "") & (a == b), F.lit(False)).cast("double")
+    born = F.coalesce(r["dob"]["year"].isNotNull() & r["dob"].eqNullSafe(p["dob"]), F.lit(False)).cast("double")
+    shared = {"npi": same(r["npi"], p["npi"]), "address": F.col("_line"), "zip": same(r["address"]["zip5"], p["address"]["zip5"]), "state": same(r["address"]["state"], p["address"]["state"])}
+    parts = {
+        "individual": shared | {"name": F.greatest("_jw", "_sorted"), "dob": born, "license": same(r["license_number"], p["license_number"])},
+        "organization": shared | {"name": F.greatest("_legal", "_trade", "_other"), "ein": same(r["ein"], p["ein"])},
+    }
+
+    def total(kind: str) -> Column:
+        out = F.lit(0.0)
+        for name, w in FUZZY_WEIGHTS[kind].items():
+            out = out + w * parts[kind][name]
+        return out
+
+    return pairs.select("record_id", "provider_id", F.when(org, "organization").otherwise("individual").alias("kind"), F.when(org, total("organization")).otherwise(total("individual")).alias("confidence"))

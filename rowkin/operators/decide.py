@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowkin.operators import compare
 from rowkin.operators.blocking import top_k
 from rowkin.operators.learn import Model, calibrated, posterior
 from rowkin.schema import FIELDS, level
@@ -97,3 +98,16 @@ def banded(records: DataFrame, pairs: DataFrame, accept: float = 0.88, reject: f
     best = pairs.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
     out = records.select("record_id").join(best.select("record_id", "provider_id", "score"), "record_id", "left")
     return out.select("record_id", F.when(F.col("score") >= accept, "MATCH").when(F.col("score") >= reject, "AMBIGUOUS").otherwise("NO_MATCH").alias("decision"), F.when(F.col("score") >= reject, F.col("provider_id")).alias("provider_id"), "score")
+
+
+def decided_by(strategy: str, records: DataFrame, master: DataFrame, found: DataFrame, pairs: DataFrame | None = None, bundles: dict[str, Bundle] | None = None) -> DataFrame:
+    """(record_id, decision, provider_id) by the named strategy: deterministic, fuzzy or probabilistic (which needs vectors and bundles)."""
+    if strategy == "deterministic":
+        return deterministic(records, master)
+    if strategy == "fuzzy":
+        return banded(records, compare.similarity(found, records, master).withColumnRenamed("confidence", "score"), compare.FUZZY_ACCEPT, compare.FUZZY_REJECT).drop("score")
+    if strategy == "probabilistic":
+        if pairs is None or bundles is None:
+            raise ValueError("the probabilistic strategy needs vectors and bundles")
+        return routed(records, ranked(scored(pairs, bundles))).select("record_id", "decision", "provider_id")
+    raise ValueError(f"no strategy {strategy!r}")

@@ -51,6 +51,26 @@ def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.coalesce("gap", F.lit(0.0))) / F.sum("n")).alias("ece"), F.max("gap").alias("mce"))
 
 
+def brier(p: str = "confidence", y: str = "label", weight: str | None = None) -> Column:
+    """Mean squared error of probabilities, an aggregate."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    return F.sum(w * (F.col(p) - F.col(y)) * (F.col(p) - F.col(y))) / F.sum(w)
+
+
+def block_contribution(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(block, candidates, found, sole): of each block the pairs it proposes, the true ones, and the true ones that no other block proposes. truth: record_id, expected_ids."""
+    wanted = truth.select("record_id", F.explode("expected_ids").alias("provider_id")).distinct().withColumn("_true", F.lit(1))
+    own = found.join(wanted, ["record_id", "provider_id"], "left").select(F.explode("blocks").alias("block"), "_true", (F.size("blocks") == 1).alias("_one"))
+    return own.groupBy("block").agg(F.count("*").alias("candidates"), F.count("_true").alias("found"), F.count_if(F.col("_one") & F.col("_true").isNotNull()).alias("sole"))
+
+
+def misses(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(scenario, missed) of the records whose expected rows are all absent from the candidates."""
+    wanted = truth.select("record_id", "scenario", F.explode("expected_ids").alias("provider_id"))
+    hit = wanted.join(found.select("record_id", "provider_id"), ["record_id", "provider_id"], "left_semi").select("record_id")
+    return truth.join(hit, "record_id", "left_anti").groupBy("scenario").agg(F.count("*").alias("missed"))
+
+
 def blocking_recall(truth: DataFrame, found: DataFrame) -> DataFrame:
     """(scenario, evaluated, found, recall) with a total row (scenario null). truth: record_id, expected_ids, scenario."""
     hit = found.select("record_id", "provider_id").distinct()

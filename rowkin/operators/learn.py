@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -72,34 +73,53 @@ def fit(kind: str, patterns: list[tuple[list[int], float]], start: float = 0.05,
     codes = np.array([v for v, _ in patterns])
     count = np.array([n for _, n in patterns], dtype=float)
     hot = [np.eye(s)[codes[:, i]] for i, s in enumerate(sizes)]
-    marginal = [(count @ h + 1e-9) / (count.sum() + 1e-9 * len(h[0])) for h in hot]
+    marginal = [(count @ h + 1) / (count.sum() + len(h[0])) for h in hot]
     rising = [np.arange(1, s + 1, dtype=float) for s in sizes]
     m = [r**2 / (r**2).sum() for r in rising]
     u = [r[::-1] ** 2 / (r**2).sum() for r in rising]
     share, trace = start, []
     known = np.array([np.nan if x is None else x for x in labels], dtype=float) if labels else np.full(len(count), np.nan)
+    noise = np.where(np.isnan(known), 0.5, known)  # a label that may err weighs both components
     for _ in range(rounds):
         lm = math.log(share) + sum(np.log(np.maximum(h @ a, FLOOR)) for h, a in zip(hot, m, strict=True))
         lu = math.log(1 - share) + sum(np.log(np.maximum(h @ a, FLOOR)) for h, a in zip(hot, u, strict=True))
-        both = np.logaddexp(lm, lu)
+        both = np.where(np.isnan(known), np.logaddexp(lm, lu), np.logaddexp(lm + np.log(np.maximum(noise, FLOOR)), lu + np.log(np.maximum(1 - noise, FLOOR))))
         p = np.where(np.isnan(known), np.exp(lm - both), known)
         trace.append(float(count @ both))
         share = float(np.clip((count * p).sum() / count.sum(), 1e-9, 1 - 1e-9))
 
         def table(weight: np.ndarray) -> list[np.ndarray]:
-            return [(weight @ h + smoothing * q * weight.sum() / count.sum()) / (weight.sum() * (1 + smoothing / count.sum())) for h, q in zip(hot, marginal, strict=True)]
+            prior = smoothing * weight.sum() / count.sum()  # of a level, so that both components hold the same share of prior
+            return [(weight @ h + prior * len(q) * q) / (weight.sum() + prior * len(q)) for h, q in zip(hot, marginal, strict=True)]
 
         m, u = table(count * p), [np.maximum(x, FLOOR) / np.maximum(x, FLOOR).sum() for x in table(count * (1 - p))]
-        if len(trace) > 1 and abs(trace[-1] - trace[-2]) <= tolerance * abs(trace[-2]):
+        if len(trace) > 1 and abs(trace[-1] - trace[-2]) <= tolerance:
             break
     if not 1e-4 <= share <= 1 - 1e-4:
         raise Degenerate(f"share of matches {share}")
-    ends = sum(math.log(a[-1] / b[-1]) for a, b in zip(m, u, strict=True))
-    if ends < 0:  # the components changed places
+    higher = sum(float(np.arange(len(a)) @ a) - float(np.arange(len(b)) @ b) for a, b in zip(m, u, strict=True))
+    if higher < 0:  # the components changed places: matches agree more on average
         m, u, share = u, m, 1 - share
     return Model(kind, [x.tolist() for x in m], [x.tolist() for x in u], share, trace)
 
 
+#: Shares of matches that fits start from.
+STARTS = (0.05, 0.01, 0.2)
+
+
+def best_fit(kind: str, patterns: list[tuple[list[int], float]], starts: tuple[float, ...] = STARTS, **options) -> Model:
+    """The fit of highest likelihood over several starts; Degenerate only if all of them are."""
+    found, last = [], None
+    for start in starts:
+        try:
+            found.append(fit(kind, patterns, start=start, **options))
+        except Degenerate as e:
+            last = e
+    if not found:
+        raise last
+    return max(found, key=lambda model: model.trace[-1])
+
+
 def fit_tally(tally: DataFrame, **options) -> dict[str, Model]:
     """A model for each kind that has pairs. Raises Degenerate if one cannot be fitted: its pairs would drop out unseen."""
     out = {}
@@ -108,7 +128,7 @@ def fit_tally(tally: DataFrame, **options) -> dict[str, Model]:
         if not rows:
             continue
         try:
-            out[kind] = fit(kind, [(r["vector"], r["n"]) for r in rows], **options)
+            out[kind] = best_fit(kind, [(r["vector"], r["n"]) for r in rows], **options)
         except Degenerate as e:
             raise Degenerate(f"{kind} model could not be fitted: {e}") from e
     return out
@@ -152,9 +172,73 @@ def cumulative_cuts(scored: DataFrame, score: str = "confidence", label: str = "
     return out.withColumn("precision", F.col("pos_above") / F.col("n_above")).withColumn("pos_below", F.sum("pos").over(everything) - F.col("pos_above"))
 
 
-def choose_thresholds(scored: DataFrame, precision: float = 0.98, missed: float = 0.02, score: str = "confidence", label: str = "label") -> tuple[float, float]:
-    """(accept, reject): accept is the lowest cut that meets the precision (1.0 if none), reject the lowest score that still misses at most ``missed`` of matches below."""
-    cuts = cumulative_cuts(scored, score, label)
-    row = cuts.agg(F.min(F.when(F.col("precision") >= precision, F.col("cut"))).alias("accept"), F.max(F.when(F.col("pos_below") <= missed * (F.col("pos_below") + F.col("pos_above")), F.col("cut"))).alias("reject")).first()
-    accept = 1.0 if row["accept"] is None else row["accept"]
-    return accept, min(accept, row["reject"] or 0.0)
+class Thresholds(NamedTuple):
+    """Cuts, what they achieve on the rows they were chosen from, and whether the targets were met."""
+
+    accept: float
+    reject: float
+    precision: float
+    recall: float
+    grey: float
+    precision_met: bool
+    recall_met: bool
+
+
+def threshold_table(scored: DataFrame, precision: float = 0.99, recall: float = 0.99, score: str = "confidence", label: str = "label", weight: str | None = None) -> DataFrame:
+    """One row of ``Thresholds``' columns.
+
+    accept: the lowest score at or above which the weighted precision meets its target, else 1. reject: the score next
+    above the highest one at which everything up to it may be rejected with the recall still met (that score itself if
+    it is the highest of all; the lowest of all if none may be), but never above accept. grey: the share of weight in between. Without
+    rows: 1, 0 and nothing met. The running sums see a row a distinct score.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    levels = scored.groupBy(F.col(score).cast("double").alias("cut")).agg(F.sum(w).alias("w"), F.sum(w * F.col(label).cast("double")).alias("pos"))
+    everything = Window.partitionBy(F.lit(0))
+    down, up = everything.orderBy(F.desc("cut")), everything.orderBy("cut")
+    ran = levels.withColumn("above", F.sum("w").over(down)).withColumn("hit", F.sum("pos").over(down)).withColumn("below", F.sum("pos").over(up)).withColumn("all", F.sum("pos").over(everything)).withColumn("next", F.lead("cut").over(up))
+    ran = ran.withColumn("p", F.when(F.col("above") > 0, F.col("hit") / F.col("above"))).withColumn("r", F.when(F.col("all") > 0, (F.col("all") - F.col("below")) / F.col("all")).otherwise(1.0))
+    good, may = F.col("p") >= precision, F.col("r") >= recall
+    found = ran.agg(
+        F.count("*").alias("n"),
+        F.min(F.when(good, F.col("cut"))).alias("accept"),
+        F.min_by("p", F.when(good, F.col("cut"))).alias("p_met"),
+        F.max("p").alias("p_best"),
+        F.max(F.when(may, F.coalesce("next", "cut"))).alias("reject"),
+        F.min(F.when(may, F.col("r"))).alias("r_met"),
+        F.min("cut").alias("least"),
+        F.sum("w").alias("total"),
+        F.max("all").alias("positives"),
+    )
+    accept = F.coalesce("accept", F.lit(1.0))
+    cut = found.select("n", accept.alias("accept"), F.least(accept, F.coalesce("reject", "least", F.lit(0.0))).alias("reject"), F.coalesce("p_met", "p_best", F.lit(0.0)).alias("precision"), F.coalesce("r_met", F.lit(1.0)).alias("recall"), F.col("p_met").isNotNull().alias("precision_met"), (F.col("r_met").isNotNull() | ((F.col("n") > 0) & (F.col("positives") == 0))).alias("recall_met"), "total")
+    between = cut.join(levels, (F.col("cut") >= F.col("reject")) & (F.col("cut") < F.col("accept")), "left").groupBy("n", "accept", "reject", "precision", "recall", "precision_met", "recall_met", "total").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("held"))
+    return between.select("accept", "reject", "precision", "recall", F.when(F.col("n") == 0, 1.0).otherwise(F.col("held") / F.col("total")).alias("grey"), "precision_met", "recall_met")
+
+
+def choose_thresholds(scored: DataFrame, precision: float = 0.99, recall: float = 0.99, score: str = "confidence", label: str = "label", weight: str | None = None) -> Thresholds:
+    row = threshold_table(scored, precision, recall, score, label, weight).first()
+    return Thresholds(*(row[f] for f in Thresholds._fields))
+
+
+def expected_shares(scored: DataFrame, cuts: Thresholds, score: str = "confidence") -> DataFrame:
+    """One row: shares of records that ``cuts`` accept, reject and leave, and the precision and missed matches that the calibrated scores themselves lead to expect."""
+    c = F.col(score)
+    take = lambda where, value: F.coalesce(F.sum(F.when(where, value)), F.lit(0.0))
+    n = F.count("*")
+    accepted, rejected = c >= cuts.accept, c < cuts.reject
+    out = scored.agg(n.alias("n"), take(accepted, F.lit(1.0)).alias("a"), take(rejected, F.lit(1.0)).alias("b"), take(accepted, c).alias("hits"), take(rejected, c).alias("lost"), F.coalesce(F.sum(c), F.lit(0.0)).alias("all"))
+    share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y))
+    return out.select("n", share("a", "n").alias("accepted"), share("b", "n").alias("rejected"), (1 - share("a", "n") - share("b", "n")).alias("grey"), share("hits", "a").alias("expected_precision"), share("lost", "all").alias("expected_missed"))
+
+
+def denoised(label: Column, noise: float = 0.03) -> Column:
+    """P(match) behind a reviewer's label who errs with probability ``noise``."""
+    return label.cast("double") * (1 - 2 * noise) + noise
+
+
+def log_loss(p: str = "confidence", y: str = "label", weight: str | None = None) -> Column:
+    """Mean log loss of probabilities, an aggregate; probabilities are kept off 0 and 1 by 1e-12."""
+    q = F.least(F.greatest(F.col(p), F.lit(1e-12)), F.lit(1 - 1e-12))
+    w = F.col(weight) if weight else F.lit(1.0)
+    return -F.sum(w * (F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))) / F.sum(w)

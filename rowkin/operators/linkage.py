@@ -23,7 +23,7 @@ def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return pairs.join(truth.select("record_id", "expected_id"), "record_id", "left").withColumn("label", F.coalesce((F.col("provider_id") == F.col("expected_id")).cast("int"), F.lit(0))).drop("expected_id")
 
 
-def fitted(pairs: DataFrame, truth: DataFrame, holdout: float = 0.3, precision: float = 0.98) -> dict[str, decide.Bundle]:
+def fitted(pairs: DataFrame, truth: DataFrame, holdout: float = 0.3, precision: float = 0.99, recall: float = 0.99) -> dict[str, decide.Bundle]:
     """Weights from unlabelled patterns; calibration on records outside the hold-out; thresholds on the held-out ones."""
     models = learn.fit_tally(learn.pattern_tally(pairs))
     out = {}
@@ -34,8 +34,8 @@ def fitted(pairs: DataFrame, truth: DataFrame, holdout: float = 0.3, precision:
         knots = learn.isotonic_knots(best.filter("not held"))
         if not knots:
             raise learn.Degenerate(f"{kind} has no records outside the hold-out to calibrate on")
-        accept, reject = learn.choose_thresholds(best.filter("held").withColumn("confidence", learn.calibrated(F.col("weight"), knots)), precision)
-        out[kind] = decide.Bundle(model, knots, accept, reject)
+        cuts = learn.choose_thresholds(best.filter("held").withColumn("confidence", learn.calibrated(F.col("weight"), knots)), precision, recall)
+        out[kind] = decide.Bundle(model, knots, cuts.accept, cuts.reject)
     return out
 
 

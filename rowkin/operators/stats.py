@@ -42,10 +42,23 @@ def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50) -
     return df.orderBy(*order).offset(max(0, offset)).limit(min(500, max(1, limit)))
 
 
-def queue_filter(decision: str | None = None, status: str | None = None, least: float | None = None, most: float | None = None, state: str | None = None, since: str | None = None, until: str | None = None) -> Column:
-    """What a review queue asks for; ``until`` includes its day."""
+def queue_filter(
+    decision: str | None = None,
+    status: str | None = None,
+    least: float | None = None,
+    most: float | None = None,
+    state: str | None = None,
+    since: str | None = None,
+    until: str | None = None,
+    kind: str | None = None,
+    reason: str | None = None,
+    run: str | None = None,
+    authority: str | None = None,
+    text: str | None = None,
+) -> Column:
+    """What a review queue asks for; ``until`` includes its day, ``text`` is looked for in names, whatever the case."""
     out = F.lit(True)
-    for column, value in (("decision", decision), ("review_status", status), ("state", state)):
+    for column, value in (("decision", decision), ("review_status", status), ("state", state), ("kind", kind), ("reason", reason), ("run_id", run), ("source_authority", authority)):
         out = out & (F.col(column) == value) if value is not None else out
     if least is not None:
         out = out & (F.col("confidence") >= least)
@@ -55,9 +68,38 @@ def queue_filter(decision: str | None = None, status: str | None = None, least:
         out = out & (F.col("created_at") >= F.to_timestamp(F.lit(since)))
     if until:
         out = out & (F.col("created_at") < F.date_add(F.to_date(F.lit(until)), 1))
+    if text:
+        out = out & F.contains(F.lower("subject_name"), F.lit(text.lower()))
     return out
 
 
+def conflict_members(results: DataFrame) -> DataFrame:
+    """Current results whose provider other records claim too: all columns, and how many records claim it. results: record_id, provider_id, decision, superseded_by."""
+    now = results.filter("superseded_by is null and decision = 'MATCH' and provider_id is not null")
+    many = now.groupBy("provider_id").agg(F.count_distinct("record_id").alias("claims")).filter("claims > 1")
+    return now.join(many, "provider_id")
+
+
+def counted_page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page with ``total``, the rows of all pages; the count is an aggregate that is joined to the page."""
+    total = df.agg(F.count("*").alias("total"))
+    return page(df, order, offset, limit).join(F.broadcast(total))  # one row
+
+
+def facets(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(facet, value, n) of several columns in one pass; null values are not listed."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns))).alias("f")
+    return df.select(pairs).filter("f.value is not null").groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
+
+
+def match_detail(results: DataFrame, candidates: DataFrame, records: DataFrame, providers: DataFrame) -> DataFrame:
+    """Each result with its record, and its candidates by rank, each with its provider. Candidates of a result are bounded by the cap of blocking."""
+    whole = lambda df, name: F.struct(*(df[c] for c in df.columns)).alias(name)
+    named = candidates.join(providers.select("provider_id", whole(providers, "provider")), "provider_id", "left")
+    listed = named.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("rank", "provider_id", "confidence", "provider"))).alias("candidates"))
+    return results.join(records.select("record_id", whole(records, "record")), "record_id").join(listed, "record_id", "left")
+
+
 def standing(master: DataFrame, cases: DataFrame, open_results: DataFrame, key: str) -> DataFrame:
     """Each master row with EXCLUDED (an active case), UNDER_REVIEW (an open ambiguous result) or CLEAR."""
     marks = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))

@@ -11,8 +11,9 @@ from rowkin import people
 from rowkin.functions import lexicons
 from rowkin.functions import text as T
 from rowkin.functions.metrics import jaro_winkler_udf, sound_keys_udf, token_set_udf
-from rowkin.operators import blocking, decide, evaluate, learn, runs, stats
+from rowkin.operators import blocking, compare, decide, evaluate, learn, runs, stats
 from rowkin.operators.compare import with_metric
+from rowkin.schema import level
 from rowkin.session import ship_package
 
 MASTER_SQL, RECORDS_SQL = people.sql(False)
@@ -162,6 +163,25 @@ def block_recall(spark, sf_dir):
     return evaluate.blocking_recall(truth, found)
 
 
+@query(f"""{WITH_PEOPLE} {BLOCKS_SQL}
+, e AS (SELECT unnest(string_split(blocks, ',')) AS block, r.expected_id = c.provider_id AS ok, n_blocks FROM (SELECT * FROM cand WHERE rank <= 50) c JOIN records r USING (record_id))
+SELECT block, count(*) AS candidates, count(*) FILTER (WHERE ok) AS found, count(*) FILTER (WHERE ok AND n_blocks = 1) AS sole FROM e GROUP BY 1
+""")
+def block_contribution(spark, sf_dir):
+    """What each block proposes, finds, and finds alone."""
+    _, records, found = _candidates(spark, sf_dir)
+    return evaluate.block_contribution(records.select("record_id", F.array("expected_id").alias("expected_ids")), found)
+
+
+@query(f"""{WITH_PEOPLE} {BLOCKS_SQL}
+SELECT segment AS scenario, count(*) AS missed FROM records r WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.record_id = r.record_id AND c.provider_id = r.expected_id AND c.rank <= 50) GROUP BY 1
+""")
+def block_misses(spark, sf_dir):
+    """Records whose expected row no block proposes, by segment."""
+    _, records, found = _candidates(spark, sf_dir)
+    return evaluate.misses(records.select("record_id", F.array("expected_id").alias("expected_ids"), F.col("segment").alias("scenario")), found)
+
+
 @query(f"""{WITH_PEOPLE} {BLOCKS_SQL}
 , per AS (SELECT r.record_id, count(c.provider_id) AS c FROM records r LEFT JOIN (SELECT * FROM cand WHERE rank <= 50) c USING (record_id) GROUP BY 1)
 , o AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i, count(*) OVER () AS n FROM per)
@@ -358,6 +378,39 @@ def thresholds_cumulative(spark, sf_dir):
     return learn.cumulative_cuts(_confident(spark, sf_dir))
 
 
+@query(f"""{CONFIDENT_SQL}, q AS (SELECT confidence AS c, label AS y, CAST(doc_id % 3 + 1 AS DOUBLE) AS w FROM p), l AS (SELECT c, sum(w) AS w, sum(w * y) AS pos FROM q GROUP BY 1)
+, r AS (SELECT *, sum(w) OVER (ORDER BY c DESC) AS above, sum(pos) OVER (ORDER BY c DESC) AS hit, sum(pos) OVER (ORDER BY c) AS below, sum(pos) OVER () AS every, lead(c) OVER (ORDER BY c) AS nxt FROM l)
+, t AS (SELECT coalesce(min(c) FILTER (WHERE hit / above >= 0.6), 1.0) AS accept, max(coalesce(nxt, c)) FILTER (WHERE (every - below) / every >= 0.9) AS up, min(c) AS least, min((every - below) / every) FILTER (WHERE (every - below) / every >= 0.9) AS rec, max(hit / above) AS best FROM r)
+, z AS (SELECT accept, least(accept, coalesce(up, t.least)) AS reject, coalesce((SELECT hit / above FROM r WHERE r.c = accept AND hit / above >= 0.6), best) AS "precision", coalesce(rec, 1.0) AS recall, EXISTS (SELECT 1 FROM r WHERE hit / above >= 0.6) AS precision_met, rec IS NOT NULL AS recall_met FROM t)
+SELECT accept, reject, round("precision", 9) AS "precision", round(recall, 9) AS recall, round(coalesce((SELECT sum(w) FROM l WHERE c >= reject AND c < accept), 0.0) / (SELECT sum(w) FROM l), 9) AS grey, precision_met, recall_met FROM z""")
+def threshold_choice(spark, sf_dir):
+    """Accept and reject cuts on weighted rows for targets of 0.6 and 0.9, and what they achieve."""
+    rows = _confident(spark, sf_dir).withColumn("w", F.col("doc_id") % 3 + 1)
+    out = learn.threshold_table(rows, 0.6, 0.9, weight="w")
+    return out.select("accept", "reject", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "grey")), "precision_met", "recall_met")
+
+
+@query(f"{CONFIDENT_SQL} SELECT round(sum((doc_id % 3 + 1) * (confidence - label) * (confidence - label)) / sum(doc_id % 3 + 1), 9) AS brier, round(-avg(label * ln(confidence) + (1 - label) * ln(1 - confidence)), 9) AS loss FROM p")
+def brier_score(spark, sf_dir):
+    """Brier score of weighted rows, and log loss."""
+    rows = _confident(spark, sf_dir).withColumn("w", F.col("doc_id") % 3 + 1)
+    return rows.agg(F.round(evaluate.brier(weight="w"), 9).alias("brier"), F.round(learn.log_loss(), 9).alias("loss"))
+
+
+@query(f"{CONFIDENT_SQL}, b AS (SELECT least(greatest(CAST(trunc(confidence * 10) AS INTEGER), 0), 9) AS bin, count(*) AS n, abs(avg(confidence) - avg(label)) AS gap FROM p GROUP BY 1) SELECT round(sum(n * gap) / sum(n), 9) AS ece, round(max(gap), 9) AS mce FROM b")
+def calibration_errors(spark, sf_dir):
+    """Expected and largest calibration error."""
+    out = evaluate.calibration_error(evaluate.reliability(_confident(spark, sf_dir)))
+    return out.select(F.round("ece", 9).alias("ece"), F.round("mce", 9).alias("mce"))
+
+
+@query(f"{CONFIDENT_SQL} SELECT count(*) AS n, round(avg(CASE WHEN confidence >= 0.7 THEN 1.0 ELSE 0 END), 9) AS accepted, round(avg(CASE WHEN confidence < 0.3 THEN 1.0 ELSE 0 END), 9) AS rejected, round(avg(confidence) FILTER (WHERE confidence >= 0.7), 9) AS expected_precision, round(sum(confidence) FILTER (WHERE confidence < 0.3) / sum(confidence), 9) AS expected_missed FROM p")
+def expected_outcomes(spark, sf_dir):
+    """What two cuts are expected to do, from calibrated scores alone."""
+    cuts = learn.Thresholds(0.7, 0.3, 0.0, 0.0, 0.0, True, True)
+    return learn.expected_shares(_confident(spark, sf_dir), cuts).select("n", *(F.round(c, 9).alias(c) for c in ("accepted", "rejected", "expected_precision", "expected_missed")))
+
+
 @query()
 def isotonic_fit(spark, sf_dir):
     """Knots of the isotonic fit of text length against quality."""
@@ -484,11 +537,32 @@ def compliance_exists(spark, sf_dir):
     return stats.standing(table(spark, sf_dir, "customer").select("c_custkey"), orders.filter("o_orderstatus = 'P'"), orders.filter("o_orderstatus = 'O'"), "c_custkey")
 
 
-@query("SELECT event_id, user_id, value FROM events WHERE event_type <> 'view' AND value >= 10 ORDER BY value DESC NULLS LAST, event_id LIMIT 50 OFFSET 100")
+_QUEUE = "event_type = 'purchase' AND value >= 10 AND value <= 90 AND user_id % 5 = 2"
+
+
+@query(f"SELECT event_id, user_id, value, (SELECT count(*) FROM events WHERE {_QUEUE}) AS total FROM events WHERE {_QUEUE} ORDER BY value DESC NULLS LAST, event_id LIMIT 50 OFFSET 20")
 def queue_page(spark, sf_dir):
-    """A page of the review queue in a total order (a page is what is asked for)."""
-    df = table(spark, sf_dir, "events").filter("event_type <> 'view' and value >= 10").select("event_id", "user_id", "value")
-    return stats.page(df, [F.desc_nulls_last("value"), F.asc("event_id")], 100, 50)
+    """A page of the review queue in a total order, with the count of all its rows (a page is what is asked for)."""
+    own = table(spark, sf_dir, "events").select("event_id", "user_id", "value", F.col("event_type").alias("decision"), F.col("value").alias("confidence"), F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string")).alias("state"))
+    df = own.filter(stats.queue_filter(decision="purchase", least=10, most=90, state="S2")).select("event_id", "user_id", "value")
+    return stats.counted_page(df, [F.desc_nulls_last("value"), F.asc("event_id")], 20, 50)
+
+
+_RESULTS = "SELECT o_orderkey AS record_id, o_custkey AS provider_id, CASE WHEN o_orderstatus = 'P' THEN 'AMBIGUOUS' ELSE 'MATCH' END AS decision, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey + 1 END AS superseded_by FROM orders"
+
+
+@query(f"WITH r AS ({_RESULTS}), n AS (SELECT * FROM r WHERE superseded_by IS NULL AND decision = 'MATCH') SELECT record_id, provider_id, c.claims FROM n JOIN (SELECT provider_id, count(DISTINCT record_id) AS claims FROM n GROUP BY 1 HAVING count(DISTINCT record_id) > 1) c USING (provider_id)")
+def conflict_members(spark, sf_dir):
+    """Current results that share their provider with other records."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("record_id"), F.col("o_custkey").alias("provider_id"), F.when(F.col("o_orderstatus") == "P", "AMBIGUOUS").otherwise("MATCH").alias("decision"), F.when(k % 4 == 0, k + 1).alias("superseded_by"))
+    return stats.conflict_members(rows).select("record_id", "provider_id", "claims")
+
+
+@query("SELECT 'o_orderstatus' AS facet, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def facet_counts(spark, sf_dir):
+    """Counts by value of two columns in one pass."""
+    return stats.facets(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -499,16 +573,84 @@ def latest_per_key(spark, sf_dir):
 
 # --- identifiers and dates --------------------------------------------------------
 
-_BODY = "CAST(100000000 + (c_custkey * 7919) % 899999999 AS VARCHAR)"
+_BODY = "CAST(100000000 + (CAST(c_custkey AS BIGINT) * 1237919) % 899999999 AS VARCHAR)"
 
 
 @query(f"""WITH b AS (SELECT c_custkey, {_BODY} AS body FROM customer), s AS (SELECT c_custkey, body, (10 - (24 + list_sum(list_transform(range(1, 10), lambda i: CASE WHEN i % 2 = 1 THEN (CAST(substr(body, i, 1) AS INTEGER) * 2) % 10 + (CAST(substr(body, i, 1) AS INTEGER) * 2) // 10 ELSE CAST(substr(body, i, 1) AS INTEGER) END))) % 10) % 10 AS d FROM b)
-SELECT c_custkey, CAST(d AS INTEGER) AS digit, 'VALID' AS good, CASE WHEN d = 0 THEN 'VALID' ELSE 'CHECKSUM_FAIL' END AS zero FROM s""")
+SELECT c_custkey, CAST(d AS INTEGER) AS digit, 'VALID' AS good, CASE WHEN d = 0 THEN 'VALID' ELSE 'CHECKSUM_FAIL' END AS zero, CASE WHEN c_custkey % 3 = 0 THEN 'MALFORMED' WHEN c_custkey % 3 = 1 THEN 'PLACEHOLDER_TEXT' ELSE 'SENTINEL' END AS odd FROM s""")
 def npi_luhn(spark, sf_dir):
-    """Check digits of ten-digit identifiers, and how the numbers with the right digit and with 0 are classified."""
-    body = (F.lit(100000000) + (F.col("c_custkey") * 7919) % 899999999).cast("string")
+    """Check digits of ten-digit identifiers with any first digit, how the numbers with the right digit (separated in several ways) and with 0 are classified, and what is no number."""
+    body = (F.lit(100000000) + (F.col("c_custkey") * 1237919) % 899999999).cast("string")
     df = table(spark, sf_dir, "customer").select("c_custkey", body.alias("body")).withColumn("digit", T.luhn_digit(F.col("body")).cast("int"))
-    return df.select("c_custkey", "digit", T.npi(F.concat("body", F.col("digit").cast("string")))["status"].alias("good"), T.npi(F.concat("body", F.lit("0")))["status"].alias("zero"))
+    mark = F.element_at(F.array(*map(F.lit, ("_", "-", ".", " ", "/", ""))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    good = F.concat(F.left("body", F.lit(3)), mark, F.substr("body", F.lit(4)), F.col("digit").cast("string"))
+    odd = F.when(F.col("c_custkey") % 3 == 0, F.col("body")).when(F.col("c_custkey") % 3 == 1, "not_available").otherwise("0123456789")
+    return df.select("c_custkey", "digit", T.npi(good)["status"].alias("good"), T.npi(F.concat("body", F.lit("0")))["status"].alias("zero"), T.npi(odd)["status"].alias("odd"))
+
+
+def _code(kind: str, field: str, name: str) -> int:
+    return level(kind, field, name)
+
+
+def _case(field: str, kind: str, *steps: tuple[str, str], other: str) -> str:
+    """SQL of a level code: the first condition that holds names the level."""
+    return "CAST(CASE " + " ".join(f"WHEN {test} THEN {_code(kind, field, name)}" for test, name in steps) + f" ELSE {_code(kind, field, other)} END AS INTEGER)"
+
+
+LEVELS_SQL = f"""
+WITH d AS (SELECT o_orderkey AS k, CAST(date_part('year', o_orderdate) AS INTEGER) AS y, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(date_part('month', o_orderdate) AS INTEGER) END AS m, CASE WHEN o_orderkey % 5 >= 3 THEN NULL ELSE CAST(date_part('day', o_orderdate) AS INTEGER) END AS d FROM orders)
+, e AS (SELECT *, CASE k % 7 WHEN 2 THEN y + 1 WHEN 5 THEN NULL ELSE y END AS y2, CASE k % 7 WHEN 1 THEN d WHEN 3 THEN NULL ELSE m END AS m2, CASE k % 7 WHEN 1 THEN m WHEN 4 THEN d % 28 + 1 WHEN 6 THEN NULL ELSE d END AS d2,
+  CASE WHEN k % 6 = 0 THEN concat('B', k % 2) ELSE '' END AS box, CASE WHEN k % 4 = 0 THEN 'B0' ELSE '' END AS box2, concat('L', k % 4) AS line, CASE WHEN k % 11 = 0 THEN '' ELSE concat('L', k % 3) END AS line2,
+  CASE WHEN k % 13 = 0 THEN '' ELSE concat('1000', k % 3) END AS zip, CASE WHEN k % 3 = 0 THEN '10099' ELSE concat('1000', k % 2) END AS zip2, CASE WHEN k % 5 = 0 THEN 0.95 ELSE 0.5 END AS o,
+  CASE WHEN k % 9 = 0 THEN '' ELSE concat('N', k % 3) END AS v, concat('N', k % 4) AS v2, CASE WHEN k % 8 = 0 THEN 'A' ELSE concat('A', k % 3) END AS f, concat('A', k % 5) AS f2, CASE WHEN k % 4 = 0 THEN 0.95 WHEN k % 4 = 1 THEN 0.86 ELSE 0.1 END AS jw FROM d)
+SELECT k,
+  {_case("dob", "individual", ("y IS NULL OR y2 IS NULL", "MISSING"), ("y = y2 AND m IS NOT DISTINCT FROM m2 AND d IS NOT DISTINCT FROM d2", "EXACT"), ("y = y2 AND m IS NOT NULL AND d IS NOT NULL AND m2 IS NOT NULL AND d2 IS NOT NULL AND m = d2 AND d = m2", "TRANSPOSED"), ("y <> y2", "DISAGREE"), ("m IS NULL OR m2 IS NULL", "YEAR_ONLY"), ("m = m2", "YEAR_MONTH"), other="DISAGREE")} AS dob,
+  {_case("address", "individual", ("box <> '' AND box2 <> '' AND box = box2", "EXACT"), ("box <> '' AND box2 <> ''", "DISAGREE"), ("line2 = '' AND zip <> '' AND zip = zip2", "SAME_ZIP_ONLY"), ("line2 = ''", "MISSING"), ("line = line2 AND k % 2 = k % 3", "EXACT"), ("line = line2", "SAME_STREET_DIFF_UNIT"), ("o >= 0.9", "TOKEN_SET"), ("zip <> '' AND zip = zip2", "SAME_ZIP_ONLY"), other="DISAGREE")} AS address,
+  {_case("zip", "individual", ("zip = ''", "MISSING"), ("zip = zip2", "ZIP5"), other="ZIP3")} AS zip_code,
+  {_case("state", "individual", ("v = ''", "MISSING"), ("v = v2", "EXACT"), other="DISAGREE")} AS state,
+  {_case("npi", "individual", ("v = ''", "ONE_INVALID"), ("v = v2", "VALID_EXACT"), other="VALID_DISAGREE")} AS npi,
+  {_case("license", "individual", ("v = ''", "MISSING"), ("v <> v2", "DISAGREE"), ("k % 2 = k % 5", "EXACT"), other="EXACT_DIFF_STATE")} AS license,
+  {_case("last_name", "individual", ("v = ''", "MISSING"), ("v = v2", "EXACT"), ("k % 10 < 2", "PHONETIC"), ("jw >= 0.92", "JW_HIGH"), ("jw >= 0.85", "JW_LOW"), other="DISAGREE")} AS last_name,
+  {_case("first_name", "individual", ("f = f2", "EXACT"), ("k % 7 = 0", "NICKNAME"), ("length(f) = 1", "INITIAL"), ("jw >= 0.85", "JW_LOW"), other="DISAGREE")} AS first_name,
+  {_case("legal_name", "organization", ("v = ''", "MISSING"), ("v = v2", "EXACT"), ("v = concat('N', k % 5) OR v = concat('N', k % 6)", "ACRONYM"), ("o >= 0.9", "TOKEN_SET"), ("jw >= 0.85", "JW_LOW"), other="DISAGREE")} AS legal_name,
+  {_case("dba_alias", "organization", ("(line2 <> '' AND (line = line2 OR v = line2)) OR line = v2", "EXACT"), ("o >= 0.9", "TOKEN_SET"), other="DISAGREE")} AS dba_alias
+FROM e
+"""
+
+
+@query(LEVELS_SQL)
+def comparison_levels(spark, sf_dir):
+    """Level codes of every comparator on made-up pairs, one an order; metrics are given."""
+    k, day = F.col("k"), F.col("day")
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("day"))
+    text = lambda letter, n: F.concat(F.lit(letter), (k % n).cast("string"))
+    none = F.lit(None).cast("int")
+    y, m, d = F.year(day), F.when(k % 5 == 4, none).otherwise(F.month(day)), F.when(k % 5 >= 3, none).otherwise(F.dayofmonth(day))
+    y2 = F.when(k % 7 == 2, y + 1).when(k % 7 == 5, none).otherwise(y)
+    m2, d2 = F.when(k % 7 == 1, d).when(k % 7 == 3, none).otherwise(m), F.when(k % 7 == 1, m).when(k % 7 == 4, d % 28 + 1).when(k % 7 == 6, none).otherwise(d)
+    date = lambda *x: F.struct(*(c.alias(n) for c, n in zip(x, ("year", "month", "day"), strict=True)))
+    place = lambda box, line, unit, zip5: F.struct(box.alias("po_box"), line.alias("line"), unit.alias("unit"), zip5.alias("zip5"))
+    line2, v = F.when(k % 11 == 0, "").otherwise(text("L", 3)), F.when(k % 9 == 0, "").otherwise(text("N", 3))
+    a = place(F.when(k % 6 == 0, text("B", 2)).otherwise(""), text("L", 4), k % 2, F.when(k % 13 == 0, "").otherwise(text("1000", 3)))
+    b = place(F.when(k % 4 == 0, "B0").otherwise(""), line2, k % 3, F.when(k % 3 == 0, "10099").otherwise(text("1000", 2)))
+    side = lambda **x: F.struct(*(c.alias(n) for n, c in x.items()))
+    p = side(last_norm=v, phonetic_keys=F.array(text("K", 2)), first_raw=F.when(k % 8 == 0, "A").otherwise(text("A", 3)), first_norm=text("F", 7), license_number=v, license_state=text("S", 2), org_name_norm=v, dba_name_norm=text("L", 4), org_acronym_key=F.lit(""), dba_acronym_key=F.lit(""))
+    q = side(last_norm=text("N", 4), phonetic_keys=F.array(text("K", 10)), first_raw=text("A", 5), first_norm=F.lit("F0"), license_number=text("N", 4), license_state=text("S", 5), org_name_norm=text("N", 4), dba_name_norm=line2, org_acronym_key=text("N", 5), dba_acronym_key=text("N", 6))
+    df = df.select("k", date(y, m, d).alias("d1"), date(y2, m2, d2).alias("d2"), a.alias("a"), b.alias("b"), p.alias("p"), q.alias("q"), F.when(k % 5 == 0, 0.95).otherwise(0.5).alias("o"), F.when(k % 4 == 0, 0.95).when(k % 4 == 1, 0.86).otherwise(0.1).alias("jw"))
+    a, b, p, q, o, jw = (F.col(c) for c in ("a", "b", "p", "q", "o", "jw"))
+    levels = {
+        "dob": compare.birth_date(F.col("d1"), F.col("d2")),
+        "address": compare.address(a, b, o),
+        "zip_code": compare.zip_code(a["zip5"], b["zip5"]),
+        "state": compare.state(p["last_norm"], q["last_norm"]),
+        "npi": compare.identifier(p["last_norm"], q["last_norm"]),
+        "license": compare.license_(p, q),
+        "last_name": compare.last_name(p, q, jw),
+        "first_name": compare.first_name(p, q, jw),
+        "legal_name": compare.legal_name(p, q, o, jw),
+        "dba_alias": compare.trade_name(p, q, [o, o, o]),
+    }
+    return df.select("k", *(c.cast("int").alias(n) for n, c in levels.items()))
 
 
 @query("SELECT o_orderkey, CAST(date_part('year', o_orderdate) AS INTEGER) AS y, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(date_part('month', o_orderdate) AS INTEGER) END AS m, CASE WHEN o_orderkey % 5 IN (3, 4) THEN NULL ELSE CAST(date_part('day', o_orderdate) AS INTEGER) END AS d FROM orders")

@@ -42,3 +42,12 @@ def ship_package(spark: SparkSession) -> None:
             out.write(file, str(file.relative_to(root.parent)))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """The string metrics as SQL functions: jaro_winkler, token_set, sound_keys."""
+    from rowkin.functions import metrics
+
+    ship_package(spark)
+    for name, own in (("jaro_winkler", metrics.jaro_winkler_udf), ("token_set", metrics.token_set_udf), ("sound_keys", metrics.sound_keys_udf)):
+        spark.udf.register(name, own)

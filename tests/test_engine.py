@@ -126,3 +126,79 @@ def test_query_equals_sql(spark, duck, name):
     got = queries.queries()[name](spark, DATA)
     columns = ", ".join(f'"{c}"' for c in got.columns)
     assert plain(got.collect()) == plain(duck.execute(f"SELECT {columns} FROM ({queries.oracle_sql()[name]})").fetchall())
+
+
+def test_partial_dates_and_addresses_compare_as_told(spark):
+    from pyspark.sql import functions as F
+
+    from rowkin.operators import compare
+    from rowkin.schema import INDIVIDUAL
+
+    place = "named_struct('po_box', {!r}, 'line', {!r}, 'unit', {!r}, 'zip5', {!r})"
+    rows = [
+        (("B1", "", "", "10001"), ("B2", "", "", "10001"), 0.0, "DISAGREE"),
+        (("", "1 OAK", "", "10001"), ("", "1 OAK", "", "20001"), 0.0, "EXACT"),
+        (("", "1 OAK", "", "10001"), ("", "OAK 1", "", "20001"), 0.95, "TOKEN_SET"),
+    ]
+    for a, b, overlap, want in rows:
+        got = spark.range(1).select(compare.address(F.expr(place.format(*a)), F.expr(place.format(*b)), F.lit(overlap)).alias("x")).first().x
+        assert INDIVIDUAL["address"][got] == want
+    date = lambda y, m, d: F.struct(*(F.lit(v).cast("int").alias(n) for v, n in ((y, "year"), (m, "month"), (d, "day"))))
+    for a, b, want in (((1980, None, None), (1980, None, None), "EXACT"), ((1980, 5, None), (1980, 5, None), "EXACT"), ((1980, 5, None), (1980, 5, 3), "YEAR_MONTH"), ((1980, None, None), (1980, 5, 3), "YEAR_ONLY")):
+        assert INDIVIDUAL["dob"][spark.range(1).select(compare.birth_date(date(*a), date(*b)).alias("x")).first().x] == want
+
+
+def test_identifiers_of_any_first_digit(spark):
+    from pyspark.sql import functions as F
+
+    from rowkin.functions import text as T
+
+    rows = spark.createDataFrame([(f"323456789{d}",) for d in range(10)], "v string").select(T.npi(F.col("v"))["status"].alias("s")).collect()
+    assert sorted(r.s for r in rows) == ["CHECKSUM_FAIL"] * 9 + ["VALID"]
+    got = spark.createDataFrame([("not_available",), ("_",), ("1_2",), ("0123456789",)], "v string").select(T.npi(F.col("v"))["status"].alias("s")).collect()
+    assert [r.s for r in got] == ["PLACEHOLDER_TEXT", "PLACEHOLDER_TEXT", "MALFORMED", "SENTINEL"]
+
+
+def test_vectors_and_levels_are_inverse(spark):
+    from pyspark.sql import functions as F
+
+    from rowkin.operators import compare
+
+    vector = [3, 0, 2, 5, 1, 2, 0, 1]
+    df = spark.createDataFrame([(vector,)], "v array<int>").select(compare.coded(compare.described(F.col("v"), "individual"), "individual").alias("v"))
+    assert df.first().v == vector
+
+
+def test_strategies_are_dispatched(spark):
+    import pytest as pt
+
+    from rowkin.operators import decide
+
+    with pt.raises(ValueError, match="no strategy"):
+        decide.decided_by("guess", None, None, None)
+    with pt.raises(ValueError, match="vectors"):
+        decide.decided_by("probabilistic", None, None, None)
+
+
+def test_metrics_are_sql_functions(spark):
+    from rowkin.session import register_functions
+
+    register_functions(spark)
+    row = spark.sql("SELECT jaro_winkler('martha', 'marhta') AS a, token_set('b a', 'a b') AS b").first()
+    assert abs(row.a - 0.9611111) < 1e-6 and row.b == 1.0
+
+
+def test_restarts_keep_the_likelier_fit():
+    import numpy as np
+
+    from rowkin.operators import learn
+
+    rng = np.random.default_rng(0)
+    patterns = {}
+    for k in range(4000):
+        match = k % 10 == 0
+        v = tuple(int(rng.random() < (0.9 if match else 0.1)) * (n - 1) for n in (4, 6, 6, 6, 6, 3, 4, 4))
+        patterns[v] = patterns.get(v, 0) + 1
+    rows = [(list(v), n) for v, n in patterns.items()]
+    best = learn.best_fit("individual", rows)
+    assert abs(best.share - 0.1) < 0.02 and best.trace[-1] >= learn.fit("individual", rows).trace[-1] - 1e-6
