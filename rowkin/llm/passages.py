@@ -386,7 +386,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows, _ = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text", "rows")
     cut, groups, _ = removals(rows)
     own = rows.select("row", "ord", F.col("doc.id").alias("doc_id"))
-    least = groups.join(own, "row").groupBy("root").agg(F.min("ord").alias("least"))
+    least, _ = stored(groups.join(own, "row").groupBy("root").agg(F.min("ord").alias("least")), "least")  # written, so that a large class can be dealt to several tasks
     classes = groups.join(least, "root").select("row", F.when(F.col("least") < LAST, F.col("least")).alias("class"), F.lit(True).alias("linked"))
     sizes = rows.join(cut.filter("whole").select("row"), "row", "left_semi").select("row", n_words(F.col("doc.text")).alias("size"))
     got = own.join(cut, "row", "left").join(classes, "row", "left").join(sizes, "row", "left")
