@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rowkin.llm.common import forget, mix64, stored, whole_groups
 from rowkin.llm.components import components
 from rowkin.llm.shingles import forget_words, least_labels, pairs_within, shingle_sets
-from rowkin.llm.tokens import slices
+from rowkin.llm.tokens import forget_pieces, slices
 
 THRESHOLD = 0.8
 #: 20 bands of 4 values: a pair at 0.8 shares none with probability (1 - 0.8**4)**20 = 0.00003.
@@ -121,6 +121,7 @@ def prepared(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
 
     @F.arrow_udf("struct<_j_h1: bigint, _j_h2: bigint, _j_n: int, _j_bands: array<bigint>, _j_signature: binary>")
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_pieces()
         yield from map(sketched, batches)
         forget_words()
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rowkin.llm.common import forget, mix64, stored
 from rowkin.llm.components import components
 from rowkin.llm.shingles import WORD, WORDS, forget_words, rolled, word_hashes
-from rowkin.llm.tokens import slices
+from rowkin.llm.tokens import forget_pieces, slices
 
 PASSAGE = 50
 THRESHOLD = 0.8
@@ -112,6 +112,7 @@ def band_rows(named: DataFrame) -> DataFrame:
     names = ["band", "ord", "row", "place", "sides"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pieces()
         for batch in batches:
             rows, orders, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for x, y in slices(texts):

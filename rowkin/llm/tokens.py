@@ -52,7 +52,7 @@ class Encoder(dict):
     ``added_tokens``: an added token that a text spells out is that token, as the library has it by default; else it is text.
     """
 
-    def __init__(self, path: str, added_tokens: bool = True, cache_pieces: int = 300_000, cache_length: int = 48):
+    def __init__(self, path: str, added_tokens: bool = True, cache_pieces: int = 400_000, cache_length: int = 48):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -129,6 +129,6 @@ def encoded(texts: list[str | None], path: str, added_tokens: bool = True) -> It
 
 
 def forget_pieces() -> None:
-    """Empties the worker's memory of pieces: workers outlive tasks, and the next one may need the room for something else."""
+    """Empties the worker's memory of pieces, which outlives the tasks that encode: others call it as they begin, since they need the room for something else."""
     for own in _ENCODERS.values():
         own.clear()

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.llm.common import crc_fold, stored
+from rowkin.llm.tokens import forget_pieces
 
 #: Bound of the model: labelled rows of each class to learn from; what patterns there are follows from these rows.
 SAMPLE = 8192
@@ -281,6 +282,7 @@ def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("boolean")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_pieces()
         scorer = Scorer(shared.value["weights"])  # a task's own
         *slope, base = shared.value["step"]
         for texts in batches:
