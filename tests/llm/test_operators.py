@@ -513,7 +513,8 @@ def test_passages_rows_that_share_an_id(spark):
     texts = [f"{HOSTS[0]} {PASSAGE}", f"{HOSTS[1]} {PASSAGE}", prose(40, 972), other, nulls, nulls, None, "the " * 400, "the " * 300]
     docs = documents(spark, texts, ids=[1, 2, 2, 2, None, None, None, 8, 9])
     got = sorted((r.doc_id or 99, r.class_id or 99, r.n_removed) for r in passages.repeated_passages(docs).collect())
-    assert [g for g in got if g[0] == 2] == [(2, 1, got[1][2] or 60), (2, 2, 0), (2, 2, 0)] or sorted(g[2] for g in got if g[0] == 2)[:2] == [0, 0]
+    own = sorted(g[1:] for g in got if g[0] == 2)
+    assert own[0][0] == 1 and 60 <= own[0][1] <= 62 and own[1:] == [(2, 0), (2, 0)]
     assert sorted(g[2] for g in got if g[0] == 99) == [0, 0, 90]
     out = passages.without_repeats(docs.selectExpr("*", "1 as row", "2 as ord", "3 as whole", "4 as spans"))
     assert out.filter("doc_id = 2").count() == 3 and out.filter("doc_id is null").count() == 2 and len(out.columns) == 11
