@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowkin.llm.common import stored
+from rowkin.llm.common import give_back, stored
 from rowkin.llm.tokens import END_ID, default_vocabulary, encoded
 
 SIZE = 2048
@@ -29,6 +29,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str
     end = int(END_ID).to_bytes(4, "little")
 
     def cut(batches):
+        give_back()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), vocabulary, added_tokens), strict=True):

@@ -6,10 +6,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 
-from rowkin.llm.common import mix64
+from rowkin.llm.common import give_back, mix64
 
 WORDS = 5
 WORD = re.compile(r"\w+")
@@ -31,7 +30,7 @@ _HASHES = _Hashes()
 def forget_words() -> None:
     """Empties the worker's memory of words: workers outlive tasks, and the next one may need the room for something else."""
     _HASHES.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def word_hashes(texts: list[str | None], keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
