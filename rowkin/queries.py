@@ -670,7 +670,7 @@ def record_key(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from rowkin import intake_queries  # noqa: F401  (registers its own)
+    from rowkin import intake_queries, listing_queries  # noqa: F401  (register their own)
 
     return dict(QUERIES)
 

@@ -50,8 +50,8 @@ def scoped(df: DataFrame, file_id: str | None = None) -> DataFrame:
 
 
 def batch(df: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A window of rows in their stable order: a range of ordinals, which the scan prunes, not a global sort."""
-    return df.filter((F.col("ordinal") >= offset) & (F.col("ordinal") < offset + limit))
+    """A window of rows in their stable order, full even where ordinals have gaps."""
+    return df.orderBy("ordinal").offset(max(0, offset)).limit(limit)
 
 
 def current(df: DataFrame) -> DataFrame:
