@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowkin.llm import ann_blocks, html_extract, lang_id, mixing, ngram_join, packing, passages, token_output, topk_impact, toxicity
+from rowkin.llm import ann_blocks, html_extract, lang_id, merkle, mixing, ngram_join, packing, passages, token_output, topk_impact, toxicity
 from rowkin.session import ship_package
 
 
@@ -55,6 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_proofs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard_join,
@@ -67,13 +71,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_token_output,
         op10_language_id,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses on whole tables."""
-    return {"op2_nearest_neighbours": OP2_SQL, "op4_exact_topk": OP4_SQL}
+    return {"op2_nearest_neighbours": OP2_SQL, "op4_exact_topk": OP4_SQL, "op13_merkle_manifest": OP13_SQL}
 
 
 OP2_SQL = """
@@ -104,3 +109,43 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+#: crc32 of an ASCII text {0}, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT))"""
+
+#: The digest of a row with the text {0}.
+LEAF_SQL = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+#: All levels of the trees over {0} (tree, pos, h), and for each leaf a row a level: what stands before and after it in its run.
+TREE_SQL = """
+{1}_lv AS (
+  SELECT tree, 0 AS lvl, pos, h, count(*) OVER (PARTITION BY tree) AS n FROM {0}
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM {1}_lv WHERE n > 1 GROUP BY tree, lvl, pos // 16
+), {1}_run AS (
+  SELECT tree, lvl, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM {1}_lv WHERE n > 1 GROUP BY ALL
+), {1}_path AS (
+  SELECT t.tree, t.pos, list(array_to_string(list_slice(hs, 1, nth), '') || '|' || array_to_string(list_slice(hs, nth + 2, 16), '') ORDER BY lvl) AS path
+  FROM (SELECT {0}.tree, {0}.pos, lvl, hs, (({0}.pos // (16 ** lvl)::BIGINT) % 16)::BIGINT AS nth
+        FROM {0} JOIN {1}_run r ON r.tree IS NOT DISTINCT FROM {0}.tree AND r.run = {0}.pos // (16 ** (lvl + 1))::BIGINT) t
+  GROUP BY t.tree, t.pos
+)"""
+
+OP13_SQL = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, source AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {LEAF_SQL.format("text")}) - 1 AS pos, {LEAF_SQL.format("text")} AS h,
+    CASE WHEN {CRC_SQL.format("doc_id::VARCHAR")} % 5 = 0 THEN {LEAF_SQL.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS shown
+  FROM documents
+), {TREE_SQL.format("leaf", "doc")}, top AS (
+  SELECT '' AS tree, tree AS source, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, h FROM doc_lv WHERE n = 1
+), {TREE_SQL.format("top", "src")}, whole AS (
+  SELECT l.doc_id, l.h AS leaf, coalesce(l.shown, l.h) AS shown, top.h AS subroot, r.h AS root, coalesce(p.path, []) || coalesce(s.path, []) AS path
+  FROM leaf l JOIN top ON top.source IS NOT DISTINCT FROM l.tree JOIN src_lv r ON r.n = 1
+  LEFT JOIN doc_path p ON p.tree IS NOT DISTINCT FROM l.tree AND p.pos = l.pos
+  LEFT JOIN src_path s ON s.pos = top.pos
+), folded AS (
+  SELECT *, list_reduce(path, lambda a, x: sha256(replace(x, '|', a)), shown) AS folded_root FROM whole
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
