@@ -2,8 +2,8 @@
 
 Byte-level BPE never joins across a space that stands before a non-space, so a text may be encoded piece by piece
 between such spaces and the pieces' ids joined. Pieces repeat, so each worker keeps those it has seen, and of new ones
-the pretokens, which the library's model turns into ids. Texts with two or more spaces in a row, and files of another
-kind of tokenizer, go to the library whole.
+the pretokens, which the library's model turns into ids. Texts with other white space after a space, and files of
+another kind of tokenizer, go to the library whole.
 """
 
 from __future__ import annotations
@@ -46,6 +46,14 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+class Together(ValueError):
+    """A piece that may belong to the white space before it: a space alone, or before white space."""
+
+
+def together(piece: str) -> bool:
+    return piece[:1] == " " and (len(piece) == 1 or piece[1].isspace())
+
+
 class Encoder(dict):
     """Encodes texts into little-endian uint32 bytes; as a dict, the ids of the pieces seen so far. ``cache_pieces`` bounds its memory, not the result.
 
@@ -69,6 +77,12 @@ class Encoder(dict):
         self.marks = lru_cache(1024)(self._pretoken)
 
     def __missing__(self, piece: str) -> bytes:
+        if together(piece):
+            raise Together(piece)
+        return self.piece(piece)
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece that the text around it does not reach into."""
         if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) and len(piece) <= 1024:  # a word, what the pattern would find
             found = self._pretoken(piece)
         else:
@@ -101,7 +115,10 @@ class Encoder(dict):
             return b""
         if not self.plain or "  " in text or "\x00" in text or (self.added and self.added.search(text)):
             return self._whole(text)
-        return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
+        try:
+            return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
+        except Together:
+            return self._whole(text)
 
 
 def encoder(path: str, added_tokens: bool = True) -> Encoder:
