@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowkin.llm import ann_blocks, html_extract, lang_id, merkle, mixing, ngram_join, packing, passages, token_output, topk_impact, toxicity
+from rowkin.llm import ann_blocks, conversations, html_extract, lang_id, merkle, mixing, ngram_join, packing, passages, token_counts, token_output, topk_impact, toxicity
 from rowkin.session import ship_package
 
 
@@ -55,6 +55,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audits(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_proofs(table(spark, sf_dir, "documents"))
 
@@ -71,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_token_output,
         op10_language_id,
+        op11_conversation_repair,
+        op12_token_counts,
         op13_merkle_manifest,
     )
     return {f.__name__: f for f in every}
@@ -78,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses on whole tables."""
-    return {"op2_nearest_neighbours": OP2_SQL, "op4_exact_topk": OP4_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op2_nearest_neighbours": OP2_SQL, "op4_exact_topk": OP4_SQL, "op11_conversation_repair": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
 
 
 OP2_SQL = """
@@ -114,6 +124,59 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 CRC_SQL = """xor(4294967295, list_reduce(flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
     lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT))"""
 
+OP11_SQL = f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt, {CRC_SQL.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS f FROM conversations
+), dam AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(txt, '.!?', '') ELSE txt END AS txt,
+    unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM raw WHERE f <> 0
+), seq AS (
+  SELECT *, substr(role, 1, 1) AS ini, rtrim(txt, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS rest,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(txt), copy) AS k,
+    row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY turn NULLS FIRST, copy) AS seen
+  FROM dam
+), turns AS (
+  SELECT *, CASE WHEN rest = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(rest, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY k) AS before
+  FROM seq
+), step(frm, ini, mid) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), ins(mid, nxt, cost, letters) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (1, 2, 3, 'I'), (2, 3, 3, 'I'), (3, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 3, 6, 'II')
+), edit AS (
+  SELECT 'D' AS op, NULL AS ini, mid AS frm, mid, 4 AS cost FROM ins WHERE cost = 0
+  UNION ALL SELECT 'K', ini, frm, mid, 0 FROM step
+  UNION ALL SELECT 'R', NULL, frm, mid, 3 FROM step WHERE ini <> 's'
+), move AS (
+  SELECT op, ini, frm, nxt, edit.cost + ins.cost AS cost, op || letters AS letters FROM edit JOIN ins USING (mid)
+), best AS (
+  SELECT conv_id, 0::BIGINT AS k, nxt AS state, printf('%09d', cost) || letters AS way FROM (SELECT DISTINCT conv_id FROM conversations) JOIN ins ON mid = 0
+  UNION ALL
+  SELECT b.conv_id, b.k + 1, nxt, min(printf('%09d', substr(way, 1, 9)::BIGINT + cost + CASE WHEN op <> 'D' AND fault = 't' THEN 3 ELSE 0 END) || substr(way, 10) || letters)
+  FROM best b JOIN turns t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.k = b.k + 1
+  JOIN move m ON m.frm = b.state AND (op = 'D' OR (fault IN ('k', 't') AND (op = 'R' OR m.ini = t.ini)))
+  GROUP BY b.conv_id, b.k, nxt
+), ways AS (
+  SELECT conv_id, min(way) AS way FROM best WHERE state IN (0, 3)
+    AND k = (SELECT count(*) FROM turns t WHERE t.conv_id IS NOT DISTINCT FROM best.conv_id) GROUP BY conv_id
+), letters AS (
+  SELECT conv_id, unnest(string_split(substr(way, 10), '')) AS c, unnest(range(1, length(way) - 8)) AS i FROM ways WHERE length(way) > 9
+), placed AS (
+  SELECT *, count(*) FILTER (WHERE c <> 'I') OVER w AS k, count(*) FILTER (WHERE c <> 'D') OVER w - 1 AS p FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), kept AS (
+  SELECT l.conv_id, l.i, l.c, l.p, t.role, t.txt, max(CASE WHEN l.p = 0 AND l.c = 'K' AND t.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS s
+  FROM placed l LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.k = l.k AND l.c <> 'I' WHERE l.c <> 'D'
+), mended AS (
+  SELECT conv_id, string_agg(CASE WHEN c = 'K' THEN role WHEN (p - s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(txt, ''), chr(10) ORDER BY i) AS whole FROM kept GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+    count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE k > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id
+)
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  substr(way, 1, 9)::BIGINT AS cost, substr(way, 10) AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM ways w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
 #: The digest of a row with the text {0}.
 LEAF_SQL = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
 
