@@ -1,13 +1,10 @@
-"""String metrics that Spark has not, as Arrow UDFs for distinct pairs: Jaro-Winkler, token-set ratio, and sound keys."""
+"""String metrics that Spark has not, as Arrow UDFs for distinct pairs: Jaro-Winkler and token-set ratio."""
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 
 def jaro(a: str, b: str) -> float:
@@ -75,81 +72,6 @@ def token_set(a: str | None, b: str | None) -> float:
     return max(scores)
 
 
-#: Sound rules, tried in order at each place: pattern there, first code, second code if another. "^" is the word's start.
-SOUNDS = [
-    (r"^(?=[GKP]N|WR|PS)[GKPW]", "", ""),
-    (r"^X", "S", ""),
-    (r"^WH|^W(?=[AEIOUY])", "A", "F"),
-    (r"^[AEIOUY]", "A", ""),
-    (r"[AEIOUY]", "", ""),
-    (r"^SCH(?=[MNLW])|^S(?=[MNLW])", "S" , "X"),
-    (r"SCH(?=ER|EN)", "X", "SK"),
-    (r"^SCH(?![AEIOUW])", "X", "S"),
-    (r"SCH", "X", ""),
-    (r"TCH|TIO(?=N)|TIA", "X", ""),
-    (r"SH", "X", ""),
-    (r"SI(?=[OA])", "S", "X"),
-    (r"SC(?=[IEY])", "S", ""),
-    (r"SC", "SK", ""),
-    (r"SS?Z?", "S", ""),
-    (r"CHAE", "K", "X"),
-    (r"^CH(?=ARAC|ARIS|EM|IA|OR|YM)", "K", ""),
-    (r"CH(?=[TSLRNMBHFVW])", "K", ""),
-    (r"^CH", "X", ""),
-    (r"CH", "X", "K"),
-    (r"CZ", "S", "X"),
-    (r"CI(?=[OEA])", "S", "X"),
-    (r"C(?=[IEY])", "S", ""),
-    (r"CC(?![IEH])|C[KQG]|C", "K", ""),
-    (r"DG(?=[IEY])", "J", ""),
-    (r"D[DT]?", "T", ""),
-    (r"TH(?=[OA]M)", "T", ""),
-    (r"TH", "0", "T"),
-    (r"T[TD]?", "T", ""),
-    (r"(?<=[AEIOU])GH(?=[^AEIOU]|$)", "", ""),
-    (r"GH", "K", ""),
-    (r"GN", "N", "KN"),
-    (r"G(?=[EIY])", "J", "K"),
-    (r"GG?", "K", ""),
-    (r"(?:^|(?<=[AEIOU]))H(?=[AEIOU])", "H", ""),
-    (r"H", "", ""),
-    (r"^J", "J", "A"),
-    (r"JJ?", "J", ""),
-    (r"PH", "F", ""),
-    (r"P[PB]?", "P", ""),
-    (r"BB?", "P", ""),
-    (r"[FV][FV]?", "F", ""),
-    (r"KK?|QQ?", "K", ""),
-    (r"LL?", "L", ""),
-    (r"MM?", "M", ""),
-    (r"NN?|Ñ", "N", ""),
-    (r"RR?", "R", ""),
-    (r"WICZ|WITZ", "TS", "FX"),
-    (r"W", "", ""),
-    (r"X", "KS", ""),
-    (r"ZH", "J", ""),
-    (r"ZZ?(?=[AIO])", "S", "TS"),
-    (r"ZZ?|Ç", "S", ""),
-    (r".", "", ""),
-]
-_SOUNDS = [(re.compile(p), one, two) for p, one, two in SOUNDS]
-
-
-@lru_cache(maxsize=65536)
-def sound_keys(value: str | None, length: int = 4) -> tuple[str, ...]:
-    """One or two keys of at most ``length`` letters by which names that sound alike agree; none without letters."""
-    word = "".join(c for c in (value or "").upper() if c.isalpha())
-    one = two = ""
-    at = 0
-    while at < len(word):
-        for pattern, a, b in _SOUNDS:
-            m = pattern.match(word, at)
-            if m and m.end() > at:
-                one, two, at = one + a, two + (b or a), m.end()
-                break
-    return tuple(dict.fromkeys(k for k in (one[:length], two[:length]) if k))
-
-
 @F.arrow_udf(DoubleType())
 def jaro_winkler_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([jaro_winkler(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
@@ -158,8 +80,3 @@ def jaro_winkler_udf(a: pa.Array, b: pa.Array) -> pa.Array:
 @F.arrow_udf(DoubleType())
 def token_set_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([token_set(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
-
-
-@F.arrow_udf(ArrayType(StringType()))
-def sound_keys_udf(values: pa.Array) -> pa.Array:
-    return pa.array([list(sound_keys(v)) for v in values.to_pylist()], pa.list_(pa.string()))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.functions.text import hash_share
-from rowkin.operators import blocking, compare, decide, learn
+from rowkin.operators import blocking, compare, decide, learn, listings
 from rowkin.operators.normalize import normalize
+from rowkin.schema import FIELDS
 from rowkin.storage import staged
 
 
@@ -43,15 +46,81 @@ def decided(records: DataFrame, pairs: DataFrame, bundles: dict[str, decide.Bund
     return decide.routed(records, decide.ranked(decide.scored(pairs, bundles)))
 
 
-def retuned(pairs: DataFrame, feedback: DataFrame, parent: dict[str, learn.Model], noise: float = 0.03) -> dict[str, learn.Model]:
-    """Models refitted on the pairs' patterns with reviewed ones clamped to their labels. feedback: kind, vector, label."""
-    seen = feedback.groupBy("kind", "vector").agg(F.count("*").alias("n"), F.avg(F.col("label").cast("double")).alias("p"))
-    tally = learn.less(learn.pattern_tally(pairs), seen).withColumn("p", F.lit(None).cast("double")).unionByName(seen.select("kind", "vector", "n", (F.col("p") * (1 - 2 * noise) + noise).alias("p")))
-    out = dict(parent)
-    for kind, model in parent.items():
-        rows = tally.filter(F.col("kind") == kind).orderBy("vector", "p").collect()  # bounded by the levels of the fields
+#: Labels that a retune needs in all and of a kind, and the share of them that judges it.
+MIN_LABELS, MIN_PER_KIND, HOLDOUT = 100, 30, 0.3
+
+
+class NotEnough(ValueError):
+    """Too few labels to learn from; ``counts`` says how many there are."""
+
+    def __init__(self, message: str, counts: dict[str, int]):
+        super().__init__(message)
+        self.counts = counts
+
+
+@dataclass
+class Retune:
+    """A retuned config: bundles, a report a kind (refit or why not), and the gate's row on the held-out labels."""
+
+    bundles: dict[str, decide.Bundle]
+    reports: dict[str, dict]
+    gate: dict
+
+
+def checked(labels: DataFrame, least: int = MIN_LABELS) -> dict[str, int]:
+    """Counts of labels; NotEnough below ``least``, or below a tenth of it (3 at least) of either class."""
+    counts = listings.label_counts(labels, source=["review", "audit", "voluntary"], kind=list(FIELDS)).first().asDict()
+    floor = max(3, -(-least // 10))
+    if counts["total"] < least or min(counts["positives"], counts["negatives"]) < floor:
+        raise NotEnough(f"{counts['total']} labels ({counts['positives']} of matches, {counts['negatives']} of others), {least} are needed and {floor} of each", counts)
+    return counts
+
+
+def retuned(parent: dict[str, decide.Bundle], tally: DataFrame, labels: DataFrame, population: DataFrame | None = None, *, precision: float = 0.99, recall: float = 0.99, noise: float = 0.0, least: int = MIN_LABELS, least_of_kind: int = MIN_PER_KIND, holdout: float = HOLDOUT, seed: int = 0, **options) -> Retune:
+    """Weights, calibration and cuts refitted from reviewers' labels, and whether they should replace ``parent``.
+
+    labels: key, kind, vector, label, weight, source, in_tally (``listings.collected_labels`` with the vectors); tally:
+    kind, vector, n of all pairs, from which labelled pairs that it holds are taken; population: record_id, kind, vector
+    of a run's candidates, from whose calibrated scores the cuts are then chosen. A hash of the key splits the labels.
+    Verdicts outside the hold-out join the fit, each wrong with probability ``noise``; voluntary ones stand for an
+    unknown number of pairs and neither calibrate nor judge. A kind with too few labels of its own, or whose fit
+    degenerates, keeps its parent's bundle, and its report says so.
+    """
+    checked(labels, least)
+    known = staged(labels.withColumn("held", hash_share(F.lit(f"{seed}:holdout:"), F.col("key").cast("string")) < holdout).withColumn("true", learn.denoised(F.col("label"), noise)), "labels")
+    sizes = {(r["kind"], r["held"], r["label"]): r["n"] for r in known.groupBy("kind", "held", "label").agg(F.count("*").alias("n")).collect()}
+    fitting = known.filter("not held")
+    seen = fitting.groupBy("kind", "vector", "label").agg(F.count("*").alias("n")).collect()  # bounded by the levels of the fields
+    rest = learn.less(tally, learn.pattern_tally(fitting.filter("in_tally")))
+    bundles, reports = dict(parent), {}
+    for kind, old in parent.items():
+        mine, positives, negatives = sum(n for (k, _, _), n in sizes.items() if k == kind), sizes.get((kind, False, 1), 0), sizes.get((kind, False, 0), 0)
+        report = reports[kind] = {"labels": mine, "fit": positives + negatives, "holdout": mine - positives - negatives, "refit": False}
+        rows = rest.filter(F.col("kind") == kind).orderBy("vector").collect()  # bounded likewise
+        if mine < least_of_kind or not positives or not negatives or not rows:
+            report["reason"] = f"{mine} labels of this kind, both classes and {least_of_kind} are needed"
+            continue
+        verdicts = sorted((list(r["vector"]), r["label"], r["n"]) for r in seen if r["kind"] == kind)
         try:
-            out[kind] = learn.fit(kind, [(r["vector"], r["n"]) for r in rows], start=model.share, labels=[r["p"] for r in rows])
-        except learn.Degenerate:
+            model = learn.best_fit(kind, [(r["vector"], r["n"]) for r in rows], verdicts=verdicts, noise=noise, begin=old.model, seed=seed, **options)
+        except learn.Degenerate as e:
+            report["reason"] = f"the fit degenerates: {e}"
             continue
-    return out
+        usable = known.filter((F.col("kind") == kind) & (F.col("source") != "voluntary")).withColumn("bits", model.weight(F.col("vector")))
+        knots = learn.isotonic_knots(usable.filter("not held"), "bits", "true", count="weight")
+        side = "held" if usable.filter("held").limit(1).count() else "not held"
+        cuts = learn.choose_thresholds(usable.filter(side).withColumn("confidence", learn.calibrated(F.col("bits"), knots)), precision, recall, label="true", weight="weight")
+        bundles[kind] = decide.Bundle(model, knots, cuts.accept, cuts.reject)
+        report |= {"refit": True, "share": model.share, "parent_share": old.model.share, "rounds": len(model.trace), "cuts_from": "labels", **cuts._asdict()}
+    if population is not None and any(r["refit"] for r in reports.values()):
+        best = staged(blocking.top_k(decide.scored(population, bundles), ["record_id"], [F.desc("confidence"), F.asc("kind")], 1, "_best").select("kind", "confidence"), "population")
+        for kind, report in reports.items():
+            own = best.filter(F.col("kind") == kind)
+            if report["refit"] and own.limit(1).count():
+                cuts = learn.expected_thresholds(own, precision, recall)
+                bundles[kind] = decide.Bundle(bundles[kind].model, bundles[kind].knots, cuts.accept, cuts.reject)
+                report |= {"cuts_from": "population", "label_accept": report["accept"], "label_reject": report["reject"], **cuts._asdict()}
+    judges = known.filter((F.col("source") != "voluntary") & F.col("held"))
+    for name, config in (("new", bundles), ("old", parent)):
+        judges = decide.scored(judges, config).withColumnsRenamed({"confidence": name, "t_accept": f"{name}_accept", "t_reject": f"{name}_reject"}).drop("match_weight", "posterior", "npi_exact", "conflicts")
+    return Retune(bundles, reports, listings.gate(judges, precision, noise=noise).first().asDict())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowkin.functions import text as T
+from rowkin.operators.learn import denoised
 
 
 def listing(df: DataFrame, newest: str, key: str, limit: int | None = None, **equal) -> DataFrame:
@@ -65,19 +66,67 @@ def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.round(F.least(F.greatest(a / b, F.lit(0.0)), F.lit(1.0)), 6))
 
 
-def judged(scored: DataFrame, accept: float, reject: float, p: str = "confidence", y: str = "label", weight: str = "weight", bins: int = 10) -> DataFrame:
-    """One row: what two cuts do on weighted labels (n, precision, recall, missed, review_share, ece, brier).
+#: The rates that judge a config on labels.
+RATES = ("n", "precision", "recall", "missed", "review_share", "ece", "brier")
 
-    ``missed`` is the share of the true matches below the lower cut. Labels that may err are corrected beforehand. Two
-    aggregations, of which the second sees a row a bin.
-    """
-    w, c, t = F.col(weight).cast("double"), F.col(p), F.col(y).cast("double")
+
+def _rates(scored: DataFrame, by: list[str], accept: Column, reject: Column, p: str, y: str, weight: str, noise: float, bins: int) -> DataFrame:
+    """``RATES`` of each group, in two aggregations, of which the second sees a row a bin."""
+    w, c, t = F.col(weight).cast("double"), F.col(p), denoised(F.col(y), noise)
     taken, left = c >= accept, (c < accept) & (c < reject)
     when = lambda test, v: F.sum(F.when(test, v).otherwise(0.0))
     slot = F.least(F.greatest((c * bins).cast("int"), F.lit(0)), F.lit(bins - 1))
-    per = scored.groupBy(slot.alias("bin")).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * t).alias("pos"), F.sum(w * c).alias("mass"), when(taken, w).alias("acc"), when(taken, w * t).alias("hit"), when(left, w * t).alias("lost"), when(~taken & ~left, w).alias("grey"), F.sum(w * (c - t) * (c - t)).alias("err"))
+    per = scored.groupBy(*by, slot.alias("bin")).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * t).alias("pos"), F.sum(w * c).alias("mass"), when(taken, w).alias("acc"), when(taken, w * t).alias("hit"), when(left, w * t).alias("lost"), when(~taken & ~left, w).alias("grey"), F.sum(w * (c - t) * (c - t)).alias("err"))
     s = F.sum
-    return per.agg(s("n").alias("n"), _share(s("hit"), s("acc")).alias("precision"), _share(s("hit"), s("pos")).alias("recall"), _share(s("lost"), s("pos")).alias("missed"), _share(s("grey"), s("w")).alias("review_share"), F.round(s(F.abs(F.col("mass") - F.col("pos"))) / s("w"), 6).alias("ece"), F.round(s("err") / s("w"), 6).alias("brier"))
+    return per.groupBy(*by).agg(F.coalesce(s("n"), F.lit(0)).alias("n"), _share(s("hit"), s("acc")).alias("precision"), _share(s("hit"), s("pos")).alias("recall"), _share(s("lost"), s("pos")).alias("missed"), _share(s("grey"), s("w")).alias("review_share"), F.round(s(F.abs(F.col("mass") - F.col("pos"))) / s("w"), 6).alias("ece"), F.round(s("err") / s("w"), 6).alias("brier"))
+
+
+def judged(scored: DataFrame, accept: float, reject: float, p: str = "confidence", y: str = "label", weight: str = "weight", bins: int = 10, noise: float = 0.0) -> DataFrame:
+    """One row: what two cuts do on weighted labels (n, precision, recall, missed, review_share, ece, brier).
+
+    ``missed`` is the share of the true matches below the lower cut. Labels that err with probability ``noise`` are
+    counted for what they stand for on average, so rates are estimates and clipped.
+    """
+    return _rates(scored, [], F.lit(accept), F.lit(reject), p, y, weight, noise, bins)
+
+
+#: By how much a rate may be worse before it counts as worse, and matches lost below the lower cut.
+TOLERANCE, MISSED_TOLERANCE = 0.01, 0.02
+
+
+def recommendation(target: float, new: str = "new_", old: str = "old_") -> tuple[Column, Column]:
+    """(activate, outcome) from the rates of a new config and the one in use on the same labels.
+
+    nothing_to_compare: no labels, or one of them accepts nothing; precision_falls: below both the old one and the
+    target by more than the tolerance; misses_more, reviews_more: than the old one; no_difference: no rate better by
+    more than the tolerance; else improves, the only one that activates. A rate that either lacks tells nothing.
+    """
+    a, b = (lambda c: F.col(new + c)), (lambda c: F.col(old + c))
+    gain = {c: F.coalesce((a(c) - b(c)) if up else (b(c) - a(c)), F.lit(0.0)) for c, up in (("precision", True), ("recall", True), ("missed", False), ("review_share", False))}
+    none = (F.coalesce(a("n"), F.lit(0)) == 0) | a("precision").isNull() | b("precision").isNull()
+    outcome = (
+        F.when(none, "nothing_to_compare")
+        .when(a("precision") < F.least(b("precision"), F.lit(target)) - TOLERANCE, "precision_falls")
+        .when(gain["missed"] < -MISSED_TOLERANCE, "misses_more")
+        .when(gain["review_share"] < -TOLERANCE, "reviews_more")
+        .when(F.greatest(*gain.values()) <= TOLERANCE, "no_difference")
+        .otherwise("improves")
+    )
+    return outcome == "improves", outcome
+
+
+def gate(labels: DataFrame, target: float = 0.99, by: tuple[str, ...] = (), weight: str = "weight", noise: float = 0.0, bins: int = 10) -> DataFrame:
+    """A row for each value of ``by`` (one row in all without): new_ and old_ rates, activate, outcome.
+
+    labels: label, weight, and for both configs the confidence and cuts that a row has under it: new, new_accept,
+    new_reject, old, old_accept, old_reject. Both are judged in one pass over the same rows.
+    """
+    own = F.explode(F.array(*(F.struct(F.lit(c).alias("config"), F.col(c).cast("double").alias("_p"), F.col(f"{c}_accept").cast("double").alias("_accept"), F.col(f"{c}_reject").cast("double").alias("_reject")) for c in ("new", "old"))))
+    each = labels.select(*by, F.col("label").alias("_y"), F.col(weight).alias("_w"), own.alias("_c")).select(*by, "_y", "_w", "_c.*")
+    rates = _rates(each, [*by, "config"], F.col("_accept"), F.col("_reject"), "_p", "_y", "_w", noise, bins)
+    wide = rates.groupBy(*by).agg(*(F.max(F.when(F.col("config") == c, F.col(r))).alias(f"{c}_{r}") for c in ("new", "old") for r in RATES))
+    activate, outcome = recommendation(target)
+    return wide.withColumn("activate", activate).withColumn("outcome", outcome)
 
 
 def stratified(rows: DataFrame, stratum: str, sampled: Column, expected_matches: Column) -> DataFrame:

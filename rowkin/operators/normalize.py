@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowkin.functions import lexicons as lex
 from rowkin.functions import text as T
-from rowkin.functions.metrics import sound_keys_udf
+from rowkin.functions.phonetics import sound_keys_udf
 
 
 def looks_like_organization() -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rowkin import people
 from rowkin.functions import lexicons
 from rowkin.functions import text as T
-from rowkin.functions.metrics import jaro_winkler_udf, sound_keys_udf, token_set_udf
+from rowkin.functions.metrics import jaro_winkler_udf, token_set_udf
+from rowkin.functions.phonetics import sound_keys_udf
 from rowkin.operators import blocking, compare, decide, evaluate, learn, runs, stats
 from rowkin.operators.compare import with_metric
 from rowkin.schema import level
@@ -411,12 +412,16 @@ def expected_outcomes(spark, sf_dir):
     return learn.expected_shares(_confident(spark, sf_dir), cuts).select("n", *(F.round(c, 9).alias(c) for c in ("accepted", "rejected", "expected_precision", "expected_missed")))
 
 
-@query()
+@query("""WITH p AS (SELECT round_even(log2(greatest(d.n_chars, 1)) / 0.5, 0) * 0.5 AS x, l.quality AS y FROM labels l JOIN documents d USING (doc_id))
+, lev AS (SELECT x, count(*) AS n, sum(y) AS y FROM p GROUP BY 1), ran AS (SELECT x, n, y, sum(n) OVER (ORDER BY x) AS cn, sum(y) OVER (ORDER BY x) AS cy FROM lev)
+, mean AS (SELECT i.x, a.x AS a, min((b.cy - a.cy + a.y) / (b.cn - a.cn + a.n)::DOUBLE) AS least FROM ran i JOIN ran a ON a.x <= i.x JOIN ran b ON b.x >= i.x GROUP BY 1, 2)
+, fit AS (SELECT x, round(max(least), 9) AS confidence FROM mean GROUP BY 1), block AS (SELECT confidence, min(x) AS low, max(x) AS high FROM fit GROUP BY 1)
+SELECT low AS weight, confidence FROM block UNION SELECT high, confidence FROM block""")
 def isotonic_fit(spark, sf_dir):
-    """Knots of the isotonic fit of text length against quality."""
+    """Knots of the isotonic fit of text length against quality: at each level the largest mean from it down of the least means from it up."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.log2(F.greatest(F.col("n_chars"), F.lit(1))).alias("weight"))
     rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).join(docs, "doc_id")
-    return spark.createDataFrame(learn.isotonic_knots(rows), "weight double, confidence double")
+    return spark.createDataFrame([(x, round(y, 9)) for x, y in learn.isotonic_knots(rows)], "weight double, confidence double")
 
 
 # --- sampling, hashing, versions ------------------------------------------------
@@ -670,7 +675,7 @@ def record_key(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from rowkin import intake_queries, listing_queries  # noqa: F401  (register their own)
+    from rowkin import intake_queries, learning_queries, listing_queries  # noqa: F401  (register their own)
 
     return dict(QUERIES)
 

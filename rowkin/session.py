@@ -46,8 +46,8 @@ def ship_package(spark: SparkSession) -> None:
 
 def register_functions(spark: SparkSession) -> None:
     """The string metrics as SQL functions: jaro_winkler, token_set, sound_keys."""
-    from rowkin.functions import metrics
+    from rowkin.functions import metrics, phonetics
 
     ship_package(spark)
-    for name, own in (("jaro_winkler", metrics.jaro_winkler_udf), ("token_set", metrics.token_set_udf), ("sound_keys", metrics.sound_keys_udf)):
+    for name, own in (("jaro_winkler", metrics.jaro_winkler_udf), ("token_set", metrics.token_set_udf), ("sound_keys", phonetics.sound_keys_udf)):
         spark.udf.register(name, own)
