@@ -77,14 +77,10 @@ class Encoder(dict):
         self.marks = lru_cache(1024)(self._pretoken)
 
     def __missing__(self, piece: str) -> bytes:
-        if together(piece):
-            raise Together(piece)
-        return self.piece(piece)
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of a piece that the text around it does not reach into."""
         if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) and len(piece) <= 1024:  # a word, what the pattern would find
             found = self._pretoken(piece)
+        elif together(piece):
+            raise Together(piece)
         else:
             found = self._encode(piece)
         at = hash(piece) & self.mask
@@ -94,6 +90,10 @@ class Encoder(dict):
             self[piece] = found
         return found
 
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece that the text around it does not reach into."""
+        return self._encode(piece) if together(piece) else self[piece]
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
