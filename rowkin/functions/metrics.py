@@ -72,11 +72,23 @@ def token_set(a: str | None, b: str | None) -> float:
     return max(scores)
 
 
+def _each(metric, a: pa.Array, b: pa.Array) -> pa.Array:
+    """The metric of each row; a pair that a batch repeats is computed once, and a row without both strings is 0."""
+    seen: dict[tuple, float] = {}
+    out = []
+    for pair in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        value = seen.get(pair)
+        if value is None:
+            value = seen[pair] = 0.0 if pair[0] is None or pair[1] is None else metric(*pair)
+        out.append(value)
+    return pa.array(out, pa.float64())
+
+
 @F.arrow_udf(DoubleType())
 def jaro_winkler_udf(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([jaro_winkler(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    return _each(jaro_winkler, a, b)
 
 
 @F.arrow_udf(DoubleType())
 def token_set_udf(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([token_set(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    return _each(token_set, a, b)

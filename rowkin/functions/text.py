@@ -106,7 +106,7 @@ def org_name(value: Column) -> Column:
 
 
 def org_tokens(name: Column) -> Column:
-    return F.filter(F.split(name, " "), lambda t: (t != "") & ~t.isin(lex.words(lex.ORG_STOP_WORDS)))
+    return F.filter(F.split(name, " "), lambda t: (t != "") & ~t.isin(*lex.ORG_STOP_WORDS))
 
 
 def org_acronym(name: Column) -> Column:
@@ -148,7 +148,7 @@ def license_number(value: Column) -> Column:
 
 def address(line1: Column, line2: Column, city: Column, state_: Column, zip_: Column) -> Column:
     """struct(line, unit, house_number, city, state, zip5, po_box): a unit word takes one word after it."""
-    streets, unit_words = lex.map_column(lex.STREET_MAP), lex.words(lex.UNITS)
+    streets, unit_words = lex.map_column(lex.STREET_MAP), lex.UNITS
     none = F.array().cast("array<string>")
 
     def lines(folded: Column) -> Column:
@@ -156,9 +156,9 @@ def address(line1: Column, line2: Column, city: Column, state_: Column, zip_: Co
             split_words(folded),
             F.struct(none.alias("street"), none.alias("unit"), F.lit(False).alias("open")),
             lambda s, t: F.struct(
-                F.when(t.isin(unit_words) | s["open"], s["street"]).otherwise(F.array_append(s["street"], F.coalesce(streets[t], t))).alias("street"),
-                F.when(t.isin(unit_words) | s["open"], F.array_append(s["unit"], t)).otherwise(s["unit"]).alias("unit"),
-                t.isin(unit_words).alias("open"),
+                F.when(t.isin(*unit_words) | s["open"], s["street"]).otherwise(F.array_append(s["street"], F.coalesce(streets[t], t))).alias("street"),
+                F.when(t.isin(*unit_words) | s["open"], F.array_append(s["unit"], t)).otherwise(s["unit"]).alias("unit"),
+                t.isin(*unit_words).alias("open"),
             ),
         )
 

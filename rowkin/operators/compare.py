@@ -1,4 +1,4 @@
-"""Level codes of candidate pairs. Cheap equalities are Columns; string metrics run once for each distinct pair that they leave open."""
+"""Level codes of candidate pairs. Cheap equalities are Columns; string metrics run for the pairs that they leave open."""
 
 from __future__ import annotations
 
@@ -15,10 +15,9 @@ ADDRESS_SET, NAME_SET = 0.90, 0.90
 
 
 def with_metric(pairs: DataFrame, udf, a: Column, b: Column, where: Column, out: str) -> DataFrame:
-    """Adds a metric of two string columns; only distinct pairs of rows that need it reach Python."""
-    need = pairs.withColumn("_a", F.when(where, a)).withColumn("_b", F.when(where, b))
-    scored = need.select("_a", "_b").filter("_a <> '' and _b <> ''").distinct().withColumn(out, udf("_a", "_b"))
-    return need.join(scored, ["_a", "_b"], "left").drop("_a", "_b").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    """Adds a metric of two string columns, 0 for rows that do not need it. Nothing is shuffled, and several metrics share one pass of Arrow batches."""
+    need = where & (a != "") & (b != "")
+    return pairs.withColumn(out, udf(F.when(need, a), F.when(need, b)))
 
 
 def _levels(kind: str, field: str):

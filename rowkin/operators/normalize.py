@@ -13,7 +13,7 @@ from rowkin.functions.phonetics import sound_keys_udf
 def looks_like_organization() -> Column:
     """An organization name is there, or the person columns hold a word that names organizations."""
     words = T.tokens(F.concat_ws(" ", "first_name", "last_name"))
-    return (F.coalesce("organization_name", F.lit("")) != "") | F.arrays_overlap(words, lex.set_column(lex.words(lex.ORG_HINTS) + sorted(lex.LEGAL_MAP)))
+    return (F.coalesce("organization_name", F.lit("")) != "") | F.arrays_overlap(words, lex.set_column([*lex.ORG_HINTS, *sorted(lex.LEGAL_MAP)]))
 
 
 def with_sound_keys(df: DataFrame, column: str, out: str) -> DataFrame:

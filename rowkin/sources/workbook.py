@@ -88,15 +88,21 @@ def _headed(rows: Iterator[tuple[int, list]]) -> Iterator[tuple[int, list]]:
             yield number, cells
 
 
+def _shared_strings(book: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in book.namelist():
+        return []
+    return ["".join(t.text or "" for t in e.iter() if _tag(t) == "t") for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if _tag(e) == "si"]
+
+
+def _sheets(book: zipfile.ZipFile) -> list[str]:
+    return sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n).group()))
+
+
 def read_workbook(content: bytes) -> Iterator[tuple[int, list]]:
     """Header and rows of the first sheet that has a header row."""
     book = zipfile.ZipFile(io.BytesIO(content))
-    shared = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        shared = ["".join(t.text or "" for t in e.iter() if _tag(t) == "t") for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if _tag(e) == "si"]
-    dated = _date_styles(book)
-    sheets = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n).group()))
-    for sheet in sheets:
+    shared, dated = _shared_strings(book), _date_styles(book)
+    for sheet in _sheets(book):
         rows = _headed(_sheet_rows(book, sheet, shared, dated))
         if first := next(rows, None):
             yield first
