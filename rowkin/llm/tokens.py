@@ -107,7 +107,7 @@ class Encoder(dict):
         word = piece.rstrip(".,;:!?")
         if len(word) < len(piece) and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
             return self[word] + self.marks(piece[len(word) :])
-        return b"".join(map(self._pretoken, PRETOKEN.findall(piece)))
+        return b"".join([self[x] if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()) else self.marks(x) for x in PRETOKEN.findall(piece)])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text; a null text has none."""
