@@ -8,9 +8,11 @@ around it, so a text sends about one band for eight words, with the place where
 Documents that collide in a band are joined with its first document if they agree with it on the HALF shingles before or
 after the anchor, else with the first document of those that agree with them there. CONTEXT shingles on each side of the
 two anchors are aligned, and every window of PASSAGE words or more whose exact Jaccard (shingles counted by place, in the
-order of both texts) is at least THRESHOLD is a repeat. Anchors that find none stand on words that many texts share. They
-get a last chance by the exact runs of RUN words around them: any repeat of PASSAGE words around an anchor holds one of
-these in every document that has it. Removals link documents; components of links are classes.
+order of both texts) is at least THRESHOLD is a repeat. Anchors that find none stand on words that many texts share, such
+as quotes that are shorter than a passage. They go on with keys of two anchors NEAR to FAR words apart, which only
+documents with a long stretch in common share, and are joined with the first document of each; then with the exact runs
+of RUN words around them: any exact repeat of PASSAGE words around an anchor holds one of these in every document that
+has it. Removals link documents; components of links are classes.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ HALF = 6
 #: Shingles on each side of an anchor that are aligned. Of the anchors of two documents on one diagonal, one in each STRIDE words is aligned, so contexts overlap.
 CONTEXT = 96
 STRIDE = 64
+#: Words between two anchors whose keys tell a long common stretch from a quote.
+NEAR, FAR = 24, 72
 #: Words in which a shingle is an anchor once.
 SPACE = 32
 #: Words by which edits may shift an alignment.
@@ -273,6 +277,35 @@ def exact_runs(contexts: DataFrame) -> DataFrame:
     return contexts.select("row", "place", "at", "context").mapInArrow(run, "band long, row long, place int")
 
 
+def pair_keys(shared: DataFrame, asked: DataFrame) -> DataFrame:
+    """(band, ord, row, place, sides): keys of an anchor whose band is ``asked`` for and each other one NEAR to FAR words before or after it, at the asked one's place. ``shared``: band, ord, row, place."""
+    marked = shared.join(asked.select("band", F.lit(True).alias("open")), "band", "left")
+    rows = marked.filter("open").select("row").distinct()
+    own = marked.join(rows, "row", "left_semi").groupBy("row", "ord").agg(F.array_sort(F.collect_list(F.struct("place", "band", F.coalesce("open", F.lit(False)).alias("open")))).alias("own"))  # bounded by the words of a document
+    names = ["band", "ord", "row", "place", "sides"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            place, band, asks = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            text = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            rows, orders = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = (text << 32) + place
+            low, high = np.searchsorted(at, at + NEAR), np.searchsorted(at, at + FAR, "right")
+            for x in range(0, len(at), 1 << 16):
+                n = (high - low)[x : x + (1 << 16)]
+                i = np.repeat(np.arange(x, x + len(n)), n)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]
+                both = mix64(mix64(band[i].view(np.uint64)) * np.uint64(3) + band[j].view(np.uint64))
+                for which, k in ((1, i), (2, j)):
+                    use = asks[k]
+                    key = mix64(both[use] + np.uint64(which)).view(np.int64)
+                    own = k[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(orders[text[own]]), pa.array(rows[text[own]]), pa.array(place[own].astype(np.int32)), pa.array(np.zeros(len(own), np.int64))], names=names)
+
+    return own.select("row", "ord", "own").mapInArrow(run, "band long, ord long, row long, place int, sides long")
+
+
 def starred(bands: DataFrame) -> tuple[DataFrame, str]:
     """Rows of ``bands`` (band, ord, row, place, sides) with the first document of their band, others than its own: adds from, there, sides2; and a path to forget."""
     one = bands.groupBy("band").agg(F.min(F.struct("ord", "row", "place", "sides")).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -322,12 +355,23 @@ def removals(rows: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFr
     keys = F.explode(F.array_compact(F.array(*(F.when(x.isNotNull(), F.xxhash64("band", x, F.lit(k))) for k, x in enumerate((before("sides"), after("sides")))))))
     closer, closer_path = starred(other.withColumn("band", keys))
     seeds, seeds_path = stored(thinned(found.filter(alike).select("row", "ord", "place", "from", "there").unionByName(closer.select("row", "ord", "place", "from", "there"))), "seeds")
-    for path in (bands_path, repeated_path, shared_path, firsts_path, found_path, closer_path):
+    for path in (bands_path, repeated_path, firsts_path, found_path, closer_path):
         forget(spark, path)
     contexts, contexts_path = stored(context_rows(named, seeds), "contexts")
     spans, spans_path = stored(verified_spans(contexts), "spans")
+    nothing = lambda spans: spans.filter("begin is null").select("row", "place").join(spans.filter("begin is not null").select("row", "place"), ["row", "place"], "left_anti").distinct()
+
+    asked, asked_path = stored(shared.join(nothing(spans), ["row", "place"], "left_semi").select("band").distinct(), "asked")
+    pairs, pairs_path = stored(pair_keys(shared, asked), "pairs")
+    far, far_path = starred(pairs)
+    tried = seeds.select("row", "place", "from")
+    beyond, beyond_path = stored(thinned(far.select("row", "ord", "place", "from", "there").distinct().join(tried, ["row", "place", "from"], "left_anti")), "beyond")
+    for path in (shared_path, asked_path, pairs_path, far_path):
+        forget(spark, path)
+    wider, wider_path = stored(context_rows(named, beyond), "contexts")
+    met, met_path = stored(verified_spans(wider), "spans")
 
-    left = spans.filter("begin is null").select("row", "place").join(spans.filter("begin is not null").select("row", "place"), ["row", "place"], "left_anti").distinct()
+    left = nothing(spans.unionByName(met))
     lone, lone_path = stored(contexts.join(left, ["row", "place"], "left_semi").dropDuplicates(["row", "place"]).join(seeds.select("row", "ord").distinct(), "row"), "lone")
     runs, runs_path = stored(exact_runs(lone).join(lone.select("row", "place", "ord"), ["row", "place"]).withColumn("sides", F.lit(0).cast("long")), "runs")
     again, again_path = starred(runs)
@@ -335,10 +379,10 @@ def removals(rows: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFr
     here = last.join(lone.select("row", "place", "at", "context"), ["row", "place"]).select("row", "place", "from", "there", "at", "context")
     there = last.select("from", "there").distinct().join(lone.select(F.col("row").alias("from"), F.col("place").alias("there"), "at", "context"), ["from", "there"])
     more, more_path = stored(verified_spans(here.unionByName(there.withColumns({"row": F.lit(None).cast("long"), "place": F.lit(None).cast("int")}))), "spans")
-    for path in (heads_path, contexts_path, seeds_path, lone_path, runs_path, again_path, last_path):
+    for path in (heads_path, contexts_path, seeds_path, beyond_path, wider_path, lone_path, runs_path, again_path, last_path):
         forget(spark, path)
 
-    every = spans.unionByName(more).filter("begin is not null")
+    every = spans.unionByName(met).unionByName(more).filter("begin is not null")
     links = every.select(F.col("row").alias("a"), F.col("from").alias("b")).unionByName(copies.select(F.col("row").alias("a"), F.col("from").alias("b")))
     groups, groups_path = components(links.distinct())
 
@@ -349,7 +393,7 @@ def removals(rows: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFr
 
     cut = every.select("row", F.struct("begin", "end").alias("span")).distinct().groupBy("row").agg(F.collect_list("span").alias("found")).mapInArrow(together, "row long, spans array<struct<begin: int, end: int>>")
     cut = cut.withColumn("whole", F.lit(False)).unionByName(copies.select("row", F.lit(None).cast("array<struct<begin: int, end: int>>").alias("spans"), F.lit(True).alias("whole")))
-    return cut, groups.withColumnsRenamed({"node": "row"}), [spans_path, more_path, copies_path, groups_path]
+    return cut, groups.withColumnsRenamed({"node": "row"}), [spans_path, met_path, more_path, copies_path, groups_path]
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
