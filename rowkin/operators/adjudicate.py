@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from rowkin.sources.tables import absent
+from rowkin.storage import staged
 
 TOP = 3
 ANSWER = "decision string, provider_id string, confidence double, evidence_cited array<string>, reasoning string"
@@ -85,6 +86,62 @@ def validated(df: DataFrame) -> DataFrame:
     return got.select(*df.columns, rejection.alias("rejection"), *(a[c].alias(f"answer_{c}") for c in ("decision", "provider_id", "confidence")))
 
 
+def repair_prompt(prompt: Column, answer: Column, rejection: Column) -> Column:
+    """The prompt again, the answer that was refused, and why."""
+    return F.to_json(F.struct(prompt.alias("prompt"), answer.alias("refused_answer"), rejection.alias("refused_because"), F.lit("Answer once more, with one JSON object that keeps to the rules.").alias("ask")))
+
+
+def _asked(keyed: DataFrame, cache: DataFrame, ask: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:
+    """Requests with ``answer`` or ``error``, and the written rows (cache_key, answer, error) of the calls that were made. A call that raises fails for its prompt alone."""
+    misses = absent(keyed.select("cache_key", "prompt"), cache, ["cache_key"])
+
+    def call(batches):
+        for batch in batches:
+            rows = []
+            for key, prompt in zip(batch["cache_key"], batch["prompt"], strict=True):
+                try:
+                    rows.append((key, ask(prompt), None))
+                except Exception as e:  # whatever the model's client raises: the record stays where it was
+                    rows.append((key, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["cache_key", "answer", "error"], dtype=object)
+
+    fresh = staged(misses.mapInPandas(call, "cache_key string, answer string, error string"), "answers")
+    known = cache.select("cache_key", "answer", F.lit(None).cast("string").alias("error")).unionByName(fresh)
+    return keyed.join(known, "cache_key", "left"), fresh
+
+
+def adjudicated(asked: DataFrame, cache: DataFrame, ask: Callable[[str], str], provider: str, model: str, version: str) -> tuple[DataFrame, DataFrame]:
+    """(answers, rows to append to the cache). Refused answers are asked for once more, once.
+
+    asked: ``requests``. answers: record_id, rejection, answer_decision, answer_provider_id, answer_confidence,
+    repaired (the second answer was taken) and error. A call that fails leaves its record with the rejection
+    ``call_failed`` (or, if it was the second one, with the first answer's rejection), is not cached, and touches no
+    other record. Prompts that are equal are asked once, and answers are written before they are used, so no call is
+    made twice.
+    """
+    key = lambda df: df.withColumn("cache_key", cache_key(provider, model, version, F.col("prompt")))
+    refused = lambda df: df.withColumn("rejection", F.when(F.col("error").isNotNull(), "call_failed").otherwise(F.col("rejection")))
+    told = ["rejection", "answer_decision", "answer_provider_id", "answer_confidence", "error"]
+    first, fresh = _asked(key(asked), cache, ask)
+    one = staged(refused(validated(first)), "first_answers")
+    again = one.where("rejection is not null and error is null")
+    again = again.withColumn("prompt", repair_prompt(F.col("prompt"), F.coalesce("answer", F.lit("")), F.col("rejection"))).select(*asked.columns)
+    second, more = _asked(key(again), cache, ask)
+    two = refused(validated(second)).where("error is null").select("record_id", F.struct(*told).alias("_two"))
+    both = one.select("record_id", *told).join(two, "record_id", "left")
+    answers = both.select("record_id", *(F.when(F.col("_two").isNotNull(), F.col(f"_two.{c}")).otherwise(F.col(c)).alias(c) for c in told), F.col("_two").isNotNull().alias("repaired"))
+    return answers, fresh.unionByName(more).where("error is null").select("cache_key", "answer")
+
+
+def adjudication_counts(answers: DataFrame) -> DataFrame:
+    """One row: calls, taken, matched, second rounds, abstentions, and a map of rejections."""
+    per = answers.groupBy("rejection").agg(F.count("*").alias("n"), F.count_if("repaired").alias("again"), F.count_if(F.col("rejection").isNull() & (F.col("answer_decision") == "MATCH")).alias("hits"))
+    of = lambda test, c: F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0))
+    good = F.col("rejection").isNull()
+    reasons = F.map_from_entries(F.array_sort(F.collect_list(F.when(~good, F.struct("rejection", "n")))))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("calls"), of(good, "n").alias("adjudicated"), F.coalesce(F.sum("hits"), F.lit(0)).alias("matched"), F.coalesce(F.sum("again"), F.lit(0)).alias("repairs"), of(~good, "n").alias("abstentions"), reasons.alias("rejections"))
+
+
 def applied(routed: DataFrame, answers: DataFrame) -> DataFrame:
     """Decisions of the grey band after the answers: a valid MATCH decides; every other answer leaves the record to a reviewer."""
     good = answers.filter("rejection is null and answer_decision = 'MATCH'").select("record_id", "answer_provider_id", "answer_confidence")

@@ -84,6 +84,31 @@ def routed(records: DataFrame, best: DataFrame, margin: float = MARGIN) -> DataF
     return df.withColumn("d", chain).select("record_id", "d.*", gap.alias("margin"))
 
 
+def fault(kind: Column, vector: Column) -> Column:
+    """Why a pair cannot be scored, or null: an unknown kind, no vector, one of another length, or a code that its field has no level for."""
+    out = F.when(kind.isNull() | ~kind.isin(*FIELDS), F.concat(F.lit("unknown kind: "), F.coalesce(kind, F.lit("none")))).when(vector.isNull(), "no vector")
+    for k, fields in FIELDS.items():
+        tops = F.array(*(F.lit(len(levels)) for levels in fields.values()))
+        bad = F.exists(F.arrays_zip(vector.alias("v"), tops.alias("n")), lambda x: x["v"].isNull() | (x["v"] < 0) | (x["v"] >= x["n"]))
+        out = out.when((kind == k) & (F.size(vector) != len(fields)), F.concat(F.lit("vector of length "), F.size(vector).cast("string"))).when((kind == k) & bad, "level out of range")
+    return out
+
+
+def isolated(records: DataFrame, pairs: DataFrame, bundles: dict[str, Bundle], margin: float = MARGIN) -> DataFrame:
+    """One outcome a record: its decision, or ``error`` and no decision if one of its pairs cannot be scored.
+
+    A bad record fails alone: its pairs are set aside before any score is computed, and all others are decided as if it
+    were not there. ``listings.outcomes`` counts records without a decision as failed.
+    """
+    checked = pairs.withColumn("_error", fault(F.col("kind"), F.col("vector")))
+    errors = checked.where("_error is not null").groupBy("record_id").agg(F.min("_error").alias("error"))
+    good = checked.where("_error is null").drop("_error").join(errors, "record_id", "left_anti")
+    fine = records.select("record_id").join(errors, "record_id", "left_anti")
+    decided = routed(fine, ranked(scored(good, bundles)), margin).withColumn("error", F.lit(None).cast("string"))
+    failed = records.select("record_id").join(errors, "record_id")
+    return decided.unionByName(failed, allowMissingColumns=True)
+
+
 def deterministic(records: DataFrame, master: DataFrame) -> DataFrame:
     """Baseline: exactly one master row with the record's valid identifier is a match, several are ambiguous."""
     hits = records.filter("npi <> ''").select("record_id", "npi").join(master.filter("npi <> ''").select("npi", F.col("record_id").alias("provider_id")), "npi")

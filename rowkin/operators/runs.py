@@ -21,15 +21,27 @@ def row_digest(df: DataFrame, columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(canonical(c, kinds[c]) for c in columns)), 256)
 
 
-def snapshot_hash(df: DataFrame, columns: list[str], buckets: int = 4096) -> DataFrame:
+#: Digests that a bucket of a snapshot hash holds on average, at most.
+BUCKET = 1 << 16
+
+
+def snapshot_hash(df: DataFrame, columns: list[str], bucket: int = BUCKET) -> DataFrame:
     """One row (n, digest) that does not depend on row order.
 
-    Digests are sorted and hashed within ``buckets`` of their first three digits, then the buckets' hashes in order: no
-    task holds more than a bucket, and the last step has at most ``buckets`` rows.
+    Digests are sorted and hashed within buckets of their first digits, three at least, and as many more as keep a
+    bucket at about ``bucket`` digests; buckets of one prefix are then hashed together, digit by digit, so the last step
+    has 4,096 rows at most.
     """
-    own = df.select(row_digest(df, columns).alias("d")).withColumn("b", F.left("d", F.lit(3)))
-    parts = own.groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("h"))
-    return parts.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), ""), 256).alias("digest"))
+    own = df.select(row_digest(df, columns).alias("d"))
+    digits = 3
+    n = own.count()
+    while n / 16**digits > bucket:
+        digits += 1
+    parts = own.groupBy(F.left("d", F.lit(digits)).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("h"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), ""), 256)
+    for k in range(digits - 1, 2, -1):
+        parts = parts.groupBy(F.left("b", F.lit(k)).alias("b")).agg(F.sum("n").alias("n"), joined.alias("h"))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined.alias("digest"))
 
 
 def diff(a: DataFrame, b: DataFrame, least: float = 0.01) -> DataFrame:

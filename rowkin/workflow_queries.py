@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from rowkin.listing_queries import _DECIDED
-from rowkin.operators import recorded, stats
+from rowkin.operators import adjudicate, decide, learn, recorded, stats
 from rowkin.queries import _SHARE, query, table
+from rowkin.schema import FIELDS
 from rowkin.sources import commits
 from rowkin.storage import shared_dir
 
@@ -137,3 +138,65 @@ def recorded_runs(spark, sf_dir):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+#: Lines of orders as pairs of the kind organization, some of which cannot be scored, and given tables by which they are.
+_SIZES = [len(x) for x in FIELDS["organization"].values()]
+_LEVELS = [f"(l_partkey * {3 + 2 * i} + l_linenumber * {i + 1}) % {n}" for i, n in enumerate(_SIZES)]
+_MODEL = learn.Model("organization", [[(2 * k + 1) / n**2 for k in range(n)] for n in _SIZES], [[(2 * (n - k) - 1) / n**2 for k in range(n)] for n in _SIZES], 0.1)
+_CURVE = [(-6.0, 0.05), (0.0, 0.4), (6.0, 0.97)]
+_BITS = " + ".join("CASE v[%d] %s END" % (i + 1, " ".join(f"WHEN {k} THEN {b!r}" for k, b in enumerate(bits))) for i, bits in enumerate(_MODEL.weights()))
+_STATE = list(FIELDS["organization"]).index("state")
+
+
+@query(f"""WITH p AS (SELECT l_orderkey AS record_id, l_suppkey * 10 + l_linenumber AS provider_id, [{", ".join(f"CAST({x} AS INTEGER)" for x in _LEVELS)}] AS v, CASE WHEN l_partkey % 97 = 0 THEN 'level out of range' WHEN l_partkey % 89 = 0 THEN 'no vector' WHEN l_partkey % 83 = 0 THEN 'vector of length 3' WHEN l_partkey % 79 = 0 THEN 'unknown kind: person' END AS err FROM lineitem)
+, bad AS (SELECT record_id, min(err) AS error FROM p WHERE err IS NOT NULL GROUP BY 1)
+, w AS (SELECT *, CAST({_BITS} AS DOUBLE) AS bits FROM p WHERE record_id NOT IN (SELECT record_id FROM bad))
+, s AS (SELECT *, CASE WHEN bits <= -6 THEN 0.05 WHEN bits < 0 THEN 0.05 + (bits + 6) * (0.35 / 6.0::DOUBLE) WHEN bits < 6 THEN 0.4 + bits * (0.57 / 6.0::DOUBLE) ELSE 0.97 END AS conf FROM w)
+, t AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY conf DESC, bits DESC, provider_id) AS rk FROM s QUALIFY rk <= 5)
+, a AS (SELECT record_id, max(conf) FILTER (WHERE rk = 1) AS c1, max(conf) FILTER (WHERE rk = 2) AS c2, max(provider_id) FILTER (WHERE rk = 1) AS p1, min(rk) FILTER (WHERE v[1] = 3) AS ex, count(*) FILTER (WHERE v[1] = 3) AS holders FROM t GROUP BY 1)
+, e AS (SELECT a.record_id, t.provider_id AS xp, t.conf AS xc, CASE WHEN t.v[{_STATE + 1}] = 1 THEN 1 ELSE 0 END AS clash FROM a JOIN t ON a.record_id = t.record_id AND a.ex = t.rk)
+, r AS (SELECT o_orderkey AS record_id, error, c1, c2, p1, xp, xc, CASE WHEN error IS NOT NULL THEN NULL WHEN c1 IS NULL THEN 'NO_CANDIDATES' WHEN holders > 1 THEN 'NPI_EXACT_CONFLICT' WHEN holders = 1 AND clash = 0 THEN 'NPI_EXACT' WHEN c1 >= 0.9 AND c1 - c2 < 0.05 THEN 'THIN_MARGIN' WHEN c1 >= 0.9 THEN 'ABOVE_ACCEPT' WHEN c1 < 0.2 THEN 'BELOW_REJECT' ELSE 'GREY_BAND' END AS reason
+    FROM orders LEFT JOIN bad ON o_orderkey = bad.record_id LEFT JOIN a ON o_orderkey = a.record_id LEFT JOIN e ON o_orderkey = e.record_id)
+SELECT record_id, error, reason, CASE reason WHEN 'NO_CANDIDATES' THEN 'NO_MATCH' WHEN 'BELOW_REJECT' THEN 'NO_MATCH' WHEN 'NPI_EXACT' THEN 'MATCH' WHEN 'ABOVE_ACCEPT' THEN 'MATCH' WHEN NULL THEN NULL ELSE CASE WHEN reason IS NOT NULL THEN 'AMBIGUOUS' END END AS decision,
+  CASE WHEN reason IN ('NPI_EXACT', 'NPI_EXACT_CONFLICT') THEN xp WHEN reason IN ('THIN_MARGIN', 'ABOVE_ACCEPT', 'GREY_BAND') THEN p1 END AS provider_id, round(CASE reason WHEN 'NPI_EXACT' THEN greatest(xc, 0.9) WHEN 'NPI_EXACT_CONFLICT' THEN xc WHEN 'NO_CANDIDATES' THEN NULL ELSE c1 END, 9) AS confidence FROM r""")
+def isolated_decisions(spark, sf_dir):
+    """Decisions of the engine's own scoring, conflicts and routing; records with pairs that cannot be scored end with an error."""
+    k = F.col("l_partkey")
+    whole = F.array(*(F.expr(x).cast("int") for x in _LEVELS))
+    vector = F.when(k % 97 == 0, F.array(F.lit(9), *(F.lit(0) for _ in _SIZES[1:]))).when(k % 89 == 0, F.lit(None)).when(k % 83 == 0, F.array(*(F.lit(0),) * 3)).otherwise(whole)
+    kind = F.when((k % 79 == 0) & (k % 97 != 0) & (k % 89 != 0) & (k % 83 != 0), "person").otherwise("organization")
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), (F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("provider_id"), kind.alias("kind"), vector.alias("vector"), F.lit(False).alias("cross_type"))
+    records = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"))
+    out = decide.isolated(records, pairs, {"organization": decide.Bundle(_MODEL, _CURVE, 0.9, 0.2)})
+    return out.select("record_id", "error", "reason", "decision", "provider_id", F.round("confidence", 9).alias("confidence"))
+
+
+_GOOD = '{"decision": "MATCH", "provider_id": "P1", "confidence": 0.75, "evidence_cited": ["P1.npi"], "reasoning": "the number agrees"}'
+
+
+def _model(prompt: str) -> str:
+    """A stand-in that errs by the record's number: no JSON for multiples of 5, an unknown id for those of 3, no answer at all for those of 7; asked again, it mends those of 2."""
+    import json
+
+    asked = json.loads(prompt)
+    again = "refused_answer" in asked
+    number = json.loads(asked["prompt"])["n"] if again else asked["n"]
+    if number % 7 == 0 or (again and number % 11 == 0):
+        raise TimeoutError("no answer")
+    if again and number % 2 == 0:
+        return f"Sorry. {_GOOD}"
+    if number % 5 == 0:
+        return "I cannot tell."
+    return _GOOD.replace('"P1",', '"P9",') if number % 3 == 0 else f"```json\n{_GOOD}\n```"
+
+
+@query("""SELECT c_custkey AS record_id, CASE WHEN n % 7 = 0 THEN 'call_failed' WHEN (n % 5 = 0 OR n % 3 = 0) AND NOT (n % 2 = 0 AND n % 11 <> 0) THEN CASE WHEN n % 5 = 0 THEN 'no_json_found' ELSE 'provider_id_not_in_candidate_set' END END AS rejection,
+  n % 7 <> 0 AND (n % 5 = 0 OR n % 3 = 0) AND n % 11 <> 0 AS repaired, CASE WHEN n % 7 = 0 THEN 'TimeoutError: no answer' END AS error, CASE WHEN n % 7 <> 0 AND (n % 5 <> 0 OR (n % 2 = 0 AND n % 11 <> 0)) THEN 'MATCH' END AS said FROM (SELECT c_custkey, c_custkey % 500 AS n FROM customer)""")
+def repaired_answers(spark, sf_dir):
+    """Answers of a model that errs: refused ones are asked for once more, failed calls stay alone."""
+    c = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").select(c.alias("record_id"), F.array(F.lit("P1")).alias("allowed"), F.array(F.lit("P1.npi")).alias("evidence"), F.to_json(F.struct((c % 500).alias("n"))).alias("prompt"))
+    cache = spark.createDataFrame([], "cache_key string, answer string")
+    answers, _ = adjudicate.adjudicated(asked, cache, _model, "p", "m", "v1")
+    return answers.select("record_id", "rejection", "repaired", "error", F.col("answer_decision").alias("said"))

@@ -127,3 +127,22 @@ def test_stream_merge(spark, tmp_path):
     for _ in range(2):
         merge(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), 1)
     assert sorted((r["k"], r["v"], r["is_current"], r["version"]) for r in spark.read.parquet(f"{tmp_path}/m/v=1").select("k", "v", "is_current", "version").collect()) == [(1, "a", True, 0), (2, "b", False, 0), (2, "c", True, 1), (3, "d", True, 1)]
+
+
+def test_stream_merge_of_repeated_keys_and_skipped_batches(spark, tmp_path):
+    merge = streams.merging(f"{tmp_path}/m", ["k"], ["v"])
+    merge(spark.createDataFrame([(1, "b"), (1, "a")] * 3, "k int, v string").repartition(3), 2)
+    merge(spark.createDataFrame([(1, "c")], "k int, v string"), 7)
+    assert sorted((r["v"], r["is_current"], r["version"]) for r in spark.read.parquet(f"{tmp_path}/m/v=7").collect()) == [("a", False, 2), ("c", True, 7)]
+
+
+def test_stream_log_holds_only_changes(spark, tmp_path):
+    root = f"{tmp_path}/log"
+    merge = streams.appending(root, ["k"], ["v"], [F.desc("at")])
+    batch = lambda *rows: spark.createDataFrame(rows, "k int, v string, at int")
+    assert streams.versions(spark, root, ["k"]) is None
+    merge(batch((1, "a", 1), (2, "b", 1), (2, "c", 2), (4, None, 1)), 0)
+    for _ in range(2):
+        merge(batch((2, "c", 9), (1, "z", 3), (3, "d", 3), (4, None, 5)), 5)
+    got = sorted((r["k"], r["v"], r["is_current"], r["version"]) for r in streams.versions(spark, root, ["k"]).collect())
+    assert got == [(1, "a", False, 0), (1, "z", True, 5), (2, "c", True, 0), (3, "d", True, 5), (4, None, True, 0)]
