@@ -133,6 +133,12 @@ def adjudicated(asked: DataFrame, cache: DataFrame, ask: Callable[[str], str], p
     return answers, fresh.unionByName(more).where("error is null").select("cache_key", "answer")
 
 
+def nobody(asked: DataFrame) -> DataFrame:
+    """Answers where no model is there: every record abstains and stays where the engine left it."""
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    return asked.select("record_id", F.lit("adjudicator_unavailable").alias("rejection"), null("answer_decision", "string"), null("answer_provider_id", "string"), null("answer_confidence", "double"), null("error", "string"), F.lit(False).alias("repaired"))
+
+
 def adjudication_counts(answers: DataFrame) -> DataFrame:
     """One row: calls, taken, matched, second rounds, abstentions, and a map of rejections."""
     per = answers.groupBy("rejection").agg(F.count("*").alias("n"), F.count_if("repaired").alias("again"), F.count_if(F.col("rejection").isNull() & (F.col("answer_decision") == "MATCH")).alias("hits"))

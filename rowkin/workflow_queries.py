@@ -145,7 +145,7 @@ _SIZES = [len(x) for x in FIELDS["organization"].values()]
 _LEVELS = [f"(l_partkey * {3 + 2 * i} + l_linenumber * {i + 1}) % {n}" for i, n in enumerate(_SIZES)]
 _MODEL = learn.Model("organization", [[(2 * k + 1) / n**2 for k in range(n)] for n in _SIZES], [[(2 * (n - k) - 1) / n**2 for k in range(n)] for n in _SIZES], 0.1)
 _CURVE = [(-6.0, 0.05), (0.0, 0.4), (6.0, 0.97)]
-_BITS = " + ".join("CASE v[%d] %s END" % (i + 1, " ".join(f"WHEN {k} THEN {b!r}" for k, b in enumerate(bits))) for i, bits in enumerate(_MODEL.weights()))
+_BITS = " + ".join("CASE v[%d] %s END" % (i + 1, " ".join(f"WHEN {k} THEN {b!r}::DOUBLE" for k, b in enumerate(bits))) for i, bits in enumerate(_MODEL.weights()))
 _STATE = list(FIELDS["organization"]).index("state")
 
 
