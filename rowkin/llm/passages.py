@@ -144,13 +144,16 @@ def context_rows(named: DataFrame, seeds: DataFrame) -> DataFrame:
                 words, starts = word_hashes(texts[x:y], keep=True)
                 shingles = np.maximum((rolled(words) >> np.uint64(32)).astype("<u4"), 2)  # 0 and 1 stand for no word
                 out: tuple[list, ...] = ([], [], [], [], [], [])
-                for i in range(x, y):
+                for i in range(x, y):  # a text may be asked for many contexts: they leave as they come
                     own = shingles[int(starts[i - x]) : int(starts[i - x + 1]) - WORDS + 1]
                     for place, source, there in zip(*(f.to_pylist() for f in asked[i].values.flatten()), strict=True):
                         low = max(0, place - CONTEXT)
                         key = (None, None, rows[i], place) if source is None else (rows[i], place, source, there)
                         for column, value in zip(out, (*key, place - low, own[low : place + CONTEXT + 1].tobytes()), strict=True):
                             column.append(value)
+                        if len(out[0]) == ALIGNED:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+                            out = ([], [], [], [], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
         forget_words()
 
@@ -292,8 +295,8 @@ def pair_keys(shared: DataFrame, asked: DataFrame) -> DataFrame:
             rows, orders = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             at = (text << 32) + place
             low, high = np.searchsorted(at, at + NEAR), np.searchsorted(at, at + FAR, "right")
-            for x in range(0, len(at), 1 << 16):
-                n = (high - low)[x : x + (1 << 16)]
+            for x in range(0, len(at), 1 << 13):
+                n = (high - low)[x : x + (1 << 13)]
                 i = np.repeat(np.arange(x, x + len(n)), n)
                 j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]
                 both = mix64(mix64(band[i].view(np.uint64)) * np.uint64(3) + band[j].view(np.uint64))
@@ -364,8 +367,9 @@ def removals(rows: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFr
     asked, asked_path = stored(shared.join(nothing(spans), ["row", "place"], "left_semi").select("band").distinct(), "asked")
     pairs, pairs_path = stored(pair_keys(shared, asked), "pairs")
     far, far_path = starred(pairs)
-    tried = seeds.select("row", "place", "from")
-    beyond, beyond_path = stored(thinned(far.select("row", "ord", "place", "from", "there").distinct().join(tried, ["row", "place", "from"], "left_anti")), "beyond")
+    step = [F.col("row"), F.col("from"), (F.col("place") - F.col("there")).alias("_shift"), F.expr(f"place div {STRIDE}").alias("_step")]
+    beyond = thinned(far.select("row", "ord", "place", "from", "there")).select("*", *step[2:]).join(seeds.select(*step), ["row", "from", "_shift", "_step"], "left_anti")  # less what was aligned before
+    beyond, beyond_path = stored(beyond.select("row", "place", "from", "there", "ord"), "beyond")
     for path in (shared_path, asked_path, pairs_path, far_path):
         forget(spark, path)
     wider, wider_path = stored(context_rows(named, beyond), "contexts")
