@@ -6,7 +6,8 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from rowkin.functions import text as T
-from rowkin.operators import decide, ingest, listings, runs, search, stats
+from rowkin.operators import adjudicate, decide, ingest, listings, runs, search, stats
+from rowkin.plans import assistant
 from rowkin.queries import query, table
 from rowkin.sources import tables
 
@@ -161,3 +162,62 @@ def derived_keys(spark, sf_dir):
     k = F.col("c_custkey")
     cells = {"last_name": F.concat(F.lit("  "), "c_mktsegment"), "first_name": F.lit("X   y "), "organization_name": _EMPTY, "npi": F.when(k % 2 == 0, k.cast("string")), "dob": _EMPTY, "state": F.lit("TX"), "exclusion_date": F.when(k % 3 == 0, F.to_date(F.concat(F.lit("2024-05-0"), (1 + k % 9).cast("string"))))}
     return table(spark, sf_dir, "customer").select("c_custkey", ingest.derived_key(F.lit(" Board "), lambda name: cells[name]).alias("record_key"))
+
+
+@query("""WITH rec AS (SELECT c_custkey AS record_id, CASE WHEN c_custkey % 3 = 0 THEN 'Org ' || c_custkey WHEN c_custkey % 3 = 1 THEN 'Ann Lee' END AS subject FROM customer)
+SELECT 'matches' AS view, o_orderkey AS k, subject AS name, NULL AS phase FROM orders JOIN rec ON o_custkey = record_id WHERE o_orderkey % 4 <> 0
+UNION ALL SELECT 'cases', p_partkey, NULL, CASE WHEN p_size % 3 = 0 AND DATE '2024-01-01' + CAST(p_size AS INTEGER) > DATE '2024-01-20' THEN 'PENDING' WHEN p_size % 3 = 0 THEN 'ACTIVE' ELSE 'CLOSED' END FROM part
+UNION ALL SELECT 'providers', s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'Bo B Ray Jr' END, NULL FROM supplier UNION ALL SELECT 'sanctions', record_id, subject, NULL FROM rec UNION ALL SELECT 'runs', n_nationkey, 'v' || n_regionkey, NULL FROM nation""")
+def assistant_views(spark, sf_dir):
+    """The five views that questions may read: current rows, names in one column, phases, versions of configs."""
+    text = lambda name: _EMPTY.alias(name)
+    k, c, s = F.col("o_orderkey"), F.col("c_custkey"), F.col("s_suppkey")
+    matches = table(spark, sf_dir, "orders").select(k.alias("result_id"), F.col("o_custkey").alias("record_id"), F.when(k % 4 == 0, k + 1).alias("superseded_by"))
+    sanctions = table(spark, sf_dir, "customer").select(c.alias("record_id"), F.lit("A").alias("source_authority"), F.when(c % 3 == 0, F.concat(F.lit("Org "), c.cast("string"))).alias("organization_name"), F.when(c % 3 == 1, "Ann").alias("first_name"), text("middle_name"), F.when(c % 3 == 1, "Lee").alias("last_name"), text("suffix"), F.lit(False).alias("is_organization"), text("npi"), text("state"), text("sanction_type"), F.lit(None).cast("date").alias("exclusion_date"), F.lit(None).cast("date").alias("reinstatement_date"))
+    cases = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("case_id"), F.when(F.col("p_size") % 3 == 0, "ACTIVE").otherwise("CLOSED").alias("status"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int")).alias("start_date"))
+    named = lambda value: F.when(s % 2 == 1, value)
+    providers = table(spark, sf_dir, "supplier").select(s.alias("provider_id"), F.when(s % 2 == 0, F.col("s_name")).alias("organization_name"), named("Bo").alias("first_name"), named("B").alias("middle_name"), named("Ray").alias("last_name"), named("Jr").alias("suffix"), text("npi"), F.lit(False).alias("is_organization"), text("city"), text("state"), text("specialty"), text("status"))
+    own_runs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run_id"), F.col("n_regionkey").alias("config_id"))
+    configs = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("config_id"), F.concat(F.lit("v"), F.col("r_regionkey").cast("string")).alias("version"))
+    views = assistant.views(matches, sanctions, cases, providers, own_runs, configs, F.lit("2024-01-20").cast("date"))
+    show = lambda view, key, name=_EMPTY, phase=_EMPTY: views[f"assistant_{view}"].select(F.lit(view).alias("view"), F.col(key).cast("long").alias("k"), name.alias("name"), phase.alias("phase"))
+    parts = [show("matches", "result_id", F.col("subject_name")), show("cases", "case_id", phase=F.col("phase")), show("providers", "provider_id", F.col("full_name")), show("sanctions", "record_id", F.col("subject_name")), show("runs", "run_id", F.col("config_version"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("SELECT event_id, round(CASE event_id % 3 WHEN 0 THEN (user_id * 2.5 + event_id % 100 * 10.0) / 1000000 WHEN 1 THEN (user_id * 0.15 + event_id % 100 * 0.6) / 1000000 ELSE 0 END::DOUBLE, 12) AS cost FROM events")
+def call_costs(spark, sf_dir):
+    """Prices of calls; an unknown model costs nothing."""
+    e = F.col("event_id")
+    model = F.when(e % 3 == 0, "large").when(e % 3 == 1, "small").otherwise("other")
+    return table(spark, sf_dir, "events").select("event_id", F.round(adjudicate.cost(model, F.col("user_id"), e % 100, {"large": (2.5, 10.0), "small": (0.15, 0.6)}), 12).alias("cost"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS record_id, 'prompt ' || o_custkey % 40 AS prompt, sha256('p' || chr(31) || 'm' || chr(31) || 'v1' || chr(31) || 'prompt ' || o_custkey % 40) AS cache_key, o_custkey % 40 AS n FROM orders)
+SELECT record_id, cache_key, CASE WHEN n % 3 = 0 THEN 'stored ' || n ELSE 'PROMPT ' || n END AS answer FROM a""")
+def cached_answers(spark, sf_dir):
+    """Answers from the cache, and of the model for prompts that it lacks, each asked once."""
+    n = F.col("o_custkey") % 40
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.concat(F.lit("prompt "), n.cast("string")).alias("prompt"))
+    stored = table(spark, sf_dir, "orders").select(n.alias("n")).distinct().where("n % 3 = 0").select(adjudicate.cache_key("p", "m", "v1", F.concat(F.lit("prompt "), F.col("n").cast("string"))).alias("cache_key"), F.concat(F.lit("stored "), F.col("n").cast("string")).alias("answer"))
+    return adjudicate.answered(asked, stored, str.upper, "p", "m", "v1")[0].select("record_id", "cache_key", "answer")
+
+
+@query("SELECT o_orderkey AS entity_id, 'case.closed' AS action, 'case' AS entity_type, 'system' AS actor, '{\"status\":\"' || o_orderstatus || '\"}' AS before, '{\"status\":\"CLOSED\",\"by\":' || o_custkey || '}' AS after FROM orders")
+def audit_log(spark, sf_dir):
+    """Rows of the audit log for a batch of changes."""
+    rows = table(spark, sf_dir, "orders")
+    out = tables.audit_rows(rows, "case.closed", "case", F.col("o_orderkey"), F.struct(F.col("o_orderstatus").alias("status")), F.struct(F.lit("CLOSED").alias("status"), F.col("o_custkey").alias("by")))
+    return out.withColumn("entity_id", F.col("entity_id").cast("long"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'P' || o_custkey % 5 END AS one FROM orders)
+SELECT o_orderkey, concat_ws(',', one, CASE WHEN o_orderkey % 3 = 0 AND one IS DISTINCT FROM 'P1' THEN 'P1' END, CASE WHEN o_orderkey % 3 = 0 AND one IS DISTINCT FROM 'P0' THEN 'P0' END) AS expected FROM r""")
+def expected_sets(spark, sf_dir):
+    """Expected master rows of each record: the named one, then those of its scenario, once each."""
+    k = F.col("o_orderkey")
+    one = F.when(k % 2 == 0, F.concat(F.lit("P"), (F.col("o_custkey") % 5).cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(listings.expected_set(one, F.when(k % 3 == 0, F.array(F.lit("P1"), F.lit("P0")))), ",").alias("expected"))
