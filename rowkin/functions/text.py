@@ -90,9 +90,9 @@ def person_name(first: Column, middle: Column, last: Column, suffix: Column | No
 # --- organizations ----------------------------------------------------------
 
 
-def org_name(value: Column) -> Column:
-    """struct(name, legal_form): legal forms leave the end (the outermost names it), acronyms are expanded."""
-    plain = F.replace(F.replace(fold(value), F.lit("&"), F.lit(" AND ")), F.lit("."), F.lit(""))
+def org_name(value: Column, unicode: bool = True) -> Column:
+    """struct(name, legal_form): legal forms leave the end (the outermost names it), acronyms are expanded. ``unicode``: see ``fold``."""
+    plain = F.replace(F.replace(fold(value, unicode), F.lit("&"), F.lit(" AND ")), F.lit("."), F.lit(""))
     forms, long = lex.map_column(lex.LEGAL_MAP), lex.map_column(lex.ACRONYM_MAP)
     none = F.struct(F.lit(True).alias("on"), F.lit(0).alias("n"))
     ends = lambda s, t: let(s["on"] & forms[t].isNotNull(), lambda on: F.struct(on.alias("on"), (s["n"] + on.cast("int")).alias("n")))

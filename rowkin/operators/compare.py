@@ -15,9 +15,11 @@ ADDRESS_SET, NAME_SET = 0.90, 0.90
 
 
 def with_metric(pairs: DataFrame, udf, a: Column, b: Column, where: Column, out: str) -> DataFrame:
-    """Adds a metric of two string columns, 0 for rows that do not need it. Nothing is shuffled, and several metrics share one pass of Arrow batches."""
+    """Adds a metric of two string columns, 0 for rows that do not need it. Nothing is shuffled; a pair that a batch repeats is computed once."""
     need = where & (a != "") & (b != "")
-    return pairs.withColumn(out, udf(F.when(need, a), F.when(need, b)))
+    names = pairs.columns
+    asked = pairs.select(*names, F.when(need, a).alias("_a"), F.when(need, b).alias("_b"))
+    return asked.select(*names, udf("_a", "_b").alias(out))
 
 
 def _levels(kind: str, field: str):
@@ -114,8 +116,8 @@ def vectors(found: DataFrame, records: DataFrame, master: DataFrame) -> DataFram
     pairs = pairs.withColumn("kind", F.when(org, "organization").otherwise("individual"))
 
     def as_organization(x: Column) -> Column:
-        """A person against an organization is compared as one: the whole name is its legal name."""
-        return F.when(x["is_organization"], x).otherwise(let(T.org_name(x["name_norm"])["name"], lambda name: x.withField("org_name_norm", name).withField("org_acronym_key", T.org_acronym(name))))
+        """A person against an organization is compared as one: the whole name, which is folded by now, is its legal name."""
+        return F.when(x["is_organization"], x).otherwise(let(T.org_name(x["name_norm"], unicode=False)["name"], lambda name: x.withField("org_name_norm", name).withField("org_acronym_key", T.org_acronym(name))))
 
     pairs = pairs.withColumn("r", F.when(org, as_organization(r)).otherwise(r)).withColumn("p", F.when(org, as_organization(p)).otherwise(p))
     r, p = F.col("r"), F.col("p")

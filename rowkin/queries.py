@@ -675,7 +675,7 @@ def record_key(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from rowkin import intake_queries, learning_queries, listing_queries, record_queries, state_queries, workflow_queries  # noqa: F401  (register their own)
+    from rowkin import intake_queries, learning_queries, listing_queries, record_queries, state_queries, vector_queries, workflow_queries  # noqa: F401  (register their own)
 
     return dict(QUERIES)
 
