@@ -29,12 +29,15 @@ FORMS = {
     "unit": [("12 N Main St Apt 4B", "APT 4B"), ("500 Oak Blvd.", ""), ("9 Elm Ct Suite 5", "SUITE 5")],
     "box": [("P.O. Box 77", "77"), ("500 Oak Blvd.", ""), ("PO BOX", "UNKNOWN")],
 }
-_EMPTY = F.lit(None).cast("string")
+
+
+def _empty() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _form(name: str, v: Column) -> Column:
-    address = lambda part: T.address(v, _EMPTY, _EMPTY, _EMPTY, _EMPTY)[part]
-    person = lambda part: T.person_name(v, _EMPTY, _EMPTY)[part]
+    address = lambda part: T.address(v, _empty(), _empty(), _empty(), _empty())[part]
+    person = lambda part: T.person_name(v, _empty(), _empty())[part]
     return {
         "ein": lambda: T.ein(v), "state": lambda: T.state(v), "zip5": lambda: T.zip5(v), "license_number": lambda: T.license_number(v), "org": lambda: T.org_name(v)["name"], "legal_form": lambda: T.org_name(v)["legal_form"],
         "acronym": lambda: T.org_acronym(v), "ordered": lambda: person("ordered"), "sorted": lambda: person("sorted"), "given": lambda: T.given_name(v), "npi": lambda: T.npi(v)["status"], "year": lambda: T.four_digit_year(v.cast("int")).cast("string"),
@@ -60,7 +63,7 @@ SELECT 'name' AS asked, k FROM r WHERE contains(record_id, 'Mer#00000001') OR co
 def sanction_search(spark, sf_dir):
     """Records by part of the name in any case, of the key, and of the identifier."""
     k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(k.alias("k"), F.col("c_name").alias("organization_name"), _EMPTY.alias("first_name"), _EMPTY.alias("last_name"), F.concat(F.lit("R"), k.cast("string")).alias("record_id"), F.when(k % 2 == 0, (1000000000 + k).cast("string")).alias("npi"))
+    rows = table(spark, sf_dir, "customer").select(k.alias("k"), F.col("c_name").alias("organization_name"), _empty().alias("first_name"), _empty().alias("last_name"), F.concat(F.lit("R"), k.cast("string")).alias("record_id"), F.when(k % 2 == 0, (1000000000 + k).cast("string")).alias("npi"))
     out = None
     for name, asked in (("name", "Mer#00000001"), ("key", "R12"), ("npi", "00077")):
         one = rows.where(search.sanctions(asked)).select(F.lit(name).alias("asked"), "k")
@@ -160,7 +163,7 @@ def banded_baseline(spark, sf_dir):
 def derived_keys(spark, sf_dir):
     """Keys of uploaded rows that bring none."""
     k = F.col("c_custkey")
-    cells = {"last_name": F.concat(F.lit("  "), "c_mktsegment"), "first_name": F.lit("X   y "), "organization_name": _EMPTY, "npi": F.when(k % 2 == 0, k.cast("string")), "dob": _EMPTY, "state": F.lit("TX"), "exclusion_date": F.when(k % 3 == 0, F.to_date(F.concat(F.lit("2024-05-0"), (1 + k % 9).cast("string"))))}
+    cells = {"last_name": F.concat(F.lit("  "), "c_mktsegment"), "first_name": F.lit("X   y "), "organization_name": _empty(), "npi": F.when(k % 2 == 0, k.cast("string")), "dob": _empty(), "state": F.lit("TX"), "exclusion_date": F.when(k % 3 == 0, F.to_date(F.concat(F.lit("2024-05-0"), (1 + k % 9).cast("string"))))}
     return table(spark, sf_dir, "customer").select("c_custkey", ingest.derived_key(F.lit(" Board "), lambda name: cells[name]).alias("record_key"))
 
 
@@ -170,7 +173,7 @@ UNION ALL SELECT 'cases', p_partkey, NULL, CASE WHEN p_size % 3 = 0 AND DATE '20
 UNION ALL SELECT 'providers', s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'Bo B Ray Jr' END, NULL FROM supplier UNION ALL SELECT 'sanctions', record_id, subject, NULL FROM rec UNION ALL SELECT 'runs', n_nationkey, 'v' || n_regionkey, NULL FROM nation""")
 def assistant_views(spark, sf_dir):
     """The five views that questions may read: current rows, names in one column, phases, versions of configs."""
-    text = lambda name: _EMPTY.alias(name)
+    text = lambda name: _empty().alias(name)
     k, c, s = F.col("o_orderkey"), F.col("c_custkey"), F.col("s_suppkey")
     matches = table(spark, sf_dir, "orders").select(k.alias("result_id"), F.col("o_custkey").alias("record_id"), F.when(k % 4 == 0, k + 1).alias("superseded_by"))
     sanctions = table(spark, sf_dir, "customer").select(c.alias("record_id"), F.lit("A").alias("source_authority"), F.when(c % 3 == 0, F.concat(F.lit("Org "), c.cast("string"))).alias("organization_name"), F.when(c % 3 == 1, "Ann").alias("first_name"), text("middle_name"), F.when(c % 3 == 1, "Lee").alias("last_name"), text("suffix"), F.lit(False).alias("is_organization"), text("npi"), text("state"), text("sanction_type"), F.lit(None).cast("date").alias("exclusion_date"), F.lit(None).cast("date").alias("reinstatement_date"))
@@ -180,7 +183,7 @@ def assistant_views(spark, sf_dir):
     own_runs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run_id"), F.col("n_regionkey").alias("config_id"))
     configs = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("config_id"), F.concat(F.lit("v"), F.col("r_regionkey").cast("string")).alias("version"))
     views = assistant.views(matches, sanctions, cases, providers, own_runs, configs, F.lit("2024-01-20").cast("date"))
-    show = lambda view, key, name=_EMPTY, phase=_EMPTY: views[f"assistant_{view}"].select(F.lit(view).alias("view"), F.col(key).cast("long").alias("k"), name.alias("name"), phase.alias("phase"))
+    show = lambda view, key, name=None, phase=None: views[f"assistant_{view}"].select(F.lit(view).alias("view"), F.col(key).cast("long").alias("k"), (_empty() if name is None else name).alias("name"), (_empty() if phase is None else phase).alias("phase"))
     parts = [show("matches", "result_id", F.col("subject_name")), show("cases", "case_id", phase=F.col("phase")), show("providers", "provider_id", F.col("full_name")), show("sanctions", "record_id", F.col("subject_name")), show("runs", "run_id", F.col("config_version"))]
     out = parts[0]
     for part in parts[1:]:
