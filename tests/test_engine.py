@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowkin import queries
 from rowkin.functions import text as T
 from rowkin.functions.metrics import jaro_winkler, token_set
-from rowkin.functions.phonetics import double_metaphone, sound_keys
+from rowkin.functions.phonetics import sound_keys
 from rowkin.operators import decide, learn, runs
 
 DATA = "/root/testdata/sf0.001"
