@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowkin.functions import text as T
 from rowkin.functions.metrics import jaro_winkler_udf, token_set_udf
 from rowkin.functions.text import let
+from rowkin.operators.blocking import by_rows
 from rowkin.schema import FIELDS, level
 
 HIGH, LOW = 0.92, 0.85
@@ -109,7 +110,7 @@ def trade_name(p: Column, q: Column, overlaps: list[Column]) -> Column:
 
 def vectors(found: DataFrame, records: DataFrame, master: DataFrame) -> DataFrame:
     """Candidates with ``kind`` (organization where either side is one) and ``vector``, level codes in the order of FIELDS."""
-    whole = lambda df, name: df.select(F.col("record_id").alias(f"{name}_id"), F.struct(*df.columns).alias(name))
+    whole = lambda df, name: by_rows(df.select(F.col("record_id").alias(f"{name}_id"), F.struct(*df.columns).alias(name)))
     pairs = found.join(whole(records, "r"), found["record_id"] == F.col("r_id")).join(whole(master, "p"), F.col("provider_id") == F.col("p_id")).drop("r_id", "p_id")
     r, p = F.col("r"), F.col("p")
     org = r["is_organization"] | p["is_organization"]

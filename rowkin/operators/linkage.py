@@ -23,7 +23,7 @@ def prepared(providers: DataFrame, sanctions: DataFrame, cap: int = blocking.CAP
 
 def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Pairs with ``label``: 1 if the truth names that provider for the record, else 0. truth: record_id, expected_id."""
-    return pairs.join(truth.select("record_id", "expected_id"), "record_id", "left").withColumn("label", F.coalesce((F.col("provider_id") == F.col("expected_id")).cast("int"), F.lit(0))).drop("expected_id")
+    return pairs.join(blocking.by_rows(truth.select("record_id", "expected_id")), "record_id", "left").withColumn("label", F.coalesce((F.col("provider_id") == F.col("expected_id")).cast("int"), F.lit(0))).drop("expected_id")
 
 
 def fitted(pairs: DataFrame, truth: DataFrame, holdout: float = 0.3, precision: float = 0.99, recall: float = 0.99) -> dict[str, decide.Bundle]:

@@ -63,3 +63,11 @@ def test_query_equals_sql_where_keys_are_heavy(spark, copies, name):
     got = queries.queries()[name](spark, folder)
     columns = ", ".join(f'"{c}"' for c in got.columns)
     assert plain(got.collect()) == plain(con.execute(f"SELECT {columns} FROM ({queries.oracle_sql()[name]})").fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["pair_vectors", "block_contribution"])
+def test_row_sized_tables_are_not_broadcast(spark, name):
+    """Files of records are small against their rows; joins with them must not send them through the driver."""
+    plan = queries.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
