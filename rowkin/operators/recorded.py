@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.functions.text import hash_share
+from rowkin.operators.blocking import by_rows
 from rowkin.sources.commits import Store
 from rowkin.sources.tables import audit_rows
 from rowkin.storage import staged
@@ -36,7 +37,7 @@ def current_results(store: Store, before: str | None = None) -> DataFrame:
     results, links = read(store, "results"), read(store, "supersedes")
     if before is not None:
         results, links = results.where(F.col("run_id") != before), links.where(F.col("run_id") != before)
-    return results.join(links.select(F.col("old_id").alias("result_id")), "result_id", "left_anti")
+    return results.join(by_rows(links.select(F.col("old_id").alias("result_id"))), "result_id", "left_anti")
 
 
 def live_cases(store: Store, cases: DataFrame, before: str | None = None) -> DataFrame:
@@ -45,7 +46,7 @@ def live_cases(store: Store, cases: DataFrame, before: str | None = None) -> Dat
     if before is not None:
         flags = flags.where(F.col("run_id") != before)
     last = flags.groupBy("case_id").agg(F.max("result_id").alias("conflict_result_id"))  # a case is flagged once
-    joined = cases.where("status = 'ACTIVE'").join(last, "case_id", "left")
+    joined = cases.where("status = 'ACTIVE'").join(by_rows(last), "case_id", "left")
     return joined.withColumn("conflict_flag", F.coalesce("conflict_flag", F.lit(False)) | F.col("conflict_result_id").isNotNull())
 
 
@@ -71,25 +72,27 @@ def write_run(store: Store, run_id: str, decisions: DataFrame, candidates: DataF
         raise ValueError(f"record keys shared by several rows of the scope: {', '.join(str(r[0]) for r in shared)}")
     missing = [k for k in range(chunks) if f"run:{run_id}:{k}:{chunks}" not in store.tags()]
     if missing:
-        known = shaped(decisions, DECISIONS).join(scope, "record_id", "left")
+        known = shaped(decisions, DECISIONS).join(by_rows(scope), "record_id", "left")
         has = candidates.select("record_id").distinct().withColumn("_has", F.lit(True))
-        rows = known.join(has, "record_id", "left").withColumn("_k", F.pmod(F.xxhash64("record_id"), F.lit(chunks)))
+        rows = known.join(by_rows(has), "record_id", "left").withColumn("_k", F.pmod(F.xxhash64("record_id"), F.lit(chunks))).where(F.col("_k").isin(missing))
         drawn = (F.col("decision") == "NO_MATCH") & F.coalesce("_has", F.lit(False)) & (hash_share(F.lit(f"{run_id}:"), F.col("record_id").cast("string")) < audit_rate)
-        rows = rows.withColumn("audit_sampled", drawn).withColumn("result_id", F.left(F.sha2(F.concat_ws("\x1f", F.lit(run_id), "source_authority", F.col("record_id").cast("string")), 256), F.lit(32)))
-        rows = rows.withColumn("run_id", F.lit(run_id)).withColumn("created_at", created_at if created_at is not None else F.current_timestamp())
+        rows = rows.withColumn("audit_sampled", drawn).withColumn("run_id", F.lit(run_id)).withColumn("created_at", created_at if created_at is not None else F.current_timestamp())
         rows = staged(rows, "decided")
-        listed = staged(candidates.join(rows.where("source_authority is not null").select("record_id", "result_id", "_k"), "record_id"), "listed")
-        past = staged(current_results(store, run_id).select("source_authority", "record_id", F.col("result_id").alias("old_id"), F.col("decision").alias("_d"), F.col("provider_id").alias("_p")), "past")
-        open_cases = staged(live_cases(store, cases, run_id).where("not conflict_flag").select("case_id", F.coalesce("source_authority", F.lit("")).alias("source_authority"), "record_id"), "cases")
+        # Ids are hashes of what rows hold: they are made where rows are written and do not travel.
+        named = lambda df: df.withColumn("result_id", F.left(F.sha2(F.concat_ws("\x1f", F.lit(run_id), "source_authority", F.col("record_id").cast("string")), 256), F.lit(32)))
+        met = rows.where("source_authority is not null")
+        listed = staged(candidates.join(by_rows(met.select("record_id", "source_authority", "_k")), "record_id"), "listed")
+        past = current_results(store, run_id).select("source_authority", "record_id", F.col("result_id").alias("old_id"), F.col("decision").alias("_d"), F.col("provider_id").alias("_p"))
+        replaced = staged(met.select("source_authority", "record_id", "decision", "provider_id", "_k").join(by_rows(past), ["source_authority", "record_id"]), "replaced")
+        open_cases = live_cases(store, cases, run_id).where("not conflict_flag").select("case_id", F.coalesce("source_authority", F.lit("")).alias("source_authority"), "record_id")
+        differs = ~(F.col("decision").eqNullSafe(F.col("_d")) & F.col("provider_id").eqNullSafe(F.col("_p")))
+        flagged = staged(replaced.where(differs).join(by_rows(open_cases), ["source_authority", "record_id"]), "flagged")
         for k in missing:
-            own = rows.where((F.col("_k") == k) & F.col("source_authority").isNotNull())
-            after = own.join(past, ["source_authority", "record_id"])
-            differs = ~(F.col("decision").eqNullSafe(F.col("_d")) & F.col("provider_id").eqNullSafe(F.col("_p")))
-            hit = after.where(differs).join(open_cases, ["source_authority", "record_id"])
+            of = lambda df: named(df.where((F.col("_k") == k) & F.col("source_authority").isNotNull())).withColumn("run_id", F.lit(run_id))  # noqa: B023, E731
+            own, after, hit, pairs = of(rows), of(replaced), of(flagged), of(listed)
             said = lambda d, p, r, *more: F.struct(F.col(d).alias("decision"), F.col(p).alias("provider_id"), F.col(r).alias("result_id"), *more)
             by_model = audit_rows(own.where("route = 'LLM'"), "match.ai_decided", "match_result", F.col("result_id"), F.lit(None).cast("struct<decision:string>"), said("decision", "provider_id", "result_id", F.col("confidence"), F.col("call_key")))
             by_conflict = audit_rows(hit, "case.conflict_flagged", "case", F.col("case_id"), said("_d", "_p", "old_id"), said("decision", "provider_id", "result_id"))
-            pairs = listed.where(F.col("_k") == k)
             tables = {
                 "results": own,
                 "candidates": pairs,
