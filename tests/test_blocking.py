@@ -71,3 +71,15 @@ def test_row_sized_tables_are_not_broadcast(spark, name):
     """Files of records are small against their rows; joins with them must not send them through the driver."""
     plan = queries.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_best_hits_of_null_ids_and_payloads(spark):
+    """Records without an id keep their hits; payloads of several rows multiply them, as joins do."""
+    left = spark.createDataFrame([(None, "license", "A"), (None, "state_dob", "x"), (1, "state_dob", "x"), (2, "license", "A")], "record_id long, block string, key string")
+    right = spark.createDataFrame([(10 + i, i, "state_dob", "x") for i in range(12)] + [(30, 99, "license", "A")], "record_id long, ordinal long, block string, key string")
+    got = sorted(map(tuple, blocking.best_hits(left, right, 3, light=8).select("record_id", "other_id", "blocks", "rank").collect()), key=str)
+    of = lambda who: [(o, b, r) for w, o, b, r in got if w == who]
+    assert of(2) == [(30, ["license"], 1)] and of(1) == [(10 + i, ["state_dob"], i + 1) for i in range(3)]
+    assert of(None) == [(10 + i, ["state_dob"], i + 1) for i in range(3)]
+    paid = blocking.best_hits(left, right, 3, spark.createDataFrame([(1, "p"), (1, "q")], "id long, more string"))
+    assert sorted(map(tuple, paid.select("record_id", "other_id", "more").collect())) == sorted((1, 10 + i, m) for i in range(3) for m in "pq")
