@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -73,6 +74,15 @@ def test_row_sized_tables_are_not_broadcast(spark, name):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["block_contribution"])
+def test_the_true_ones_are_told_where_candidates_are_listed(spark, name):
+    """Whether a candidate is the expected row is seen in its own columns; only such rows, or none, are dealt by pairs after that."""
+    plan = queries.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"= [^ ,]*expected_id", plan)
+    assert name != "block_contribution" or not re.search(r"hashpartitioning\(record_id#\w+, provider_id#", plan)
+
+
 def test_best_hits_of_null_ids_and_payloads(spark):
     """Records without an id keep their hits; payloads of several rows multiply them, as joins do."""
     left = spark.createDataFrame([(None, "license", "A"), (None, "state_dob", "x"), (1, "state_dob", "x"), (2, "license", "A")], "record_id long, block string, key string")
