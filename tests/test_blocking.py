@@ -75,7 +75,7 @@ def test_row_sized_tables_are_not_broadcast(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["block_contribution"])
+@pytest.mark.parametrize("name", ["block_contribution", "block_recall", "block_misses"])
 def test_the_true_ones_are_told_where_candidates_are_listed(spark, name):
     """Whether a candidate is the expected row is seen in its own columns; only such rows, or none, are dealt by pairs after that."""
     plan = queries.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
