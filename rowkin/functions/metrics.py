@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -29,6 +33,7 @@ def jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 
+@lru_cache(maxsize=65536)
 def jaro_winkler(a: str | None, b: str | None) -> float:
     """Jaro with a bonus of 0.1 for each of up to four common first letters, from 0.7 on; 0 for empty values."""
     a, b = a or "", b or ""
@@ -57,6 +62,7 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+@lru_cache(maxsize=65536)
 def token_set(a: str | None, b: str | None) -> float:
     """Best indel ratio of common words, and common words with each side's other words; 1 if one side has no other."""
     x, y = set((a or "").split()), set((b or "").split())
@@ -74,14 +80,14 @@ def token_set(a: str | None, b: str | None) -> float:
 
 def _each(metric, a: pa.Array, b: pa.Array) -> pa.Array:
     """The metric of each row; a pair that a batch repeats is computed once, and a row without both strings is 0."""
-    seen: dict[tuple, float] = {}
-    out = []
-    for pair in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        value = seen.get(pair)
-        if value is None:
-            value = seen[pair] = 0.0 if pair[0] is None or pair[1] is None else metric(*pair)
-        out.append(value)
-    return pa.array(out, pa.float64())
+    both = pc.and_(a.is_valid(), b.is_valid())
+    if not pc.any(both).as_py():
+        return pa.array(np.zeros(len(a)))
+    x, y = a.dictionary_encode(), b.dictionary_encode()
+    pairs = pc.add(pc.multiply(x.indices.cast(pa.int64()), len(y.dictionary)), y.indices.cast(pa.int64())).dictionary_encode()
+    left, right = x.dictionary.to_pylist(), y.dictionary.to_pylist()
+    values = pa.array([metric(left[k // len(right)], right[k % len(right)]) for k in pairs.dictionary.to_pylist()], pa.float64())
+    return values.take(pairs.indices).fill_null(0.0)
 
 
 @F.arrow_udf(DoubleType())

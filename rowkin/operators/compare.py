@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +17,19 @@ HIGH, LOW = 0.92, 0.85
 ADDRESS_SET, NAME_SET = 0.90, 0.90
 
 
-def with_metric(pairs: DataFrame, udf, a: Column, b: Column, where: Column, out: str) -> DataFrame:
-    """Adds a metric of two string columns, 0 for rows that do not need it. Nothing is shuffled; a pair that a batch repeats is computed once."""
-    need = where & (a != "") & (b != "")
+def with_metrics(pairs: DataFrame, asks: dict[str, tuple]) -> DataFrame:
+    """Adds metrics of two string columns each: name to (function, a, b, where), 0 for rows that do not need it.
+
+    All go to Python together, with the strings that need it only. Nothing is shuffled; a pair that a batch repeats is computed once.
+    """
     names = pairs.columns
-    asked = pairs.select(*names, F.when(need, a).alias("_a"), F.when(need, b).alias("_b"))
-    return asked.select(*names, udf("_a", "_b").alias(out))
+    need = lambda a, b, where: where & (a != "") & (b != "")
+    asked = pairs.select(*names, *(x for out, (_, a, b, where) in asks.items() for x in (F.when(need(a, b, where), a).alias(f"{out}_a"), F.when(need(a, b, where), b).alias(f"{out}_b"))))
+    return asked.select(*names, *(udf(f"{out}_a", f"{out}_b").alias(out) for out, (udf, *_) in asks.items()))
+
+
+def with_metric(pairs: DataFrame, udf, a: Column, b: Column, where: Column, out: str) -> DataFrame:
+    return with_metrics(pairs, {out: (udf, a, b, where)})
 
 
 def _levels(kind: str, field: str):
@@ -108,28 +117,47 @@ def trade_name(p: Column, q: Column, overlaps: list[Column]) -> Column:
     return F.coalesce(F.greatest(*levels), n("MISSING"))
 
 
+#: What is read of a record to compare it.
+COMPARED = ("is_organization", "npi", "ein", "name_norm", "first_norm", "first_raw", "last_norm", "phonetic_keys", "dob", "org_name_norm", "org_acronym_key", "dba_name_norm", "dba_acronym_key", "license_number", "license_state")
+PLACE = ("line", "unit", "state", "zip5", "po_box")
+
+
+def side(df: DataFrame, name: str, id_col: str = "id") -> DataFrame:
+    """The id of each record, and as a struct ``name`` what is read of it to compare it."""
+    return df.select(F.col("record_id").alias(id_col), F.struct(*COMPARED, F.struct(*(F.col(f"address.{x}").alias(x) for x in PLACE)).alias("address")).alias(name))
+
+
 def vectors(found: DataFrame, records: DataFrame, master: DataFrame) -> DataFrame:
     """Candidates with ``kind`` (organization where either side is one) and ``vector``, level codes in the order of FIELDS."""
-    whole = lambda df, name: by_rows(df.select(F.col("record_id").alias(f"{name}_id"), F.struct(*df.columns).alias(name)))
-    pairs = found.join(whole(records, "r"), found["record_id"] == F.col("r_id")).join(whole(master, "p"), F.col("provider_id") == F.col("p_id")).drop("r_id", "p_id")
+    pairs = found.join(by_rows(side(records, "r", "r_id")), found["record_id"] == F.col("r_id")).join(by_rows(side(master, "p", "p_id")), F.col("provider_id") == F.col("p_id"))
+    return compared(pairs.drop("r_id", "p_id"))
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """``vectors`` of pairs that bring their sides along, ``r`` and ``p``: a row stays in its task."""
     r, p = F.col("r"), F.col("p")
     org = r["is_organization"] | p["is_organization"]
-    pairs = pairs.withColumn("kind", F.when(org, "organization").otherwise("individual"))
+    given = [c for c in pairs.columns if c not in ("r", "p")]
 
-    def as_organization(x: Column) -> Column:
+    def as_organization(x: Column, field: str, made: Callable[[Column], Column]) -> Column:
         """A person against an organization is compared as one: the whole name, which is folded by now, is its legal name."""
-        return F.when(x["is_organization"], x).otherwise(let(T.org_name(x["name_norm"], unicode=False)["name"], lambda name: x.withField("org_name_norm", name).withField("org_acronym_key", T.org_acronym(name))))
-
-    pairs = pairs.withColumn("r", F.when(org, as_organization(r)).otherwise(r)).withColumn("p", F.when(org, as_organization(p)).otherwise(p))
-    r, p = F.col("r"), F.col("p")
+        return F.when(org & ~F.coalesce(x["is_organization"], F.lit(False)), let(T.org_name(x["name_norm"], unicode=False)["name"], made)).otherwise(x[field])
+
+    # made only for the pairs of a person and an organization
+    names = {f"{n}_{f}": as_organization(x, f, made) for n, x in (("r", r), ("p", p)) for f, made in (("org_name_norm", lambda name: name), ("org_acronym_key", T.org_acronym))}
+    pairs = pairs.select("*", F.when(org, "organization").otherwise("individual").alias("kind"), *(v.alias(k) for k, v in names.items()))
+    own = lambda x, n: {f: x[f] for f in (*COMPARED, "address")} | {f: F.col(f"{n}_{f}") for f in ("org_name_norm", "org_acronym_key")}
+    r, p = own(r, "r"), own(p, "p")
+    org = F.col("kind") == "organization"
     differ = lambda a, b: (a != b) & (a != "") & (b != "")
-    pairs = with_metric(pairs, jaro_winkler_udf, p["last_norm"], r["last_norm"], ~org & differ(p["last_norm"], r["last_norm"]), "_jw_last")
-    pairs = with_metric(pairs, jaro_winkler_udf, p["first_raw"], r["first_raw"], ~org & differ(p["first_norm"], r["first_norm"]), "_jw_first")
-    pairs = with_metric(pairs, jaro_winkler_udf, p["org_name_norm"], r["org_name_norm"], org & differ(p["org_name_norm"], r["org_name_norm"]), "_jw_org")
-    pairs = with_metric(pairs, token_set_udf, p["org_name_norm"], r["org_name_norm"], org & differ(p["org_name_norm"], r["org_name_norm"]), "_set_org")
-    for k, (x, y) in enumerate(TRADE_PAIRS):
-        pairs = with_metric(pairs, token_set_udf, p[x], r[y], org & differ(p[x], r[y]), f"_set_dba{k}")
-    pairs = with_metric(pairs, token_set_udf, p["address"]["line"], r["address"]["line"], differ(p["address"]["line"], r["address"]["line"]), "_set_line")
+    asks = {
+        "_jw_last": (jaro_winkler_udf, p["last_norm"], r["last_norm"], ~org & differ(p["last_norm"], r["last_norm"])),
+        "_jw_first": (jaro_winkler_udf, p["first_raw"], r["first_raw"], ~org & differ(p["first_norm"], r["first_norm"])),
+        "_jw_org": (jaro_winkler_udf, p["org_name_norm"], r["org_name_norm"], org & differ(p["org_name_norm"], r["org_name_norm"])),
+        "_set_org": (token_set_udf, p["org_name_norm"], r["org_name_norm"], org & differ(p["org_name_norm"], r["org_name_norm"])),
+        "_set_line": (token_set_udf, p["address"]["line"], r["address"]["line"], differ(p["address"]["line"], r["address"]["line"])),
+    } | {f"_set_dba{k}": (token_set_udf, p[x], r[y], org & differ(p[x], r[y])) for k, (x, y) in enumerate(TRADE_PAIRS)}
+    pairs = with_metrics(pairs, asks)
     shared = {
         "npi": identifier(p["npi"], r["npi"]),
         "address": address(p["address"], r["address"], F.col("_set_line")),
@@ -142,7 +170,7 @@ def vectors(found: DataFrame, records: DataFrame, master: DataFrame) -> DataFram
     }
     vector = {k: F.array(*(own[k][f].cast("int") for f in FIELDS[k])) for k in FIELDS}
     cross = r["is_organization"] != p["is_organization"]
-    return pairs.withColumn("cross_type", cross).withColumn("vector", F.when(org, vector["organization"]).otherwise(vector["individual"])).select("record_id", "provider_id", "blocks", "rank", "kind", "cross_type", "vector")
+    return pairs.select(*given, "kind", cross.alias("cross_type"), F.when(org, vector["organization"]).otherwise(vector["individual"]).alias("vector"))
 
 
 def described(vector: Column, kind: str) -> Column:
@@ -189,8 +217,7 @@ def similarity(found: DataFrame, records: DataFrame, master: DataFrame) -> DataF
         "_other": (token_set_udf, r["org_name_norm"], p["dba_name_norm"], org),
         "_line": (token_set_udf, r["address"]["line"], p["address"]["line"], F.lit(True)),
     }
-    for out, (udf, a, b, where) in metrics.items():
-        pairs = with_metric(pairs, udf, a, b, where, out)
+    pairs = with_metrics(pairs, metrics)
     same = lambda a, b: F.coalesce((a != "") & (a == b), F.lit(False)).cast("double")
     born = F.coalesce(r["dob"]["year"].isNotNull() & r["dob"].eqNullSafe(p["dob"]), F.lit(False)).cast("double")
     shared = {"npi": same(r["npi"], p["npi"]), "address": F.col("_line"), "zip": same(r["address"]["zip5"], p["address"]["zip5"]), "state": same(r["address"]["state"], p["address"]["state"])}

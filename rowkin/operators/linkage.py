@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from rowkin.functions.text import hash_share
 from rowkin.operators import blocking, compare, decide, learn, listings
-from rowkin.operators.normalize import normalize
+from rowkin.operators.normalize import stored_normal
 from rowkin.schema import FIELDS
 from rowkin.storage import staged
 
 
 def prepared(providers: DataFrame, sanctions: DataFrame, cap: int = blocking.CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(normalized records, normalized master, candidate vectors), each a staged table: later steps read them many times."""
-    master, records = staged(normalize(providers, "provider_id"), "master"), staged(normalize(sanctions, "record_id", claims=True), "records")
-    found = staged(blocking.candidates(records, master, cap), "candidates")
-    return records, master, staged(compare.vectors(found, records, master), "vectors")
+    """(normalized records, normalized master, candidate vectors), all read from staged tables: later steps read them many times.
+
+    Records whose lists are full by exact blocks are compared where these are listed; only the others' pairs are joined with both sides.
+    """
+    master, records = stored_normal(providers, "provider_id", "master"), stored_normal(sanctions, "record_id", "records", claims=True)
+    known = lambda df, name: compare.side(df, name).filter("id is not null")
+    hits = staged(compare.compared(blocking.exact(records, master, cap, known(records, "r"), known(master, "p"))), "exact")
+    rest = staged(compare.vectors(staged(blocking.completed(hits, records, master, cap), "completed"), records, master), "vectors")
+    return records, master, hits.filter(F.col("listed") == cap).drop("listed").unionByName(rest)
 
 
 def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -30,10 +35,15 @@ def fitted(pairs: DataFrame, truth: DataFrame, holdout: float = 0.3, precision:
     """Weights from unlabelled patterns; calibration on records outside the hold-out; thresholds on the held-out ones."""
     models = learn.fit_tally(learn.pattern_tally(pairs))
     out = {}
-    known = labelled(pairs, truth).withColumn("held", hash_share(F.lit("holdout:"), F.col("record_id").cast("string")) < holdout)
+    weight = F.lit(None).cast("double")
+    for kind, model in models.items():
+        weight = F.when(F.col("kind") == kind, model.weight(F.col("vector"))).otherwise(weight)
+    # the best pair of each record first, of all kinds in one pass: labels are joined with a row a record
+    weighed = pairs.select("record_id", "provider_id", "kind", weight.alias("weight"))
+    first = blocking.top_k(weighed, ["kind", "record_id"], [F.desc("weight"), F.asc("provider_id")], 1, "_best")
+    known = staged(labelled(first, truth).withColumn("held", hash_share(F.lit("holdout:"), F.col("record_id").cast("string")) < holdout), "best")
     for kind, model in models.items():
-        weighed = known.filter(F.col("kind") == kind).withColumn("weight", model.weight(F.col("vector")))
-        best = blocking.top_k(weighed, ["record_id"], [F.desc("weight"), F.asc("provider_id")], 1, "_best")
+        best = known.filter(F.col("kind") == kind)
         knots = learn.isotonic_knots(best.filter("not held"))
         if not knots:
             raise learn.Degenerate(f"{kind} has no records outside the hold-out to calibrate on")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowkin.functions import lexicons as lex
 from rowkin.functions import text as T
 from rowkin.functions.phonetics import sound_keys_udf
+from rowkin.storage import staged
 
 
 def looks_like_organization() -> Column:
@@ -24,6 +25,20 @@ def with_sound_keys(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def normalize(df: DataFrame, id_col: str, claims: bool = False) -> DataFrame:
     """One normalized row a record. ``claims``: is_organization is what the source says, and may be overruled by the names."""
+    return with_sound_keys(normal_forms(df, id_col, claims), "sounded", "phonetic_keys").drop("sounded")
+
+
+def stored_normal(df: DataFrame, id_col: str, label: str, claims: bool = False) -> DataFrame:
+    """``normalize`` as a staged table: forms are made once, and keys are told from the stored names where they are read, without a join.
+
+    Rows are dealt to tasks first: a small file holds many, and making their forms takes far longer than reading them.
+    """
+    own = staged(normal_forms(df.repartition(id_col), id_col, claims), label)
+    return own.withColumn("phonetic_keys", sound_keys_udf("sounded")).drop("sounded")
+
+
+def normal_forms(df: DataFrame, id_col: str, claims: bool = False) -> DataFrame:
+    """``normalize`` without sound keys, but with the word that they are keys of: ``sounded``."""
     is_org = F.coalesce("is_organization", F.lit(False))
     org_source = F.col("organization_name")
     if claims:
@@ -60,4 +75,4 @@ def normalize(df: DataFrame, id_col: str, claims: bool = False) -> DataFrame:
     out = out.withColumn("org_tokens", T.org_tokens(F.col("org_name_norm"))).withColumn("org_acronym_key", T.org_acronym(F.col("org_name_norm"))).withColumn("dba_acronym_key", T.org_acronym(F.col("dba_name_norm")))
     out = out.withColumn("trigram_value", F.replace(F.when(F.col("is_organization"), F.col("org_name_norm")).otherwise(F.col("name_sorted_norm")), F.lit(" "), F.lit("")))
     sounded = F.when(F.col("is_organization"), F.split("org_name_norm", " ")[0]).otherwise(F.col("last_norm"))
-    return with_sound_keys(out.withColumn("_sounded", sounded), "_sounded", "phonetic_keys").drop("_sounded")
+    return out.withColumn("sounded", sounded)
